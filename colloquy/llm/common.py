@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +94,11 @@ def _arrow_schema(fields: T.StructType) -> pa.Schema:
     return to_arrow_schema(fields)
 
 
+def quoted(*names: str) -> list[Column]:
+    """Columns by name, whatever characters the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
 def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    """df with the columns of like, in their order, whatever characters their names hold."""
-    return df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in like.columns])
+    """df with the columns of like, in their order."""
+    return df.select(*quoted(*like.columns))
