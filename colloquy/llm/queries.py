@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_chunks, simhash_trie
+from . import decontaminate, line_chunks, packing, simhash_trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.query(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.query(_table(spark, sf_dir, "documents"))
 
