@@ -117,7 +117,6 @@ def _by_bytes(cut: DataFrame) -> DataFrame | None:
     marks = F.transform("_marks", lambda m: F.struct(m["hash"].alias("hash"), m["idx"].alias("idx"), _text(_chunk_lines(F.get("_ends", m["idx"]), m["idx"])).alias("chunk")))
     each = cut.filter("_marks is not null").select("doc_id", F.explode(marks).alias("m")).select("doc_id", "m.hash", "m.idx", "m.chunk")
     mixed = each.select("hash", "chunk").distinct().groupBy("hash").count().filter("count > 1").select("hash")
-    mixed, _ = settle(mixed, "line-chunks-mixed")
     if mixed.isEmpty():
         return None
     unsure = each.join(mixed, "hash", "left_semi")
