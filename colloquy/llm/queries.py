@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_chunks, packing, simhash_trie
+from . import decontaminate, line_chunks, packing, simhash_trie, toxicity_fst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.query(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_fst.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.query(_table(spark, sf_dir, "documents"))
 
