@@ -18,6 +18,9 @@ SAMPLE = 20_000
 #: A lexicon entry occurs in so many toxic documents, and in so large a share of them among all.
 SUPPORT, PRECISION = 3, 0.9
 
+#: Documents that the share of an entry's shortest stem counts for, in the share of the entry.
+SHRINKAGE = 20
+
 THRESHOLD = 0.7
 
 
@@ -51,7 +54,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     likely = counts(train.filter("toxic = 1"), lambda it: kernel.count_features(it)).filter(F.col("yes") >= SUPPORT)
     wanted = frozenset(r[0] for r in likely.select("name").toLocalIterator())
     both = counts(train, lambda it: kernel.count_features(it, wanted)).filter((F.col("yes") >= SUPPORT) & (F.col("yes") + 0.5 >= PRECISION * (F.col("yes") + F.col("no") + 1)))
-    lexicon = {r[0]: (r[1] + 0.5) / (r[1] + r[2] + 2) for r in both.collect()}  # a rare entry alone does not settle a text
+    rate = train.filter("toxic = 1").count() / max(1, train.count())
+    roots = counts(train, lambda it: kernel.count_features(it, frozenset(w[: kernel.STEM[0]] for w in wanted)))
+    root = {r[0]: _shrunk(r[1], r[2], rate) for r in roots.collect()}
+    lexicon = {r[0]: _shrunk(r[1], r[2], root.get(r[0][: kernel.STEM[0]], rate)) for r in both.collect()}
     seen = {r[0]: (r[1], r[2]) for r in counts(train, lambda it: kernel.count_clauses(it, lexicon)).collect()}
     weights = {}
     for kind, prior in {**kernel.PRIOR, "none": 0.05}.items():
@@ -60,6 +66,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(lexicon, weights)
 
 
+def _shrunk(yes: int, no: int, toward: float) -> float:
+    """A share drawn toward what shorter stems show, so that a rare entry alone does not settle a text."""
+    return (yes + SHRINKAGE * toward) / (yes + no + SHRINKAGE)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, n_clauses) for every row of docs(doc_id, text, ...).
 
