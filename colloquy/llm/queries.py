@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_chunks, packing, simhash_trie, toxicity_fst
+from . import decontaminate, line_chunks, packing, secret_scan, simhash_trie, toxicity_fst, warc_segments
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(_table(spark, sf_dir, "documents"))
 
 
+def op4_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.query(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.query(_table(spark, sf_dir, "documents"))
 
@@ -33,9 +37,13 @@ def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.query(_table(spark, sf_dir, "documents"))
 
 
+def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_segments.query(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc_segments": warc_segments.SQL}
