@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_chunks, packing, secret_scan, simhash_trie, toxicity_fst, warc_segments
+from . import decontaminate, line_chunks, packing, quality_llr, secret_scan, simhash_trie, toxicity_fst, warc_segments
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.query(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_llr.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.query(_table(spark, sf_dir, "documents"))
 
