@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_chunks, packing, quality_llr, secret_scan, simhash_trie, toxicity_fst, warc_segments
+from . import decontaminate, line_chunks, packing, pii_weak, quality_llr, secret_scan, simhash_trie, toxicity_fst, warc_segments
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.query(_table(spark, sf_dir, "documents"))
 
 
+def op9_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_weak.query(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_segments.query(_table(spark, sf_dir, "pages"))
 
