@@ -118,7 +118,8 @@ def candidates(docs: DataFrame) -> DataFrame:
         parts.append(_tagged(kept, kind, lambda x, kind=kind: _valid(kind, x["text"])))
     for kind, pattern in WIDER.items():
         df = _with_matches(df, f"wide_{kind}", pattern, _GATES[f"wide_{kind}"](text))
-        parts.append(_tagged(F.col(f"wide_{kind}"), kind, None))
+        apart = lambda x: ~F.exists(kind, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))  # noqa: B023,E731
+        parts.append(_tagged(F.filter(f"wide_{kind}", apart), kind, None))
     return df.select("doc_id", F.concat(*parts).alias("found"))
 
 
