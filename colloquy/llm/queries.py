@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_chunks, packing, pii_weak, quality_llr, secret_scan, simhash_trie, toxicity_fst, warc_segments
+from . import decontaminate, line_chunks, packing, pii_weak, quality_llr, secret_scan, simhash_trie, suffix_dedup, toxicity_fst, warc_segments
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.query(_table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(_table(spark, sf_dir, "documents"))
 
