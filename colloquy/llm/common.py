@@ -102,3 +102,24 @@ def quoted(*names: str) -> list[Column]:
 def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
     """df with the columns of like, in their order."""
     return df.select(*quoted(*like.columns))
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner", share: int = 256, least: int = 1000) -> DataFrame:
+    """big joined on key with small, which has one row a key and in `_n` how many rows of big have it; `_n` is dropped.
+
+    A key that more than a `share`-th of all rows have, and more than `least`, is dealt out by
+    the hash of column `spread`; its one row of small is repeated for each part. There are
+    fewer than `share` such keys, which bounds what is collected and broadcast.
+    """
+    total = small.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    most = max(least, total // share)
+    hot = [(k, -(-n // most)) for k, n in small.filter(F.col("_n") > most).select(key, "_n").collect()]
+    small = small.drop("_n")
+    if not hot:
+        return big.join(small, key, how)
+    kind = small.schema[key].dataType.simpleString()
+    parts = F.broadcast(small.sparkSession.createDataFrame(hot, f"{key} {kind}, _parts bigint"))
+    dealt = big.join(parts, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")), F.lit(0))).drop("_parts")
+    last = F.coalesce(F.col("_parts"), F.lit(1)) - 1
+    copied = small.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")))).drop("_parts")
+    return dealt.join(copied, [key, "_part"], how).drop("_part")

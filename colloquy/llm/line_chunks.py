@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, settle
+from .common import join_hot, quoted, settle
 
 #: Mean lines of a chunk, and lines with a word that a chunk needs to count as a passage.
 DIVISOR, MIN_LINES = 3, 2
@@ -65,9 +65,9 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MI
     chunk = lambda e, k: F.struct(_key(_text(_chunk_lines(e, k)), hash_bits).alias("hash"), _worded(_chunk_lines(e, k)).alias("n"))
     each = cut.select("doc_id", F.posexplode(F.transform("_ends", chunk)).alias("idx", "chunk")).filter(F.col("chunk.n") >= min_lines)
     found = each.select("doc_id", "idx", F.col("chunk.hash").alias("hash"))
-    often = found.groupBy("hash").agg(F.count("*").alias("n"), _first()).filter("n > 1").drop("n")
+    often, _ = settle(found.groupBy("hash").agg(F.count("*").alias("_n"), _first()).filter("_n > 1"), "line-chunks-often")
     marks = (
-        found.join(often, "hash")
+        join_hot(found, often, "hash", "doc_id")
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct("idx", "hash", _is_first().alias("first"))).alias("_marks"))
         .withColumnRenamed("doc_id", "_id")
