@@ -9,17 +9,22 @@ neighbours, extending the match to the left and right.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import suffix_kernel as kernel
-from .common import forget, map_rows, settle, ship
+from .common import forget, join_hot, map_rows, settle, ship
 
 ship(kernel)
 
 #: Words of a passage, of a gram, and grams of a minimiser window.
 LEAST, GRAM, WINDOW = 50, 5, 32
 
+#: Sort keys that the driver samples for each range.
+SAMPLES = 12
+
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, first_doc_id) for every maximal span of repeated passages.
@@ -42,8 +47,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, win
     rows = docs.select("doc_id", "text").filter("doc_id is not null")
     found = map_rows(rows, lambda it: kernel.suffixes(it, gram, window, prefix), f"key bigint, doc_id {kind}, pos int")
     every, kept_at = settle(found, "suffixes")
-    often = every.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1").drop("n")
-    places = every.join(often, "key").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "key", "first")).alias("places"))
+    often, _ = settle(every.groupBy("key").agg(F.count("*").alias("_n"), F.min("doc_id").alias("first")).filter("_n > 1"), "suffixes-often")
+    places = join_hot(every, often, "key", "doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "key", "first")).alias("places"))
     span = f"key bigint, after binary, before binary, doc_id {kind}, pos int, first {kind}"
     around, around_at = settle(
         map_rows(rows.join(places, "doc_id").select("doc_id", "text", "places"), lambda it: kernel.contexts(it, window - 1, least), span), "suffix-contexts"
@@ -52,7 +57,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, win
     order = ("key", "after", "before", "doc_id", "pos")
     ranged = around.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "after", "before", "doc_id", "pos", "first")
     out = f"doc_id {kind}, start int, `end` int, first {kind}, seam int, context struct<key:bigint,after:binary,before:binary>"
-    spans, _ = settle(map_rows(ranged, lambda it: kernel.neighbours(it, least), out), "suffix-spans")
+    with _few_samples(spark):
+        spans, _ = settle(map_rows(ranged, lambda it: kernel.neighbours(it, least), out), "suffix-spans")
     forget(spark, around_at)
     across = spark.createDataFrame(_seams(spans, least), f"doc_id {kind}, start int, `end` int, first {kind}")
     whole = spans.filter("seam is null").select("doc_id", "start", "end", "first").unionByName(across)
@@ -61,6 +67,18 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, win
     return merged.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
 
 
+@contextmanager
+def _few_samples(spark: SparkSession):
+    """Sort keys are long and the driver samples them by partition, so it is told to take fewer."""
+    name = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, SAMPLES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _seams(spans: DataFrame, least: int) -> list[tuple]:
     """Spans of suffixes that are neighbours across two partitions: two rows from each partition."""
     edges = sorted((r["seam"], (*r["context"], r["doc_id"], r["start"], r["first"])) for r in spans.filter("seam is not null").collect())
