@@ -44,8 +44,8 @@ def bigrams(words: Column) -> Column:
 
 def without(words: Column, stop: Iterable[str]) -> Column:
     """words without the stop words, repeats kept."""
-    listed = F.array(*[F.lit(w) for w in sorted(set(stop))])
-    return F.filter(words, lambda w: ~F.array_contains(listed, w))
+    listed = sorted(set(stop))
+    return F.filter(words, lambda w: ~w.isin(*listed)) if listed else words  # becomes a hash set lookup
 
 
 def slash_commands(text: Column, before: str = r"[\s`]") -> Column:

@@ -50,7 +50,7 @@ def classified(pairs: DataFrame, lexicon: Lexicon = MINING) -> DataFrame:
     """pairs with class, word and chars; the anchor is a one-row broadcast."""
     anchored = pairs.crossJoin(F.broadcast(approved_median(pairs, lexicon)))
     own = reply_class(F.col("reply"), F.col("anchor"), lexicon)
-    return anchored.withColumn("class", own).withColumn("word", text.first_word(F.col("reply"))).withColumn("chars", F.length("reply")).drop("anchor")
+    return anchored.withColumn("class", own).withColumn("word", text.first_word(F.col("reply"))).withColumn("chars", F.length("reply").cast("bigint")).drop("anchor")
 
 
 def class_summary(replies: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def top_words(replies: DataFrame, k: int = 10) -> DataFrame:
     """The k most frequent first words of each class; ties by word."""
     counted = replies.filter("word is not null").groupBy("class", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("n"), "word"))
-    return counted.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return counted.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= k)
 
 
 def longest_quotes(replies: DataFrame, k: int = 10, preview: int = 500) -> DataFrame:

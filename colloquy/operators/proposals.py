@@ -23,7 +23,7 @@ def covered(replies: DataFrame, rules: DataFrame, reply_key: str, rule_key: str,
     Tokens are exploded and joined on equality, so cost follows shared tokens rather than
     replies times rules.
     """
-    left = replies.select(reply_key, key_tokens(F.col(reply)).alias("_t")).select(reply_key, F.size("_t").alias("tokens"), F.explode("_t").alias("token"))
+    left = replies.select(reply_key, key_tokens(F.col(reply)).alias("_t")).select(reply_key, F.size("_t").cast("bigint").alias("tokens"), F.explode("_t").alias("token"))
     right = rules.select(rule_key, F.explode(key_tokens(F.col(rule))).alias("token"))
     found = left.join(right, "token").groupBy(reply_key, rule_key).agg(F.count("*").alias("overlap"), F.first("tokens").alias("tokens"))
     return found.filter((F.col("overlap") >= shared) & (F.col("overlap") / F.col("tokens") > part))
