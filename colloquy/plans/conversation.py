@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..functions.lexicon import BENCH
-from ..operators import corpus, evaluation, pairs, proposals, quantitative
+from ..operators import corpus, evaluation, findings, pairs, proposals, quantitative
 from ..session import table
 from .catalogue import query
 from .shared_sql import CLASSIFIED, PAIRS, WAKE, first_word, marker, pct, quantile, tokens, words
@@ -228,3 +228,37 @@ def stat_packet(spark, d):
     for p in parts[1:]:
         out = out.crossJoin(F.broadcast(p))  # one row each
     return out
+
+
+_PACKET = f"""WITH {CLASSIFIED}, k AS (SELECT count(*) AS n_pairs, count(*) FILTER (WHERE class = 'approval') AS n_approval, count(*) FILTER (WHERE class = 'explicit_pushback') AS n_explicit,
+        count(*) FILTER (WHERE class = 'implicit_pushback') AS n_implicit FROM classified),
+    d AS (SELECT count(*) AS n_plans, count(*) FILTER (WHERE length(text) > 6000) AS n_multi_phase, {pct("count(*) FILTER (WHERE length(text) > 6000)", "count(*)")} AS has_oos_pct FROM documents),
+    p AS (SELECT *, (SELECT count(*) FROM benchmark) AS n_notes FROM k, d)"""
+
+
+@query(
+    "threshold_findings",
+    f"""{_PACKET} SELECT * FROM (
+        SELECT 'approval_share' AS name, round_even(100 * coalesce(n_approval::double / nullif(n_pairs, 0), 0.0), 1) AS value FROM p WHERE n_pairs > 0
+        UNION ALL SELECT 'scope_sections', has_oos_pct FROM p WHERE n_plans > 0
+        UNION ALL SELECT 'confirm_scope', round_even(100 * coalesce(n_implicit::double / nullif(n_pairs, 0), 0.0), 1) FROM p WHERE coalesce(n_implicit::double / nullif(n_pairs, 0), 0.0) > 0.1
+        UNION ALL SELECT 'name_limits', has_oos_pct FROM p WHERE n_plans > 0 AND has_oos_pct < 60
+        UNION ALL SELECT 'review_proposals', n_notes::double FROM p WHERE n_notes > 0
+        UNION ALL SELECT 'approvals', n_approval::double FROM p WHERE n_approval > 200
+        UNION ALL SELECT 'phases', n_multi_phase::double FROM p WHERE n_multi_phase > 0
+        UNION ALL SELECT 'plan_library', n_multi_phase::double FROM p WHERE n_multi_phase >= 5)""",
+)
+def threshold_findings(spark, d):
+    is_class = lambda c: F.count_if(F.col("class") == c)
+    replies = _classified(spark, d).agg(
+        F.count("*").alias("n_pairs"), is_class("approval").alias("n_approval"), is_class("explicit_pushback").alias("n_explicit"), is_class("implicit_pushback").alias("n_implicit")
+    )
+    long = F.count_if(F.length("text") > 6000)
+    plans = table(spark, d, "documents").agg(F.count("*").alias("n_plans"), long.alias("n_multi_phase"), stats.share(long, F.count("*")).alias("has_oos_pct"))
+    notes = table(spark, d, "benchmark").agg(F.count("*").alias("n_notes"))
+    packet = replies.crossJoin(F.broadcast(plans)).crossJoin(F.broadcast(notes))  # one row each
+    for field in findings.PACKET.split(", "):
+        name, kind = field.split()
+        if name not in packet.columns:
+            packet = packet.withColumn(name, F.lit(None).cast(kind))
+    return findings.fired(packet).select("name", "value")
