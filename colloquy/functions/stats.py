@@ -33,3 +33,13 @@ def exclusive_decile_90(values: Column) -> Column:
     delta = 9 * (n + 1) - 10 * j
     cut = (F.get(x, j - 1) * (10 - delta) + F.get(x, j) * delta) / 10
     return F.coalesce(F.when(n >= 10, F.floor(cut)).otherwise(F.array_max(values)), F.lit(0)).cast("bigint")
+
+
+def decile_90_of(x: Column, n: int) -> Column:
+    """The same as an aggregate over n whole numbers, n known beforehand; it holds counts by value, not the rows."""
+    if n < 10:
+        return F.coalesce(F.max(x), F.lit(0)).cast("bigint")
+    j = min(max(9 * (n + 1) // 10, 1), n - 1)
+    delta = 9 * (n + 1) - 10 * j
+    element = lambda k: F.round(F.percentile(x, F.lit((k - 1) / (n - 1)))).cast("bigint")
+    return F.floor((element(j) * (10 - delta) + element(j + 1) * delta) / 10).cast("bigint")

@@ -74,13 +74,13 @@ def plan_summary(inventory: DataFrame) -> DataFrame:
 
 
 def comment_style(comments: DataFrame) -> DataFrame:
-    """One row of structure shares over review comments(repo, pr, body)."""
+    """One row of structure shares over review comments(repo, pr, body); they are counted first, as the decile rule depends on it."""
     body = F.col("body")
     pct = lambda p: stats.share(F.count_if(body.rlike(p)), F.count("*"))
     return comments.agg(
         F.count("*").alias("n_comments"), F.countDistinct("repo", "pr").alias("n_prs_with_comments"),
         F.floor(stats.percentile(F.length(body), 0.5)).cast("bigint").alias("median_length_chars"),
-        stats.exclusive_decile_90(F.collect_list(F.length(body))).alias("p90_length_chars"),
+        stats.decile_90_of(F.length(body), comments.filter("body is not null").count()).alias("p90_length_chars"),
         pct(markdown.HEADING_2).alias("h2_share_pct"), pct(markdown.PRIORITY_TABLE).alias("priority_table_share_pct"),
         pct(markdown.HTML_MARKER).alias("html_marker_share_pct"), pct(markdown.CHECKLIST).alias("checklist_share_pct"),
     )

@@ -67,6 +67,7 @@ def test_statistics(spark):
         xs = [rng.randint(1, 500) for _ in range(n)]
         wanted = int(statistics.quantiles(xs, n=10)[-1]) if n >= 10 else max(xs)
         assert values(spark, [xs], stats.exclusive_decile_90, "array<int>") == [wanted]
+        assert spark.createDataFrame([(x,) for x in xs], "x int").agg(stats.decile_90_of(F.col("x"), n)).first()[0] == wanted
 
 
 def test_proposal_sections(spark):
