@@ -75,6 +75,13 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MI
     return docs.join(marks, docs["doc_id"].eqNullSafe(marks["_id"]), "left").drop("_id")
 
 
+def _own_marks(cut: DataFrame, hash_bits: int) -> DataFrame:
+    """cut with the marks that are of its row's own text: rows that share a doc_id, or have none, may hold different ones."""
+    chunk = lambda m: _text(_chunk_lines(F.get("_ends", m["idx"]), m["idx"]))
+    own = F.filter("_marks", lambda m: (m["idx"] < F.size("_ends")) & (_key(chunk(m), hash_bits) == m["hash"]))
+    return cut.withColumn("_marks", F.when(F.col("_marks").isNotNull(), F.coalesce(own, F.array().cast(cut.schema["_marks"].dataType))))
+
+
 def remove_repeats(
     docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES, hash_bits: int = 64
 ) -> DataFrame:
@@ -83,15 +90,19 @@ def remove_repeats(
     Of equal chunks with at least min_lines lines that hold a word, the one with the least
     (doc_id, chunk number) stays; every other goes, also within one text. Shorter chunks stay.
     A text that is nothing but repeats becomes empty; its row stays. Null texts stay null and
-    count as one empty line; rows without a doc_id are never first. Rows that repeat a doc_id
-    are treated alike: a chunk that is first in one is first in all of them. Columns of docs
+    count as one empty line; rows without a doc_id come after all others. Rows that share a
+    doc_id, or have none, are not told apart: a chunk that is first in one is first in every
+    such row that has it at the same place. Columns of docs
     other than doc_id and text pass through; those named like the three counts are replaced.
     hash_bits narrows the hash, to test what happens when different chunks collide.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines", "n_removed_chunks")]
-    kept = docs.select(*quoted(*names))
+    counts = ("n_lines", "n_removed_lines", "n_removed_chunks")
+    names = [c for c in docs.columns if c not in counts]
+    rest = [c for c in names if c not in ("doc_id", "text")]
+    # columns that pass through travel in one struct, where their names clash with nothing
+    kept = docs.select("doc_id", "text", *([F.struct(*quoted(*rest)).alias("_rest")] if rest else []))
     marked, _ = settle(repeated_chunks(kept, divisor, min_lines, hash_bits), "line-chunks")
-    cut = _with_lines(marked, divisor)
+    cut = _own_marks(_with_lines(marked, divisor), hash_bits)
     drop = F.transform(F.filter("_marks", lambda m: ~m["first"]), lambda m: m["idx"])
     by_bytes = _by_bytes(cut)
     if by_bytes is None:
@@ -104,7 +115,8 @@ def remove_repeats(
     gone = F.aggregate("_drop", F.lit(0), lambda acc, k: acc + F.get("_ends", k) - F.coalesce(F.get("_ends", k - 1), F.lit(0)))
     out = cut.withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(whole, "\n")))
     out = out.select("*", F.size("_lines").alias("n_lines"), gone.alias("n_removed_lines"), F.size("_drop").alias("n_removed_chunks"))
-    return out.select(*quoted(*names, "n_lines", "n_removed_lines", "n_removed_chunks"))
+    back = [F.col("_rest").getField(c).alias(c) if c in rest else F.col(c) for c in names]
+    return out.select(*back, *counts)
 
 
 def _by_bytes(cut: DataFrame) -> DataFrame | None:

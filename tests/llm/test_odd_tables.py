@@ -95,3 +95,12 @@ def test_warc(spark, tmp_path, odd):
     empty = str(tmp_path / "empty")
     warc_segments.write_archive(pages.limit(0), empty)
     assert warc_segments.read_archive(spark, empty).count() == 0
+
+
+def test_line_chunks_of_rows_that_share_an_id(spark):
+    passage = "\n".join(f"the line {i} of a passage" for i in range(12))
+    rows = [(1, passage), (2, "begin\n" + passage), (2, "\n".join(f"line {i} of its own" for i in range(20))), (None, passage), (None, "\n".join(f"other {i} here" for i in range(20)))]
+    left = line_chunks.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    texts = {r.text for r in left}
+    assert {rows[0][1], rows[2][1], rows[4][1]} <= texts and len(left) == 5
+    assert sum(len(r.text) for r in left) < sum(len(t) for _, t in rows) - len(passage)
