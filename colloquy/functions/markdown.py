@@ -11,13 +11,13 @@ FRONT_MATTER = r"(?ds)^---\s*\n.*?\n---\s*\n"
 PHASE = r"(?dmi)^##+\s+(?:Phase|Step|Stage)\b"
 OUT_OF_SCOPE = r"(?dmi)^##+\s+(?:out[\s-]?of[\s-]?scope|non[\s-]?goals?|will not)\b"
 VERIFICATION = r"(?dmi)^##+\s+(?:verification|verification evidence|acceptance|how we know)\b"
-ACCEPTANCE_LINE = r"(?dm)^\s*(?:[-*]\s*\[\s?\]|\d+\.)\s+"
+ACCEPTANCE_LINE = r"(?dm)^[^\S\n]*+(?:[-*]\s*\[\s?\]|\d++\.)\s++"
 LONG_PLAN, MULTI_PHASES = 6000, 2
 
 HEADING_2 = r"(?dm)^##\s+\S"
 PRIORITY_TABLE = r"(?i)\|\s*P[123]\s*\|"
 HTML_MARKER = r"<!--\s*\w+"
-CHECKLIST = r"(?dm)^\s*-\s*\[\s?[xX]?\s?\]"
+CHECKLIST = r"(?dm)^[^\S\n]*+-\s*\[\s?[xX]?\s?\]"
 
 # ---------------------------------------------------------------------------------------------
 
@@ -47,4 +47,4 @@ def front_matter(text: Column) -> Column:
 
 def body(text: Column) -> Column:
     """What follows the front matter."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?ds)\A---\s*\n.*?\n---\s*(?:\n|\z)", ""), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(text, r"(?ds)\A---\s*\n.*?\n---\s*(?:\n|\z)", ""), r"^\s++|(?<!\s)\s++$", "")

@@ -14,7 +14,7 @@ _BLANK = r"[\s\p{Z}]"
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at the ends."""
-    return F.regexp_replace(text, rf"^{_BLANK}+|{_BLANK}+$", "")
+    return F.regexp_replace(text, rf"^{_BLANK}++|(?<!{_BLANK}){_BLANK}++$", "")
 
 
 def squeeze(text: Column) -> Column:

@@ -15,7 +15,7 @@ LEAST_PREFIX, LEAST_FIRST = 40, 80
 
 
 def _trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, r"[.… ]+$", "")
+    return F.regexp_replace(x, r"(?<![.… ])[.… ]++$", "")
 
 
 def drop_cached(rows: DataFrame, session: Sequence[str], is_cached: Column, column: str = "text") -> DataFrame:

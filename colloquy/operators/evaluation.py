@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.lexicon import whole_word
 
 # ---- fixed values ---------------------------------------------------------------------------
@@ -26,8 +27,8 @@ BASE_AXES = ("decision_match", "autonomy_match", "verification_rigor", "recovery
 # ---------------------------------------------------------------------------------------------
 
 
-def _any_in(text: Column, phrases: Column) -> Column:
-    low = F.lower(text)
+def _any_in(whole: Column, phrases: Column) -> Column:
+    low = F.lower(whole)
     return F.coalesce(F.exists(phrases, lambda p: F.contains(low, F.lower(p))), F.lit(False))
 
 
@@ -37,7 +38,7 @@ def _flag(x: Column) -> Column:
 
 def score(response: Column, expected: Column) -> Column:
     """Struct of six 0/1 axes, two more that are null unless asked for, total and max."""
-    r = F.regexp_replace(response, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    r = text.strip(response)
     some = lambda f: F.coalesce(F.size(expected[f]), F.lit(0)) > 0
     wanted = lambda f: F.coalesce(expected[f], F.lit(False))
     questions = F.length(r) - F.length(F.replace(r, F.lit("?"), F.lit("")))
