@@ -149,16 +149,18 @@ def count_clauses(rows, lexicon: dict[str, float]):
         yield k, yes[k], no[k]
 
 
-def score(text: str | None, tagger: Tagger, weights: dict[str, float]) -> tuple[float, int]:
-    """(score, clauses): noisy-or over the matched clauses, starting from the rate of texts without any."""
+def score(text: str | None, tagger: Tagger, weights: dict[str, float], shift: float = 0.0) -> tuple[float, int]:
+    """(score, clauses): noisy-or over the matched clauses, starting from the rate of texts without any, then shifted on the logit scale."""
     log_miss, n = math.log1p(-weights["none"]), 0
     for kind, insult in tagger.clauses(text):
         log_miss += math.log1p(-min(weights[kind] * insult, 1 - 1e-9))
         n += 1
-    return -math.expm1(log_miss), n
+    log_hit = math.log(max(-math.expm1(log_miss), 1e-300))
+    return 1 / (1 + math.exp(min(700.0, log_miss - log_hit - shift))), n
 
 
-def score_rows(rows, lexicon: dict[str, float], weights: dict[str, float]):
+def score_rows(rows, lexicon: dict[str, float], weights: dict[str, float], shift: float = 0.0):
+    """From (text, columns to pass on): these, the score and the number of clauses."""
     tagger = Tagger(lexicon)
-    for doc_id, text in rows:
-        yield doc_id, *score(text, tagger, weights)
+    for text, *own in rows:
+        yield *own, *score(text, tagger, weights, shift)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import clause_kernel as kernel
-from .common import map_rows, same_columns, settle, ship
+from .common import map_rows, settle, ship
 
 ship(kernel)
 
@@ -28,6 +29,7 @@ THRESHOLD = 0.7
 class Model:
     lexicon: dict[str, float]
     weights: dict[str, float]
+    shift: float = 0.0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -38,27 +40,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A grammar fitted on at most `sample` labelled documents, none of them held out.
 
     Labels that are null, or whose document is missing, are left aside; a document with
-    several labels counts once for each. Without labels the lexicon is empty, and every text
-    scores the rate of texts without clauses.
+    several labels counts once for each. Scores are shifted down, on the logit scale, where a
+    grammar learned from half of the sample tells the other half best above THRESHOLD. Without
+    labels the lexicon is empty, and every text scores the rate of texts without clauses.
     """
-    spark = docs.sparkSession
     usable = labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)  # bounded, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    train, _ = settle(rows, "toxicity-train")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).alias("fold")
+    train, _ = settle(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", fold), "toxicity-train")
+    half = _learn(train.filter("fold = 0"))
+    seen = score(train.filter("fold = 1").select(F.lit(0).alias("doc_id"), "text", "toxic"), half, "toxic").select("toxic", "score")
+    cut = _cut([(r[1], r[0] == 1) for r in seen.collect()])  # at most `sample` numbers
+    whole = _learn(train)
+    return Model(whole.lexicon, whole.weights, min(0.0, _logit(THRESHOLD) - _logit(cut)) if cut else 0.0)
 
-    def counts(df, count):
-        found = map_rows(df, count, "name string, yes bigint, no bigint")
-        return found.groupBy("name").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
 
-    likely = counts(train.filter("toxic = 1"), lambda it: kernel.count_features(it)).filter(F.col("yes") >= SUPPORT)
-    wanted = frozenset(r[0] for r in likely.select("name").toLocalIterator())
-    both = counts(train, lambda it: kernel.count_features(it, wanted)).filter((F.col("yes") >= SUPPORT) & (F.col("yes") + 0.5 >= PRECISION * (F.col("yes") + F.col("no") + 1)))
+def _counts(df: DataFrame, count) -> DataFrame:
+    found = map_rows(df.select("text", "toxic"), count, "name string, yes bigint, no bigint")
+    return found.groupBy("name").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+
+
+def _learn(train: DataFrame) -> Model:
+    """Lexicon and clause weights from labelled rows (text, toxic)."""
+    likely = _counts(train.filter("toxic = 1"), lambda it: kernel.count_features(it)).filter(F.col("yes") >= SUPPORT)
+    wanted = frozenset(r[0] for r in likely.select("name").collect())  # features of the bounded sample
+    both = _counts(train, lambda it: kernel.count_features(it, wanted)).filter((F.col("yes") >= SUPPORT) & (F.col("yes") + 0.5 >= PRECISION * (F.col("yes") + F.col("no") + 1)))
     rate = train.filter("toxic = 1").count() / max(1, train.count())
-    roots = counts(train, lambda it: kernel.count_features(it, frozenset(w[: kernel.STEM[0]] for w in wanted)))
+    roots = _counts(train, lambda it: kernel.count_features(it, frozenset(w[: kernel.STEM[0]] for w in wanted)))
     root = {r[0]: _shrunk(r[1], r[2], rate) for r in roots.collect()}
     lexicon = {r[0]: _shrunk(r[1], r[2], root.get(r[0][: kernel.STEM[0]], rate)) for r in both.collect()}
-    seen = {r[0]: (r[1], r[2]) for r in counts(train, lambda it: kernel.count_clauses(it, lexicon)).collect()}
+    seen = {r[0]: (r[1], r[2]) for r in _counts(train, lambda it: kernel.count_clauses(it, lexicon)).collect()}
     weights = {}
     for kind, prior in {**kernel.PRIOR, "none": 0.05}.items():
         yes, no = seen.get(kind, (0, 0))
@@ -66,20 +77,41 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(lexicon, weights)
 
 
+def _logit(p: float) -> float:
+    p = min(max(p, 1e-9), 1 - 1e-9)
+    return math.log(p) - math.log1p(-p)
+
+
+def _cut(scored: list[tuple[float, bool]]) -> float | None:
+    """The score that tells toxic from other documents best, in the middle of the gap; None without both kinds."""
+    scored = sorted(scored)
+    bad, good = sum(y for _, y in scored), sum(not y for _, y in scored)
+    if not bad or not good:
+        return None
+    best, cut, left_bad, left_good = 0.0, None, 0, 0
+    for (p, y), (q, _) in zip(scored, scored[1:], strict=False):
+        left_bad, left_good = left_bad + y, left_good + (not y)
+        gain = (bad - left_bad) / bad + left_good / good
+        if q > p and gain > best:
+            middle = (_logit(p) + _logit(q)) / 2
+            best, cut = gain, 1 / (1 + math.exp(-middle))
+    return cut
+
+
 def _shrunk(yes: int, no: int, toward: float) -> float:
     """A share drawn toward what shorter stems show, so that a rare entry alone does not settle a text."""
     return (yes + SHRINKAGE * toward) / (yes + no + SHRINKAGE)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """(doc_id, score, n_clauses) for every row of docs(doc_id, text, ...).
 
     score is in 0 to 1. Null and empty texts have no clause and score the rate of such texts.
     Repeated rows are scored one by one; an empty table gives an empty table.
     """
-    lexicon, weights = model.lexicon, model.weights
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, n_clauses int"
-    return map_rows(docs.select("doc_id", "text"), lambda it: kernel.score_rows(it, lexicon, weights), schema)
+    lexicon, weights, shift = model.lexicon, model.weights, model.shift
+    schema = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in ("doc_id", *keep)) + "score double, n_clauses int"
+    return map_rows(docs.select("text", "doc_id", *keep), lambda it: kernel.score_rows(it, lexicon, weights, shift), schema)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -92,13 +124,16 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     model = fit(docs, labels)
     lexicon, weights = model.lexicon, model.weights
 
+    at = docs.columns.index("text")
+
     def keep(batches):
         import pyarrow as pa
 
         tagger = kernel.Tagger(lexicon)
         for batch in batches:
-            text = batch.column("text")
-            mask = [kernel.score(text[i].as_py(), tagger, weights)[0] < threshold for i in range(batch.num_rows)]
+            text = batch.column(at)
+            mask = [kernel.score(text[i].as_py(), tagger, weights, shift)[0] < threshold for i in range(batch.num_rows)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return same_columns(docs.mapInArrow(keep, docs.schema), docs)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may hold dots
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
