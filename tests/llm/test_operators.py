@@ -309,6 +309,24 @@ def test_hot_join_equals_a_join(spark):
     assert sorted(map(tuple, got.select("k", "id", "least").collect())) == sorted(map(tuple, big.join(small.drop("_n"), "k").select("k", "id", "least").collect()))
 
 
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(17)
+    texts = [prose(rng.randint(60, 200), rng) for _ in range(25)]
+    for t in texts[:12]:
+        for _ in range(6):
+            words = t.split()
+            words[rng.randrange(len(words))] = rng.choice(VOCABULARY)
+            texts.append(" ".join(words))
+    texts += [texts[3], texts[3], "", "a", "A"]
+    marks = [simhash_kernel.fingerprint(t) & (1 << 64) - 1 for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if (marks[i] ^ marks[j]).bit_count() <= 4]
+    rows = simhash_trie.query(frame(spark, texts)).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in rows} == {i: (f"{m:016x}", c) for i, (m, c) in enumerate(zip(marks, union_find(len(texts), links), strict=True))}
+    assert len({r.component_id for r in rows}) < len(texts) - 5
+    kept = simhash_trie.keep_first(frame(spark, texts))
+    assert {r.doc_id for r in kept.collect()} == set(union_find(len(texts), links))
+
+
 # ---- 7 ----
 
 
