@@ -82,18 +82,18 @@ def _with_matches(df: DataFrame, name: str, pattern: str, gate: Column) -> DataF
     cut = cut.withColumn(p, F.when(F.size(m) > 0, F.split("_text", pattern, -1)))
     cut = cut.withColumn(ml, F.transform(m, F.length)).withColumn(pl, F.transform(p, F.length))
 
-    def step(acc, i):
-        start = acc["pos"] + F.get(pl, i)
-        end = start + F.get(ml, i)
-        one = F.struct(
-            start.alias("start"), end.alias("end"), F.get(m, i).alias("text"),
+    done = f"_{name}_done"  # code points up to the end of each earlier match
+    cut = cut.withColumn(done, F.aggregate(F.zip_with(pl, ml, lambda a, b: a + b), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))))
+
+    def place(i):
+        start = F.get(done, i) + F.get(pl, i)
+        return F.struct(
+            start.alias("start"), (start + F.get(ml, i)).alias("end"), F.get(m, i).alias("text"),
             F.substring(F.get(p, i), -40, 40).alias("before"), F.substring(F.get(p, i + 1), 1, 8).alias("after"),
         )
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one)).cast(_MATCH).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(_MATCH).alias("out"))
-    placed = F.when(F.size(m) > 0, F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(_MATCH))
-    return cut.withColumn(name, placed).drop(m, p, ml, pl)
+    placed = F.when(F.size(m) > 0, F.transform(F.sequence(F.lit(0), F.size(m) - 1), place)).otherwise(F.array().cast(_MATCH))
+    return cut.withColumn(name, placed).drop(m, p, ml, pl, done)
 
 
 def _tagged(matches: Column, kind: str, base: Column | None) -> Column:
