@@ -22,8 +22,8 @@ ship(kernel)
 #: Words of a passage, of a gram, and grams of a minimiser window.
 LEAST, GRAM, WINDOW = 50, 5, 32
 
-#: Sort keys that the driver samples for each range.
-SAMPLES = 12
+#: Sort keys that the driver samples for each range, and for all ranges together, about.
+SAMPLES, ALL_SAMPLES = 30, 60_000
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -71,8 +71,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, win
 def _few_samples(spark: SparkSession):
     """Sort keys are long and the driver samples them by partition, so it is told to take fewer."""
     name = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, SAMPLES)
+    before, ranges = spark.conf.get(name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(name, max(4, min(SAMPLES, ALL_SAMPLES // ranges)))
     try:
         yield
     finally:
