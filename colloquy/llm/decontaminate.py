@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import edit_kernel as kernel
-from .common import map_rows, same_columns, ship
+from .common import map_rows, ship
 
 ship(kernel)
 
@@ -50,11 +50,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
     return reduce(DataFrame.unionByName, found)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """docs without those that reproduce a test item; rows without a doc_id are judged by their own text too."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.coalesce("text", F.lit(""))))
-    hit = contaminated(docs.select(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.coalesce("text", F.lit(""))).alias("doc_id"), "text"), benchmark, rate)
-    return same_columns(keyed.join(hit.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti"), docs)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs without the rows that reproduce a test item, each judged by its own text; nothing is shuffled."""
+    at, names = docs.columns.index("text"), docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names may hold dots
+    for items in _blocks(benchmark, block_chars):
+        plain = plain.mapInArrow(lambda batches, items=items: _clean(batches, at, items, rate), plain.schema)
+    return plain.toDF(*names)
+
+
+def _clean(batches, at: int, items: list[tuple], rate: float):
+    import pyarrow as pa
+
+    matcher = kernel.Matcher(items, rate)
+    for batch in batches:
+        text = batch.column(at)
+        mask = [next(matcher.matches(text[i].as_py()), None) is None for i in range(batch.num_rows)]
+        yield batch.filter(pa.array(mask, pa.bool_()))
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
