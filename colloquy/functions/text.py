@@ -23,8 +23,12 @@ def squeeze(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case tokens in order, repeats included."""
-    return F.transform(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)), F.lower)
+    """Lower-case tokens in order, repeats included.
+
+    The text is lowered at once, but for the one letter whose lower case is two characters.
+    """
+    found = lambda x: F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0))
+    return F.when(F.contains(text, F.lit("İ")), F.transform(found(text), F.lower)).otherwise(found(F.lower(text)))
 
 
 def first_word(text: Column) -> Column:
