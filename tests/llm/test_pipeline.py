@@ -75,3 +75,65 @@ def test_warc_query_equals_its_sql(spark):
     duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{DIR}/pages.parquet'")
     theirs = sorted(duckdb.sql(queries.oracle_sql()["op10_warc_segments"]).fetchall())
     assert sorted(map(tuple, queries.queries()["op10_warc_segments"](spark, DIR).collect())) == theirs
+
+
+def edited(words, similarity, rng):
+    """words with as many single words replaced, far from one another, as leave five-word shingles just that similar."""
+    words, n = list(words), len(words) - 4
+    for k in range(int(n * (1 - similarity) / (1 + similarity) / 5)):
+        words[7 + 9 * k] = f"edit{rng.random()}"
+    return words
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_drops_edited_copies(spark):
+    import random
+
+    rng, rows, gone = random.Random(5), [], set()
+    for i in range(40):
+        words = prose(400, rng).split()
+        rows.append((i, " ".join(words)))
+        for k, similarity in enumerate((0.8, 0.85, 0.9, 0.95, 0.7)):
+            rows.append((1000 + 10 * i + k, " ".join(edited(words, similarity, rng))))
+            if jaccard(rows[-1][1], rows[-1 - k - 1][1]) >= 0.8:
+                gone.add(rows[-1][0])
+    assert len(gone) == 160
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()}
+    assert {i for i, _ in rows} - kept >= gone and set(range(40)) <= kept
+
+
+@pytest.mark.parametrize("slice_at", [1024, 3])
+def test_near_dedup_equals_brute_force(spark, slice_at):
+    import random
+
+    from colloquy.llm import shingle_dedup
+
+    rng, base, rows = random.Random(9), [], []
+    base = [prose(120, rng) for _ in range(6)]
+    for i in range(90):
+        words = rng.choice(base).split()
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(len(words))] = "other"
+        rows.append((i % 80 if i % 11 else None, " ".join(words)))
+    rows += [rows[0], (None, rows[3][1]), (500, ""), (501, None), (502, "two words"), (503, "Two  words")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    groups = {}
+    for i, (doc_id, text) in enumerate(rows):
+        groups.setdefault(root(i), []).append((doc_id is None, doc_id, text))
+    kept = sorted((r.doc_id is None, -1 if r.doc_id is None else r.doc_id) for r in shingle_dedup.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string"), slice_at=slice_at).collect())
+    assert kept == sorted(min((a, -1 if a else b) for a, b, _ in g) for g in groups.values()) and 6 < len(kept) < 60
