@@ -14,18 +14,19 @@ _SPAN = "struct<kind:string,start:int,`end`:int,layers:string,value:string>"
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans, n_layers) for every row of docs(doc_id, text, ...).
+    """(doc_id, spans, n_layers, bounded) for every row of docs(doc_id, text, ...).
 
     spans holds kind, start, end (code points of the document), the layers unwrapped to reach
     it ('' in the text itself, else for instance 'url>base64>compressed') and the value as
     decoded. Layers are unwrapped until nothing new appears; a layer seen before is not taken
-    up again. A place inside a compressed layer maps to the whole encoded run. One layer is
-    unpacked to at most LAYER_CHARS characters and all layers of a document to TOTAL_CHARS,
-    against decompression bombs; the text itself is always scanned whole. Null and empty
+    up again. A place inside a compressed layer maps to the whole encoded run. All members of a
+    compressed stream are unpacked, and scanned in blocks that overlap. Against decompression
+    bombs all layers of a document hold at most TOTAL_CHARS and 64 times its own length, and
+    32 compressions lie within one another; bounded tells where that ended the search. The text itself is always scanned whole. Null and empty
     texts have no spans; repeated rows repeat theirs; an empty table gives an empty table.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs.select("doc_id", "text"), kernel.scan, f"doc_id {kind}, spans array<{_SPAN}>, n_layers int")
+    return map_rows(docs.select("doc_id", "text"), kernel.scan, f"doc_id {kind}, spans array<{_SPAN}>, n_layers int, bounded boolean")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import bz2
+import codecs
 import hashlib
 import html
+import itertools
 import lzma
 import re
 import zlib
@@ -24,8 +26,11 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _PACKED = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
-#: Safety bounds for one document: characters of one unpacked layer, and of all its layers.
-LAYER_CHARS, TOTAL_CHARS = 1 << 24, 1 << 26
+#: An unpacked layer is taken in blocks of LAYER_CHARS that share OVERLAP characters.
+LAYER_CHARS, OVERLAP, BYTES = 1 << 24, 1 << 20, 1 << 20
+
+#: Safety bounds: characters of all layers of a document, which PER_CHAR adds to for each of its own; memory of an unpacker; depth.
+TOTAL_CHARS, PER_CHAR, UNPACKER, DEPTH = 1 << 26, 64, 1 << 27, 32
 
 
 def rules(text: str):
@@ -102,36 +107,140 @@ def _escaped(run: str):
     yield code if code and not 0xD800 <= ord(code[0]) <= 0xDFFF else "�", len(run)
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    """raw unpacked once, if it begins like a known compressed stream; cut at LAYER_CHARS."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, LAYER_CHARS)
-        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return zlib.decompressobj(15).decompress(raw, LAYER_CHARS)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, LAYER_CHARS)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor(memlimit=LAYER_CHARS * 4).decompress(raw, LAYER_CHARS)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return zstandard.ZstdDecompressor(max_window_size=LAYER_CHARS).decompressobj().decompress(raw)[:LAYER_CHARS]
-    except Exception:  # noqa: BLE001  bytes that only look like a stream
-        return None
+class _Zlib:
+    """zlib with the interface of the bz2 and lzma decompressors."""
+
+    def __init__(self, wbits: int):
+        self.inner = zlib.decompressobj(wbits)
+
+    def decompress(self, data: bytes, most: int) -> bytes:
+        return self.inner.decompress(self.inner.unconsumed_tail + data, most)
+
+    eof = property(lambda self: self.inner.eof)
+    unused_data = property(lambda self: self.inner.unused_data)
+    needs_input = property(lambda self: not self.inner.unconsumed_tail)
+
+
+class _Reader:
+    def __init__(self, chunks):
+        self.chunks = chunks
+
+    def read(self, _=-1) -> bytes:
+        return next(self.chunks, b"")
+
+
+def _unpacker(head: bytes):
+    """The name and maker of the decompressor for what begins like head, or None."""
+    if head[:2] == b"\x1f\x8b":
+        return "gzip", lambda: _Zlib(31)
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return "zlib", lambda: _Zlib(15)
+    if head[:3] == b"BZh":
+        return "bz2", bz2.BZ2Decompressor
+    if head[:6] == b"\xfd7zXZ\x00":
+        return "xz", lambda: lzma.LZMADecompressor(memlimit=UNPACKER)
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return "zstd", None
     return None
 
 
+def _inflated(chunks, name: str, new):
+    """What the stream in chunks unpacks to, all its members, in pieces of at most BYTES."""
+    if name == "zstd":
+        import zstandard
+
+        reader = zstandard.ZstdDecompressor(max_window_size=UNPACKER).stream_reader(_Reader(chunks), read_across_frames=True)
+        while piece := reader.read(BYTES):
+            yield piece
+        return
+    one, data = new(), b""
+    while True:
+        piece, data = one.decompress(data, BYTES), b""
+        if piece:
+            yield piece
+        if one.eof:
+            data = one.unused_data
+            while len(data) < 6 and (more := next(chunks, b"")):
+                data += more
+            if (_unpacker(data) or " ")[0] != name:
+                return
+            one = new()
+        elif one.needs_input and len(piece) < BYTES and not (data := next(chunks, b"")):
+            return
+
+
+def _until_broken(pieces):
+    try:
+        yield from pieces
+    except Exception:  # noqa: BLE001  a stream broken later on has given what it holds
+        return
+
+
+def _noted(chunks, taken: list):
+    """chunks, of which the first 64 are kept in taken: a stream shows by then whether it is one."""
+    for c in chunks:
+        if len(taken) < 64:
+            taken.append(c)
+        yield c
+
+
+class Bounds:
+    """The characters that layers of a document may still have, and whether a bound was hit."""
+
+    def __init__(self, text: str):
+        self.left, self.hit = TOTAL_CHARS + PER_CHAR * len(text), False
+
+
+def _opened(raw: bytes, bounds: Bounds):
+    """(pieces, times unpacked) of raw, unpacked as often as it begins like a known compressed stream."""
+    head, chunks, depth = raw, iter([raw]), 0
+    while found := _unpacker(head):
+        if depth == DEPTH:
+            bounds.hit = True
+            break
+        taken = []
+        pieces = _inflated(_noted(chunks, taken), *found)
+        try:
+            head = next(pieces, b"")
+        except Exception:  # noqa: BLE001  bytes that only look like a stream
+            head = b""
+        if not head:
+            chunks = itertools.chain(taken, chunks)
+            break
+        chunks, depth = itertools.chain([head], _until_broken(pieces)), depth + 1
+    return chunks, depth
+
+
+def _blocks(pieces):
+    """Readable text of the pieces in blocks of about LAYER_CHARS; stops at the first one that is not."""
+    decoder, parts, size = codecs.getincrementaldecoder("utf-8")(), [], 0
+    try:
+        for piece in itertools.chain(pieces, [None]):
+            parts.append(decoder.decode(piece or b"", piece is None))
+            size += len(parts[-1])
+            if size >= LAYER_CHARS or piece is None:
+                text = "".join(parts)
+                if not _plain(text):
+                    return
+                yield text
+                parts, size = [text[-OVERLAP:]], min(OVERLAP, len(text))
+    except UnicodeDecodeError:
+        return
+
+
+def _plain(text: str) -> bool:
+    return bool(text) and sum(c.isprintable() or c in "\n\r\t" for c in text) >= 0.95 * len(text)
+
+
 def _readable(raw: bytes) -> str | None:
     try:
         text = raw.decode()
     except UnicodeDecodeError:
         return None
-    plain = sum(c.isprintable() or c in "\n\r\t" for c in text)
-    return text if text and plain >= 0.95 * len(text) else None
+    return text if _plain(text) else None
 
 
-def _unpacked(layer: Layer):
+def _unpacked(layer: Layer, bounds: Bounds):
     """Layers hidden in base64 runs, compressed or plain."""
     for m in _PACKED.finditer(layer.text):
         body = m[0].rstrip("=")
@@ -141,51 +250,56 @@ def _unpacked(layer: Layer):
             raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
         except ValueError:
             continue
-        how, inner = "base64", raw
-        while (more := _inflate(inner)) is not None and more != inner:
-            how, inner = f"{how}>compressed", more
-            if how.count(">") > 32:
-                break
-        text = _readable(inner)
-        if text is None:
-            continue
-        if inner is raw:
-            segments, at, byte = [], 0, 0
-            for c in text:
-                n = len(c.encode())
-                segments.append((at, m.start() + byte * 4 // 3, min(m.end(), m.start() - (-(byte + n) * 4 // 3)), False))
-                at, byte = at + 1, byte + n
-        else:
-            segments = [(0, m.start(), m.end(), False)]
-        yield Layer(text, layer, segments, how)
-
-
-def unwrap(text: str):
+        pieces, depth = _opened(raw, bounds)
+        for text in _blocks(pieces) if depth else filter(None, [_readable(raw)]):
+            if depth:
+                segments = [(0, m.start(), m.end(), False)]
+            else:
+                segments, at, byte = [], 0, 0
+                for c in text:
+                    n = len(c.encode())
+                    segments.append((at, m.start() + byte * 4 // 3, min(m.end(), m.start() - (-(byte + n) * 4 // 3)), False))
+                    at, byte = at + 1, byte + n
+            yield Layer(text, layer, segments, "base64" + ">compressed" * depth)
+
+
+def _inner(layer: Layer, bounds: Bounds):
+    yield from _unpacked(layer, bounds)
+    if ("\\" in layer.text or "&#" in layer.text) and (found := _replaced(layer, _ESCAPE, _escaped, "unicode")):
+        yield found
+    if "%" in layer.text and (found := _replaced(layer, _URL, _percent, "url")):
+        yield found
+
+
+def unwrap(text: str, bounds: Bounds | None = None):
     """Every distinct layer of text, itself first; ends because a text that was seen is not taken up again."""
-    work, seen, total = [Layer(text)], set(), 0
+    bounds = bounds or Bounds(text)
+    work, seen = [iter([Layer(text)])], set()
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        if mark in seen or total > TOTAL_CHARS:
+        if mark in seen:
             continue
+        if bounds.left < 0:
+            bounds.hit = True
+            return
         seen.add(mark)
         if layer.parent is not None:
-            total += len(layer.text)
+            bounds.left -= len(layer.text)
         yield layer
-        if "%" in layer.text and (found := _replaced(layer, _URL, _percent, "url")):
-            work.append(found)
-        if ("\\" in layer.text or "&#" in layer.text) and (found := _replaced(layer, _ESCAPE, _escaped, "unicode")):
-            work.append(found)
-        work.extend(_unpacked(layer))
+        work.append(_inner(layer, bounds))
 
 
-def secrets(text: str | None):
+def secrets(text: str | None, bounds: Bounds | None = None):
     """((kind, start, end, layers, value) sorted by start, kind and end, number of inner layers).
 
     layers is '' for base matches; a place that two layers show counts once, the base one first.
     """
     found, layers = {}, -1
-    for layer in unwrap(text or ""):
+    for layer in unwrap(text or "", bounds):
         layers += 1
         for kind, start, end in rules(layer.text):
             found.setdefault((*layer.origin(start, end), kind), (layer.how, layer.text[start:end]))
@@ -195,5 +309,6 @@ def secrets(text: str | None):
 
 def scan(rows):
     for doc_id, text in rows:
-        spans, layers = secrets(text)
-        yield doc_id, [dict(zip(("kind", "start", "end", "layers", "value"), s, strict=True)) for s in spans], layers
+        bounds = Bounds(text or "")
+        spans, layers = secrets(text, bounds)
+        yield doc_id, [dict(zip(("kind", "start", "end", "layers", "value"), s, strict=True)) for s in spans], layers, bounds.hit

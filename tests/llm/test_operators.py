@@ -1,9 +1,11 @@
 """Each operator against a plain version of itself."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -216,6 +218,24 @@ def test_base_rules_and_cycles():
     assert 1 <= layers < 20
 
 
+@pytest.mark.parametrize("member", [gzip.compress, bz2.compress, lambda b: lzma.compress(b, preset=9), zlib.compress])
+def test_all_members_are_unpacked(member):
+    raw = member(b"nothing here, ") + member(SECRET.encode())
+    (span,) = unwrap_kernel.secrets("x " + base64.b64encode(raw).decode())[0]
+    assert span[:2] == ("assign", 2) and span[3] == "base64>compressed"
+
+
+def test_secrets_behind_a_block_end_are_found(monkeypatch):
+    for name, value in (("LAYER_CHARS", 1 << 16), ("OVERLAP", 64), ("BYTES", 1 << 12)):
+        monkeypatch.setattr(unwrap_kernel, name, value, raising=False)
+    packed = base64.b64encode(gzip.compress(("é words " * 50_000 + "\n" + SECRET).encode())).decode()
+    bounds = unwrap_kernel.Bounds(packed)
+    assert [s[0] for s in unwrap_kernel.secrets(packed, bounds)[0]] == ["assign"] and not bounds.hit
+    monkeypatch.setattr(unwrap_kernel, "TOTAL_CHARS", -64 * len(packed))
+    bounds = unwrap_kernel.Bounds(packed)
+    assert not list(unwrap_kernel.unwrap(packed, bounds))[2:] and bounds.hit
+
+
 def test_secret_query_columns(spark):
     row = secret_scan.query(frame(spark, [SECRET + " " + urllib.parse.quote("api_key: ABCDEFGHIJKLMN")])).first()
     assert (row.n_assign, row.n_access, row.n_hex) == (1, 0, 0)
