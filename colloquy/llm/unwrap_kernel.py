@@ -25,6 +25,11 @@ KINDS = ("assign", "access", "hex")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _PACKED = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_NEXT_LINE = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_-]+={0,2})(?=[\x20\t]*(?:\r?\n|\Z|[\"'<\x60\\)]))")
+_INSIDE = re.compile(r"[/_-](?=[A-Za-z0-9+/_-]{16})")
+
+#: Characters of a run that show whether it can hold a layer.
+PROBE = 96
 
 #: An unpacked layer is taken in blocks of LAYER_CHARS that share OVERLAP characters.
 LAYER_CHARS, OVERLAP, BYTES = 1 << 24, 1 << 20, 1 << 20
@@ -240,27 +245,98 @@ def _readable(raw: bytes) -> str | None:
     return text if _plain(text) else None
 
 
+def _decoded(body: str) -> bytes | None:
+    body = body.rstrip("=")
+    if len(body) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
+    except ValueError:
+        return None
+
+
+def _promising(body: str) -> bool:
+    """Whether the first characters decode to text or to the head of a compressed stream."""
+    head = body[:PROBE].rstrip("=")
+    raw = _decoded(head[: len(head) - len(head) % 4]) or b""
+    if _unpacker(raw):
+        return True
+    try:
+        return _plain(codecs.getincrementaldecoder("utf-8")().decode(raw))
+    except UnicodeDecodeError:
+        return False
+
+
+def _wrapped(text: str, m: re.Match) -> list[list[tuple[int, int]]]:
+    """The spans of the lines that the run m goes on in, longest first: whole lines of one length, and a shorter last one."""
+    lines, at, found = [(m.start(), m.end())], m.end(), []
+    if m[0].endswith("="):
+        return []
+    while n := _NEXT_LINE.match(text, at):
+        width = lines[1][1] - lines[1][0] if len(lines) > 1 else None
+        if n.end(1) - n.start(1) > (width or max(76, len(m[0]))):
+            break
+        lines.append(n.span(1))
+        at = n.end()
+        if (width and n.end(1) - n.start(1) < width) or n[1].endswith("="):
+            break
+    if len(lines) > 1:
+        found.append(lines)
+    if len(lines) > 2:
+        found.append(lines[:-1])
+    return found
+
+
+def _layer(layer: Layer, spans: list[tuple[int, int]], bounds: Bounds):
+    """Layers of the base64 text that lies in these spans, and none if it does not decode to text."""
+    body = "".join(layer.text[a:b] for a, b in spans)
+    raw = _decoded(body)
+    if raw is None:
+        return
+    pieces, depth = _opened(raw, bounds)
+    begins = list(itertools.accumulate((b - a for a, b in spans), initial=0))
+
+    def place(i: int) -> int:
+        k = bisect_right(begins, i, 0, len(spans)) - 1
+        return spans[k][0] + i - begins[k]
+
+    for text in _blocks(pieces) if depth else filter(None, [_readable(raw)]):
+        if depth:
+            segments = [(0, spans[0][0], spans[-1][1], False)]
+        else:
+            segments, at, byte = [], 0, 0
+            for c in text:
+                n = len(c.encode())
+                segments.append((at, place(byte * 4 // 3), place(min(len(body), -(-(byte + n) * 4 // 3)) - 1) + 1, False))
+                at, byte = at + 1, byte + n
+        yield Layer(text, layer, segments, "base64" + ">compressed" * depth)
+
+
 def _unpacked(layer: Layer, bounds: Bounds):
-    """Layers hidden in base64 runs, compressed or plain."""
+    """Layers hidden in base64 runs, compressed or plain.
+
+    A run may go on over line breaks. One that does not decode to text is tried again from
+    each '/', '_' and '-' in it, as a path or a name may stand before the layer.
+    """
+    inside = 0
     for m in _PACKED.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        except ValueError:
+        if m.start() < inside:  # a line of a wrapped layer
             continue
-        pieces, depth = _opened(raw, bounds)
-        for text in _blocks(pieces) if depth else filter(None, [_readable(raw)]):
-            if depth:
-                segments = [(0, m.start(), m.end(), False)]
-            else:
-                segments, at, byte = [], 0, 0
-                for c in text:
-                    n = len(c.encode())
-                    segments.append((at, m.start() + byte * 4 // 3, min(m.end(), m.start() - (-(byte + n) * 4 // 3)), False))
-                    at, byte = at + 1, byte + n
-            yield Layer(text, layer, segments, "base64" + ">compressed" * depth)
+        begins = itertools.chain([m.start()], (n.end() for n in _INSIDE.finditer(layer.text, m.start(), m.end())))
+        for begin in begins:
+            promising, done = _promising(layer.text[begin : min(m.end(), begin + PROBE)]), False
+            if begin > m.start() and not promising:
+                continue
+            ways = [[(begin, lines[0][1]), *lines[1:]] for lines in _wrapped(layer.text, m)] if promising else []
+            for spans in [*ways, [(begin, m.end())]]:
+                for found in _layer(layer, spans, bounds):
+                    done = True
+                    yield found
+                if done:
+                    inside = spans[-1][1]
+                    break
+            if done:
+                break
 
 
 def _inner(layer: Layer, bounds: Bounds):

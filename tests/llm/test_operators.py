@@ -236,6 +236,20 @@ def test_secrets_behind_a_block_end_are_found(monkeypatch):
     assert not list(unwrap_kernel.unwrap(packed, bounds))[2:] and bounds.hit
 
 
+@pytest.mark.parametrize("pack", [lambda b: b, gzip.compress])
+@pytest.mark.parametrize("form", ["wrapped", "crlf", "path", "name"])
+def test_wrapped_and_prefixed_layers(pack, form):
+    plain = " ".join(hashlib.sha256(b"%d" % i).hexdigest()[:9] for i in range(40)) + " " + SECRET
+    packed = base64.b64encode(pack(plain.encode())).decode()
+    hidden = "\n".join(packed[i : i + 76] for i in range(0, len(packed), 76))
+    hidden = {"wrapped": hidden, "crlf": hidden.replace("\n", "\r\n"), "path": "/files/blob/" + packed, "name": "key_" + packed}[form]
+    text = f"é {hidden}\nThe end of it."
+    (span,) = [s for s in unwrap_kernel.secrets(text)[0] if s[0] == "assign" and s[4].startswith("token")]
+    assert span[4] == 'token="abcdef123456' and 2 <= span[1] < span[2] <= 2 + len(hidden)
+    if pack is not gzip.compress:
+        assert len(text[span[1] : span[2]].replace("\r", "").replace("\n", "")) <= len(span[4]) * 4 // 3 + 4
+
+
 def test_secret_query_columns(spark):
     row = secret_scan.query(frame(spark, [SECRET + " " + urllib.parse.quote("api_key: ABCDEFGHIJKLMN")])).first()
     assert (row.n_assign, row.n_access, row.n_hex) == (1, 0, 0)
