@@ -286,6 +286,14 @@ def test_quality_ratio_tells_junk(spark):
     assert all(rows[i] for i in range(60)) and not any(rows[i] for i in range(60, 90))
 
 
+def test_quality_target_grows_with_the_labels(spark):
+    rng = random.Random(8)
+    docs = frame(spark, [prose(60, rng) + f" own{i}" for i in range(40)])
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(40)], "doc_id bigint, quality int")
+    few, many = (quality_llr.fit(docs, labels, 1 << 10, n) for n in (8, 1000))
+    assert few.weights == many.weights and len(set(few.weights)) > 2
+
+
 # ---- 6 ----
 
 
