@@ -13,20 +13,27 @@ ship(kernel)
 _SPAN = "struct<kind:string,start:int,`end`:int,layers:string,value:string>"
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
+def find_secrets(docs: DataFrame, total: int | None = kernel.TOTAL_CHARS) -> DataFrame:
     """(doc_id, spans, n_layers, bounded) for every row of docs(doc_id, text, ...).
 
     spans holds kind, start, end (code points of the document), the layers unwrapped to reach
     it ('' in the text itself, else for instance 'url>base64>compressed') and the value as
     decoded. Layers are unwrapped until nothing new appears; a layer seen before is not taken
-    up again. A place inside a compressed layer maps to the whole encoded run. All members of a
-    compressed stream are unpacked, and scanned in blocks that overlap. Against decompression
-    bombs all layers of a document hold at most TOTAL_CHARS and 64 times its own length, and
-    32 compressions lie within one another; bounded tells where that ended the search. The text itself is always scanned whole. Null and empty
-    texts have no spans; repeated rows repeat theirs; an empty table gives an empty table.
+    up again. Bytes that are no UTF-8 stand as one character each, so rules also match in
+    partly binary layers, and streams are found behind any encoding and in the middle of a
+    layer. A place inside a compressed layer maps to the whole encoded stream; all members of
+    one are unpacked, in blocks that overlap. A tower of escapes deeper than COPIES whole texts
+    is then decoded to its end in one pass.
+
+    `total` and a share for each character of the document bound the characters of all its
+    layers, against decompression bombs, and an unpacker may take UNPACKER bytes of memory;
+    bounded tells where one of them ended the search, and total=None lifts the former. The text
+    itself is always scanned whole, however long. Null and empty texts have no spans; repeated
+    rows repeat theirs; other columns of docs, whatever their names, are left aside; an empty
+    table gives an empty table.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs.select("doc_id", "text"), kernel.scan, f"doc_id {kind}, spans array<{_SPAN}>, n_layers int, bounded boolean")
+    return map_rows(docs.select("doc_id", "text"), lambda rows: kernel.scan(rows, total), f"doc_id {kind}, spans array<{_SPAN}>, n_layers int, bounded boolean")
 
 
 def query(docs: DataFrame) -> DataFrame:

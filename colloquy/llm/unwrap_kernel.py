@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import base64
+import binascii
 import bz2
-import codecs
 import hashlib
-import html
 import itertools
 import lzma
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 
 #: The rules, in the order that ties are told in.
@@ -24,18 +23,34 @@ KINDS = ("assign", "access", "hex")
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-_PACKED = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_NEXT_LINE = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_-]+={0,2})(?=[\x20\t]*(?:\r?\n|\Z|[\"'<\x60\\)]))")
-_INSIDE = re.compile(r"[/_-](?=[A-Za-z0-9+/_-]{16})")
+_ENDS = re.compile(f"(?:%[0-9A-Fa-f]{{2}}|{_ESCAPE.pattern})\\Z")
+_PACKED = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+_NEXT_LINE = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_-]+)(={0,2})(?=[\x20\t]*(?:\r?\n|\Z|[\"'<\x60\\)]))")
+_PLAIN = str.maketrans("-_", "+/")
+
+#: How compressed streams begin: gzip, bz2, xz, zstd, zlib.
+_MAGIC = r"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\(\xb5/\xfd|x[\x01\x5e\x9c\xda]"
+_STREAM, _STREAM_BYTES = re.compile(_MAGIC), re.compile(_MAGIC.encode("latin-1"))
+
+#: What decoded bytes must hold to be worth a layer: the beginning of a rule or of a further encoding.
+_HINT = re.compile(
+    rb"(?i:passw|secret|token|api_?key)|AKIA|[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f]{2}|&#[0-9xX]|" + _MAGIC.encode("latin-1")
+)
+
+#: An unpacked layer is taken in blocks of BLOCK bytes that share OVERLAP bytes.
+BLOCK, OVERLAP = 1 << 24, 1 << 20
+
+#: Bytes that a stream is fed first, and later on; and a zstd stream at a time.
+FIRST, STEP, NIBBLE = 1 << 12, 1 << 20, 1 << 9
 
-#: Characters of a run that show whether it can hold a layer.
-PROBE = 96
+#: Whole-text copies in a row after which the rest of a tower of escapes is taken in one pass.
+COPIES = 8
 
-#: An unpacked layer is taken in blocks of LAYER_CHARS that share OVERLAP characters.
-LAYER_CHARS, OVERLAP, BYTES = 1 << 24, 1 << 20, 1 << 20
+#: Streams that are unpacked straight out of one another; a deeper one is a layer of its own.
+DEPTH = 32
 
-#: Safety bounds: characters of all layers of a document, which PER_CHAR adds to for each of its own; memory of an unpacker; depth.
-TOTAL_CHARS, PER_CHAR, UNPACKER, DEPTH = 1 << 26, 64, 1 << 27, 32
+#: Against decompression bombs: characters of all layers of a document, which PER_CHAR adds to for each of its own; memory of an unpacker.
+TOTAL_CHARS, PER_CHAR, UNPACKER = 1 << 30, 1 << 10, 1 << 27
 
 
 def rules(text: str):
@@ -53,48 +68,100 @@ def rules(text: str):
         yield "hex", m.start(), m.end()
 
 
+# ---- where the characters of a layer come from ------------------------------------------------
+
+
+class Whole:
+    """Every character comes from the same span of the layer above."""
+
+    def __init__(self, above, how: str, start: int, end: int):
+        self.above, self.how, self.start, self.end = above, how, start, end
+
+    def up(self, i: int) -> tuple[int, int]:
+        return self.start, self.end
+
+
+class Pieces:
+    """Characters from at[k] on come one by one from start[k] on, or all from start[k] to end[k]; end is -1 for the former."""
+
+    def __init__(self, above, how: str):
+        self.above, self.how = above, how
+        self.at, self.start, self.end = array("q"), array("q"), array("q")
+
+    def add(self, at: int, start: int, end: int) -> None:
+        self.at.append(at)
+        self.start.append(start)
+        self.end.append(end)
+
+    def up(self, i: int) -> tuple[int, int]:
+        k = bisect_right(self.at, i) - 1
+        if self.end[k] < 0:
+            start = self.start[k] + i - self.at[k]
+            return start, start + 1
+        return self.start[k], self.end[k]
+
+
+class Packed:
+    """Characters of base64 text that lies in spans, from its character `skip` on; sizes holds where each one's bytes begin, if not one each."""
+
+    def __init__(self, above, how: str, spans: list[tuple[int, int]], skip: int, sizes: array | None):
+        self.above, self.how, self.spans, self.skip, self.sizes = above, how, spans, skip, sizes
+        self.begins = list(itertools.accumulate((b - a for a, b in spans), initial=0))
+
+    def _place(self, i: int) -> int:
+        i = min(i, self.begins[-1] - 1)
+        k = bisect_right(self.begins, i) - 1
+        return self.spans[k][0] + i - self.begins[k]
+
+    def up(self, i: int) -> tuple[int, int]:
+        first, last = (i, i + 1) if self.sizes is None else (self.sizes[i], self.sizes[i + 1])
+        return self._place(self.skip + first * 4 // 3), self._place(self.skip + -(-last * 4 // 3) - 1) + 1
+
+
 class Layer:
-    """A text, and where its characters come from in the layer that it was unwrapped from.
+    def __init__(self, text: str, place=None, copies: int = 0):
+        self.text, self.place, self.copies = text, place, copies
 
-    A segment (at, start, end, even) says that the characters from `at` on come from start to
-    end of the parent: one by one if even, or else all of them from all of it.
-    """
 
-    def __init__(self, text: str, parent: Layer | None = None, segments: list[tuple[int, int, int, bool]] = (), how: str = ""):
-        self.text, self.parent, self.segments = text, parent, segments
-        self.how = f"{parent.how}>{how}" if parent and parent.how else how
-        self.starts = [s[0] for s in segments]
+def origin(place, start: int, end: int) -> tuple[int, int]:
+    """The span of the document that start to end of a layer comes from."""
+    while place is not None:
+        start, end = place.up(start)[0], place.up(end - 1)[1]
+        place = place.above
+    return start, end
+
 
-    def origin(self, start: int, end: int) -> tuple[int, int]:
-        """The span of the document that start to end of this layer comes from."""
-        if self.parent is None:
-            return start, end
-        return self.parent.origin(self._up(start)[0], self._up(end - 1)[1])
+def path(place) -> str:
+    """How a layer was reached, outermost step first."""
+    steps = []
+    while place is not None:
+        steps.append(place.how)
+        place = place.above
+    return ">".join(reversed(steps))
 
-    def _up(self, i: int) -> tuple[int, int]:
-        at, start, end, even = self.segments[bisect_right(self.starts, i) - 1]
-        return (start + i - at, start + i - at + 1) if even else (start, end)
+
+# ---- URL and Unicode escapes --------------------------------------------------------------------
 
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode, how: str) -> Layer | None:
-    """The whole text with every match of pattern decoded; decode gives (characters, source length) pairs."""
-    out, segments, at, last = [], [], 0, 0
+    """The whole text with every match of pattern decoded once; decode gives (characters, source length) pairs."""
+    place, out, at, last = Pieces(layer.place, how), [], 0, 0
     for m in pattern.finditer(layer.text):
         if m.start() > last:
             out.append(layer.text[last : m.start()])
-            segments.append((at, last, m.start(), True))
+            place.add(at, last, -1)
             at += m.start() - last
         source = m.start()
         for chars, n in decode(m[0]):
             out.append(chars)
-            segments.append((at, source, source + n, False))
+            place.add(at, source, source + n)
             at, source = at + len(chars), source + n
         last = m.end()
-    if not segments:
+    if not out:
         return None
     out.append(layer.text[last:])
-    segments.append((at, last, len(layer.text), True))
-    return Layer("".join(out), layer, segments, how)
+    place.add(at, last, -1)
+    return Layer("".join(out), place, layer.copies + 1)
 
 
 def _percent(run: str):
@@ -103,13 +170,59 @@ def _percent(run: str):
         for c in raw.decode():
             yield c, 3 * len(c.encode())
     except UnicodeDecodeError:
-        for b in raw:
-            yield chr(b), 3
+        yield from _percent_bytes(run)
+
+
+def _percent_bytes(run: str):
+    for b in bytes.fromhex(run.replace("%", "")):
+        yield chr(b), 3
+
+
+def _character(escape: str) -> str:
+    digits = escape[2:-1] if escape[0] == "&" else escape[2:] if escape[0] == "\\" else escape[1:]
+    code = int(digits) if escape[0] == "&" and digits.isdigit() and escape[2] not in "xX" else int(digits.lstrip("xX"), 16)
+    return chr(code) if code < 0xD800 or 0xDFFF < code <= 0x10FFFF else "\ufffd"
 
 
 def _escaped(run: str):
-    code = html.unescape(run) if run[0] == "&" else chr(min(int(run[2:], 16), 0x10FFFF))
-    yield code if code and not 0xD800 <= ord(code[0]) <= 0xDFFF else "�", len(run)
+    yield _character(run), len(run)
+
+
+def _settled(layer: Layer) -> Layer:
+    """The text with every URL and Unicode escape decoded until none is left, in one pass.
+
+    A decoded character goes back in front of what is still to be read, so that it can begin,
+    continue or end another escape. Each one shortens the text, so the pass takes linear time.
+    """
+    text, pos, back = layer.text, 0, []
+    chars, starts, ends, opener = [], array("q"), array("q"), -99
+    while back or pos < len(text):
+        if back:
+            c, s, e = back.pop()
+        else:
+            c, s, e, pos = text[pos], pos, pos + 1, pos + 1
+        if c in "%\\&":
+            opener = len(chars)
+        chars.append(c)
+        starts.append(s)
+        ends.append(e)
+        if len(chars) - opener <= 10 and c in "0123456789abcdefABCDEF;" and (m := _ENDS.search("".join(chars[opener:]))):
+            n = len(m[0])
+            back.append((_character(m[0]), starts[-n], ends[-1]))
+            del chars[-n:], starts[-n:], ends[-n:]
+            opener = next((k for k in range(len(chars) - 1, max(-1, len(chars) - 11), -1) if chars[k] in "%\\&"), -99)
+    place, run = Pieces(layer.place, "escapes"), None
+    for i, (s, e) in enumerate(zip(starts, ends, strict=True)):
+        if e - s != 1:
+            place.add(i, s, e)
+            run = None
+        elif run != s - i:
+            place.add(i, s, -1)
+            run = s - i
+    return Layer("".join(chars), place, COPIES + 1)
+
+
+# ---- compressed streams -------------------------------------------------------------------------
 
 
 class _Zlib:
@@ -126,247 +239,269 @@ class _Zlib:
     needs_input = property(lambda self: not self.inner.unconsumed_tail)
 
 
-class _Reader:
-    def __init__(self, chunks):
-        self.chunks = chunks
+class _Zstd:
+    """The same for zstd. It takes NIBBLE bytes at a time, as what they unpack to cannot be limited otherwise."""
 
-    def read(self, _=-1) -> bytes:
-        return next(self.chunks, b"")
+    def __init__(self):
+        import zstandard
 
+        self.inner, self.held = zstandard.ZstdDecompressor(max_window_size=UNPACKER).decompressobj(), b""
 
-def _unpacker(head: bytes):
-    """The name and maker of the decompressor for what begins like head, or None."""
-    if head[:2] == b"\x1f\x8b":
-        return "gzip", lambda: _Zlib(31)
-    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
-        return "zlib", lambda: _Zlib(15)
-    if head[:3] == b"BZh":
-        return "bz2", bz2.BZ2Decompressor
-    if head[:6] == b"\xfd7zXZ\x00":
-        return "xz", lambda: lzma.LZMADecompressor(memlimit=UNPACKER)
-    if head[:4] == b"\x28\xb5\x2f\xfd":
-        return "zstd", None
-    return None
+    def decompress(self, data: bytes, most: int) -> bytes:
+        self.held += data
+        out, size = [], 0
+        while self.held and not self.inner.eof and size < most:
+            part, self.held = self.held[:NIBBLE], self.held[NIBBLE:]
+            out.append(self.inner.decompress(part))
+            size += len(out[-1])
+        return b"".join(out)
 
+    eof = property(lambda self: self.inner.eof)
+    unused_data = property(lambda self: self.inner.unused_data + self.held)
+    needs_input = property(lambda self: not self.held)
 
-def _inflated(chunks, name: str, new):
-    """What the stream in chunks unpacks to, all its members, in pieces of at most BYTES."""
-    if name == "zstd":
-        import zstandard
 
-        reader = zstandard.ZstdDecompressor(max_window_size=UNPACKER).stream_reader(_Reader(chunks), read_across_frames=True)
-        while piece := reader.read(BYTES):
-            yield piece
-        return
-    one, data = new(), b""
+class Bounds:
+    """The characters that layers of a document may still have (None: any number), and whether a bound was hit."""
+
+    def __init__(self, text: str, total: int | None = TOTAL_CHARS):
+        self.left, self.hit = None if total is None else total + PER_CHAR * len(text), False
+
+    def take(self, n: int) -> bool:
+        if self.left is not None:
+            self.hit = self.hit or self.left < 0
+            self.left -= n
+        return not (self.left is not None and self.left + n < 0)
+
+
+class _Feed:
+    """Bytes from a place on, in chunks; `fed` is how many were given and `spare` how many of those the stream left over."""
+
+    def __init__(self, source: bytes | str, at: int):
+        self.source, self.at, self.fed, self.spare = source, at, 0, 0
+
+    def __iter__(self):
+        step = FIRST
+        while chunk := self.source[self.at + self.fed : self.at + self.fed + step]:
+            if isinstance(chunk, str):
+                try:
+                    chunk = chunk.encode("latin-1")
+                except UnicodeEncodeError as e:
+                    if e.start:
+                        self.fed += e.start
+                        yield chunk[: e.start].encode("latin-1")
+                    return
+            self.fed += len(chunk)
+            yield chunk
+            step = STEP
+
+
+def _kind(head: bytes) -> str | None:
+    if not _STREAM_BYTES.match(head):
+        return None
+    return {0x1F: "gzip", 0x42: "bz2", 0xFD: "xz", 0x28: "zstd", 0x78: "zlib"}[head[0]]
+
+
+_NEW = {"gzip": lambda: _Zlib(31), "zlib": lambda: _Zlib(15), "bz2": bz2.BZ2Decompressor, "xz": lambda: lzma.LZMADecompressor(memlimit=UNPACKER), "zstd": _Zstd}
+
+
+def _inflated(chunks, kind: str, feed: _Feed | None):
+    """What the stream in chunks unpacks to, all its members, in pieces of at most STEP bytes."""
+    one, data = _NEW[kind](), b""
     while True:
-        piece, data = one.decompress(data, BYTES), b""
+        piece, data = one.decompress(data, STEP), b""
         if piece:
             yield piece
         if one.eof:
             data = one.unused_data
-            while len(data) < 6 and (more := next(chunks, b"")):
+            while len(data) < 10 and (more := next(chunks, b"")):
                 data += more
-            if (_unpacker(data) or " ")[0] != name:
+            if _kind(data) != kind:
+                if feed:
+                    feed.spare = len(data)
                 return
-            one = new()
-        elif one.needs_input and len(piece) < BYTES and not (data := next(chunks, b"")):
+            one = _NEW[kind]()
+        elif one.needs_input and len(piece) < STEP and not (data := next(chunks, b"")):
             return
 
 
-def _until_broken(pieces):
+def _until_broken(pieces, bounds: Bounds):
+    """pieces up to where the stream breaks off; what it holds before that counts."""
     try:
         yield from pieces
-    except Exception:  # noqa: BLE001  a stream broken later on has given what it holds
-        return
-
-
-def _noted(chunks, taken: list):
-    """chunks, of which the first 64 are kept in taken: a stream shows by then whether it is one."""
-    for c in chunks:
-        if len(taken) < 64:
-            taken.append(c)
-        yield c
-
-
-class Bounds:
-    """The characters that layers of a document may still have, and whether a bound was hit."""
-
-    def __init__(self, text: str):
-        self.left, self.hit = TOTAL_CHARS + PER_CHAR * len(text), False
-
-
-def _opened(raw: bytes, bounds: Bounds):
-    """(pieces, times unpacked) of raw, unpacked as often as it begins like a known compressed stream."""
-    head, chunks, depth = raw, iter([raw]), 0
-    while found := _unpacker(head):
-        if depth == DEPTH:
-            bounds.hit = True
-            break
-        taken = []
-        pieces = _inflated(_noted(chunks, taken), *found)
-        try:
-            head = next(pieces, b"")
-        except Exception:  # noqa: BLE001  bytes that only look like a stream
-            head = b""
-        if not head:
-            chunks = itertools.chain(taken, chunks)
+    except Exception as e:  # noqa: BLE001  each decompressor has errors of its own
+        bounds.hit = bounds.hit or "memory" in str(e).lower()
+
+
+def _opened(feed: _Feed, bounds: Bounds):
+    """(pieces, times) of the stream that begins in feed, unpacked as often as it begins like one; 0 times if it is none."""
+    chunks, depth = iter(feed), 0
+    head = next(chunks, b"")
+    chunks = itertools.chain([head], chunks)
+    while depth < DEPTH and (kind := _kind(head)):
+        before, after = itertools.tee(chunks) if depth else (None, chunks)
+        pieces = _until_broken(_inflated(after, kind, None if depth else feed), bounds)
+        inner = next(pieces, b"")
+        if not inner:  # bytes that only look like a stream
+            chunks = before or iter(())
             break
-        chunks, depth = itertools.chain([head], _until_broken(pieces)), depth + 1
+        head, chunks, depth = inner, itertools.chain([inner], pieces), depth + 1
     return chunks, depth
 
 
 def _blocks(pieces):
-    """Readable text of the pieces in blocks of about LAYER_CHARS; stops at the first one that is not."""
-    decoder, parts, size = codecs.getincrementaldecoder("utf-8")(), [], 0
-    try:
-        for piece in itertools.chain(pieces, [None]):
-            parts.append(decoder.decode(piece or b"", piece is None))
-            size += len(parts[-1])
-            if size >= LAYER_CHARS or piece is None:
-                text = "".join(parts)
-                if not _plain(text):
-                    return
-                yield text
-                parts, size = [text[-OVERLAP:]], min(OVERLAP, len(text))
-    except UnicodeDecodeError:
-        return
-
-
-def _plain(text: str) -> bool:
-    return bool(text) and sum(c.isprintable() or c in "\n\r\t" for c in text) >= 0.95 * len(text)
-
-
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if _plain(text) else None
-
-
-def _decoded(body: str) -> bytes | None:
-    body = body.rstrip("=")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-    except ValueError:
-        return None
+    """The pieces as texts of about BLOCK bytes: UTF-8, or else a character for each byte."""
+    held = bytearray()
+    for piece in pieces:
+        held += piece
+        if len(held) >= BLOCK:
+            text, _ = _as_text(bytes(held))
+            yield text
+            del held[:-OVERLAP]
+            while held and 0x80 <= held[0] < 0xC0:
+                del held[:1]
+    if held:
+        yield _as_text(bytes(held))[0]
+
+
+def _as_text(raw: bytes) -> tuple[str, array | None]:
+    """raw as text, and where each character's bytes begin if they are not one each; bytes cut off at the end are left out."""
+    for cut in range(4):
+        try:
+            text = raw[: len(raw) - cut].decode()
+        except UnicodeDecodeError as e:
+            if e.start < len(raw) - cut - 4:
+                break
+            continue
+        if text.isascii():
+            return text, None
+        sizes = array("q", itertools.accumulate((1 if c < "\x80" else 2 if c < "ࠀ" else 3 if c < "\U00010000" else 4 for c in text), initial=0))
+        return text, sizes
+    return raw.decode("latin-1"), None
+
+
+def _streams(source: bytes | str, bounds: Bounds):
+    """(start, end, texts, times unpacked) of every compressed stream in bytes, or in characters that stand for bytes."""
+    pattern, at = (_STREAM if isinstance(source, str) else _STREAM_BYTES), 0
+    while m := pattern.search(source, at):
+        feed = _Feed(source, m.start())
+        pieces, depth = _opened(feed, bounds)
+        if not depth:
+            at = m.start() + 1
+            continue
+        texts = _blocks(pieces)
+        first = next(texts, "")  # by then a stream of one block has ended
+        at = max(m.start() + 1, m.start() + feed.fed - feed.spare)
+        yield m.start(), at, itertools.chain([first], texts), depth
 
 
-def _promising(body: str) -> bool:
-    """Whether the first characters decode to text or to the head of a compressed stream."""
-    head = body[:PROBE].rstrip("=")
-    raw = _decoded(head[: len(head) - len(head) % 4]) or b""
-    if _unpacker(raw):
-        return True
-    try:
-        return _plain(codecs.getincrementaldecoder("utf-8")().decode(raw))
-    except UnicodeDecodeError:
-        return False
+# ---- base64 -------------------------------------------------------------------------------------
 
 
-def _wrapped(text: str, m: re.Match) -> list[list[tuple[int, int]]]:
-    """The spans of the lines that the run m goes on in, longest first: whole lines of one length, and a shorter last one."""
-    lines, at, found = [(m.start(), m.end())], m.end(), []
-    if m[0].endswith("="):
-        return []
+def _lines(text: str, m: re.Match) -> list[tuple[int, int]]:
+    """The spans of the lines that the run m goes on in: whole lines of one length, and a shorter last one."""
+    lines, at = [m.span()], m.end()
     while n := _NEXT_LINE.match(text, at):
         width = lines[1][1] - lines[1][0] if len(lines) > 1 else None
-        if n.end(1) - n.start(1) > (width or max(76, len(m[0]))):
+        size = n.end(1) - n.start(1)
+        if size > (width or max(76, len(m[0]))):
             break
         lines.append(n.span(1))
         at = n.end()
-        if (width and n.end(1) - n.start(1) < width) or n[1].endswith("="):
+        if (width and size < width) or n[2]:
             break
-    if len(lines) > 1:
-        found.append(lines)
-    if len(lines) > 2:
-        found.append(lines[:-1])
-    return found
-
-
-def _layer(layer: Layer, spans: list[tuple[int, int]], bounds: Bounds):
-    """Layers of the base64 text that lies in these spans, and none if it does not decode to text."""
-    body = "".join(layer.text[a:b] for a, b in spans)
-    raw = _decoded(body)
-    if raw is None:
-        return
-    pieces, depth = _opened(raw, bounds)
-    begins = list(itertools.accumulate((b - a for a, b in spans), initial=0))
+    return lines
 
-    def place(i: int) -> int:
-        k = bisect_right(begins, i, 0, len(spans)) - 1
-        return spans[k][0] + i - begins[k]
 
-    for text in _blocks(pieces) if depth else filter(None, [_readable(raw)]):
-        if depth:
-            segments = [(0, spans[0][0], spans[-1][1], False)]
-        else:
-            segments, at, byte = [], 0, 0
-            for c in text:
-                n = len(c.encode())
-                segments.append((at, place(byte * 4 // 3), place(min(len(body), -(-(byte + n) * 4 // 3)) - 1) + 1, False))
-                at, byte = at + 1, byte + n
-        yield Layer(text, layer, segments, "base64" + ">compressed" * depth)
+def _runs(text: str):
+    """Spans of base64 text: runs that go on over line breaks, and every run by itself."""
+    done = 0
+    for m in _PACKED.finditer(text):
+        if m.start() >= done and len(lines := _lines(text, m)) > 1:
+            done = lines[-1][1]
+            yield lines
+        yield [m.span()]
+
+
+def _decoded(body: str) -> bytes:
+    n = len(body) - (len(body) % 4 == 1)
+    return binascii.a2b_base64(body[:n].translate(_PLAIN) + "=" * (-n % 4))
 
 
 def _unpacked(layer: Layer, bounds: Bounds):
     """Layers hidden in base64 runs, compressed or plain.
 
-    A run may go on over line breaks. One that does not decode to text is tried again from
-    each '/', '_' and '-' in it, as a path or a name may stand before the layer.
+    Each run is decoded from its first four characters on, one of which has the layer's
+    alignment whatever word, path or name stands in front of it. Bytes that are no text at
+    that end, or all of them, do no harm: a rule or a stream shows in what remains. Bytes of a
+    stream are not taken for text as well.
     """
-    inside = 0
-    for m in _PACKED.finditer(layer.text):
-        if m.start() < inside:  # a line of a wrapped layer
-            continue
-        begins = itertools.chain([m.start()], (n.end() for n in _INSIDE.finditer(layer.text, m.start(), m.end())))
-        for begin in begins:
-            promising, done = _promising(layer.text[begin : min(m.end(), begin + PROBE)]), False
-            if begin > m.start() and not promising:
+    for spans in _runs(layer.text):
+        body = "".join(layer.text[a:b] for a, b in spans)
+        for skip in range(4):
+            raw = _decoded(body[skip:])
+            if not _HINT.search(raw):
                 continue
-            ways = [[(begin, lines[0][1]), *lines[1:]] for lines in _wrapped(layer.text, m)] if promising else []
-            for spans in [*ways, [(begin, m.end())]]:
-                for found in _layer(layer, spans, bounds):
-                    done = True
-                    yield found
-                if done:
-                    inside = spans[-1][1]
-                    break
-            if done:
-                break
+            rest = bytearray(raw)
+            for start, end, texts, depth in _streams(raw, bounds):
+                rest[start:end] = b" " * (end - start)
+                edge = Packed(layer.place, "base64", spans, skip, None)
+                place = Whole(layer.place, "base64" + ">compressed" * depth, edge.up(start)[0], edge.up(end - 1)[1])
+                yield from (Layer(t, place) for t in texts)
+            if not _HINT.search(rest):
+                continue
+            text, sizes = _as_text(bytes(rest))
+            yield Layer(text, Packed(layer.place, "base64", spans, skip, sizes))
+
+
+# ---- the worklist ---------------------------------------------------------------------------------
 
 
 def _inner(layer: Layer, bounds: Bounds):
     yield from _unpacked(layer, bounds)
-    if ("\\" in layer.text or "&#" in layer.text) and (found := _replaced(layer, _ESCAPE, _escaped, "unicode")):
+    for start, end, texts, depth in _streams(layer.text, bounds):
+        place = Whole(layer.place, ">".join(["compressed"] * depth), start, end)
+        yield from (Layer(t, place) for t in texts)
+    if layer.copies > COPIES:
+        return
+    escapes, percents = "\\" in layer.text or "&#" in layer.text, "%" in layer.text
+    if layer.copies == COPIES and (escapes or percents):
+        yield _settled(layer)
+        return
+    if escapes and (found := _replaced(layer, _ESCAPE, _escaped, "unicode")):
         yield found
-    if "%" in layer.text and (found := _replaced(layer, _URL, _percent, "url")):
+    if percents and (found := _replaced(layer, _URL, _percent, "url")):
+        if not found.text.isascii():  # bytes of a stream may look like UTF-8
+            other = _replaced(layer, _URL, _percent_bytes, "url")
+            if _STREAM.search(other.text):
+                yield other
         yield found
 
 
 def unwrap(text: str, bounds: Bounds | None = None):
-    """Every distinct layer of text, itself first; ends because a text that was seen is not taken up again."""
+    """Every distinct layer of text, itself first; ends because a text that was seen is not taken up again.
+
+    The next layer is made before the one at hand is gone into, so a tower of layers with
+    one inside each holds two of them at a time.
+    """
     bounds = bounds or Bounds(text)
-    work, seen = [iter([Layer(text)])], set()
+    work, seen = [(Layer(text), iter(()))], set()
     while work:
-        layer = next(work[-1], None)
-        if layer is None:
-            work.pop()
-            continue
+        layer, more = work.pop()
+        following = next(more, None)
+        if following is not None:
+            work.append((following, more))
         mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if layer.place is not None and not bounds.take(len(layer.text)):
+            return
         if mark in seen:
             continue
-        if bounds.left < 0:
-            bounds.hit = True
-            return
         seen.add(mark)
-        if layer.parent is not None:
-            bounds.left -= len(layer.text)
         yield layer
-        work.append(_inner(layer, bounds))
+        inner = _inner(layer, bounds)
+        first = next(inner, None)
+        if first is not None:
+            work.append((first, inner))
 
 
 def secrets(text: str | None, bounds: Bounds | None = None):
@@ -378,13 +513,13 @@ def secrets(text: str | None, bounds: Bounds | None = None):
     for layer in unwrap(text or "", bounds):
         layers += 1
         for kind, start, end in rules(layer.text):
-            found.setdefault((*layer.origin(start, end), kind), (layer.how, layer.text[start:end]))
+            found.setdefault((*origin(layer.place, start, end), kind), (path(layer.place), layer.text[start:end]))
     spans = sorted(((s, KINDS.index(k), e, k, *more) for (s, e, k), more in found.items()))
     return [(k, s, e, how, value) for s, _, e, k, how, value in spans], layers
 
 
-def scan(rows):
+def scan(rows, total: int | None = TOTAL_CHARS):
     for doc_id, text in rows:
-        bounds = Bounds(text or "")
+        bounds = Bounds(text or "", total)
         spans, layers = secrets(text, bounds)
         yield doc_id, [dict(zip(("kind", "start", "end", "layers", "value"), s, strict=True)) for s in spans], layers, bounds.hit

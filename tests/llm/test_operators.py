@@ -226,14 +226,15 @@ def test_all_members_are_unpacked(member):
 
 
 def test_secrets_behind_a_block_end_are_found(monkeypatch):
-    for name, value in (("LAYER_CHARS", 1 << 16), ("OVERLAP", 64), ("BYTES", 1 << 12)):
-        monkeypatch.setattr(unwrap_kernel, name, value, raising=False)
+    for name, value in (("BLOCK", 1 << 16), ("OVERLAP", 64), ("STEP", 1 << 12)):
+        monkeypatch.setattr(unwrap_kernel, name, value)
     packed = base64.b64encode(gzip.compress(("é words " * 50_000 + "\n" + SECRET).encode())).decode()
     bounds = unwrap_kernel.Bounds(packed)
     assert [s[0] for s in unwrap_kernel.secrets(packed, bounds)[0]] == ["assign"] and not bounds.hit
-    monkeypatch.setattr(unwrap_kernel, "TOTAL_CHARS", -64 * len(packed))
-    bounds = unwrap_kernel.Bounds(packed)
+    bounds = unwrap_kernel.Bounds("", 0)
     assert not list(unwrap_kernel.unwrap(packed, bounds))[2:] and bounds.hit
+    bounds = unwrap_kernel.Bounds("", None)
+    assert len(list(unwrap_kernel.unwrap(packed, bounds))) > 3 and not bounds.hit
 
 
 @pytest.mark.parametrize("pack", [lambda b: b, gzip.compress])
