@@ -1,13 +1,21 @@
-"""Kernels of the sparse suffix array: minimiser positions, contexts, neighbour comparison, span merging."""
+"""Kernels of the sparse suffix array: anchors, contexts, comparison of neighbours, merging and cutting of spans."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import xxhash
 
 #: Odd multipliers of the word hashes in a gram hash.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
+#: Bits of a position in a packed gram; the hash has the others.
+_POSITION = np.uint64((1 << 30) - 1)
+
+#: Words whose hash is one step of the sort order.
+BLOCK = 8
+
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     """op over every window of width elements, in linear time: a prefix and a suffix scan by blocks."""
@@ -19,114 +27,172 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(right[: n - width + 1], left[width - 1 : n])
 
 
-def minimisers(words: list[bytes], gram: int, window: int) -> list[int]:
-    """Word positions whose gram hash is least in some window of `window` consecutive grams.
+def anchors(words: list[bytes], gram: int, window: int, least: int) -> list[tuple[int, int, int]]:
+    """(position, first, last): the anchor of the passages of `least` words that begin at first to last.
 
-    Of equal grams within reach of each other the last is kept, so a text that repeats itself
-    keeps one position a window. Texts shorter than a window have none.
+    The anchor of a passage is the position of the least gram hash among its first `window`
+    grams, the last of equal ones; so it depends on the passage's own words alone, and equal
+    passages have it at the same place.
     """
-    n = len(words) - gram + 1
-    if n < window:
+    n = len(words) - least + 1
+    if n < 1:
         return []
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    grams = np.zeros(n, np.uint64)
+    m = len(words) - gram + 1
+    grams = np.zeros(m, np.uint64)
     for k in range(gram):
-        grams += h[k : k + n] * _MIX[k % len(_MIX)]
+        grams += h[k : k + m] * _MIX[k % len(_MIX)]
         grams ^= grams >> np.uint64(29)
-    least = _sliding(grams, window, np.minimum)
-    wide = np.concatenate((np.zeros(window - 1, np.uint64), least, np.zeros(window - 1, np.uint64)))
-    at = np.flatnonzero(_sliding(wide, window, np.maximum) == grams)
-    if len(np.unique(grams[at])) == len(at):
-        return at.tolist()
-    kept, last = [], -window
-    own = grams[at]
-    for i, p in enumerate(at.tolist()):
-        if i + 1 < len(at) and own[i + 1] == own[i] and at[i + 1] - last < window:
-            continue
-        kept.append(p)
-        last = p
-    return kept
+    packed = (grams & ~_POSITION) | (_POSITION - np.arange(m, dtype=np.uint64))
+    at = (_POSITION - (_sliding(packed, window, np.minimum)[:n] & _POSITION)).astype(np.int64)
+    first = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
+    last = np.concatenate((first[1:] - 1, [n - 1]))
+    return list(zip(at[first].tolist(), first.tolist(), last.tolist(), strict=True))
 
 
-def suffixes(rows, gram: int, window: int, prefix: int):
-    """(prefix hash, doc_id, word position) of every retained suffix with at least `prefix` words."""
-    for doc_id, text in rows:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        for p in minimisers(words, gram, window):
-            if p + prefix <= len(words):
-                key = xxhash.xxh64_intdigest(b" ".join(words[p : p + prefix]), 1)
-                yield key - (1 << 64) if key >> 63 else key, doc_id, p
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def contexts(rows, before: int, after: int):
-    """From (doc_id, text, places as (pos, key, first)): a suffix's key, its next words, the words before it, and where it is."""
-    for doc_id, text, places in rows:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        for x in places:
-            p = x["pos"]
-            yield x["key"], b" ".join(words[p : p + after]), b" ".join(words[max(0, p - before) : p]), doc_id, p, x["first"]
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def common(a: list, b: list) -> int:
-    n = 0
-    for x, y in zip(a, b):  # noqa: B905
-        if x != y:
-            break
-        n += 1
-    return n
+def suffixes(rows, gram: int, window: int, least: int):
+    """From (doc_id, mark, text): (prefix hash, doc_id, mark, anchor, its least and largest distance from a passage's begin)."""
+    prefix = least - window + 1
+    for doc_id, mark, text in rows:
+        words = _words(text)
+        for p, first, last in anchors(words, gram, window, least):
+            yield _signed(xxhash.xxh64_intdigest(b" ".join(words[p : p + prefix]), 1)), doc_id, mark, p, p - last, p - first
 
 
-def extent(a: tuple, b: tuple) -> tuple[int, int]:
-    """(words shared before, words shared from the start) of two suffixes (key, after, before, ...) with the same key."""
-    right = len(a[1].split()) if a[1] == b[1] else common(a[1].split(), b[1].split())
-    left = len(a[2].split()) if a[2] == b[2] else common(a[2].split()[::-1], b[2].split()[::-1])
-    return left, right
+def _blocks(words: list[bytes]) -> int:
+    """Four times 16 bits, each from the hash of the next BLOCK words."""
+    out = 0
+    for k in range(0, 4 * BLOCK, BLOCK):
+        out = out << 16 | xxhash.xxh32_intdigest(b" ".join(words[k : k + BLOCK])) >> 16
+    return _signed(out)
 
 
-def pair_spans(a: tuple, b: tuple, least: int):
-    """Spans of both suffixes if what they share is long enough: (doc_id, start, end, first doc_id of the class)."""
-    if a[0] != b[0]:
-        return
-    left, right = extent(a, b)
-    if left + right >= least:
-        for x in (a, b):
-            yield x[3], x[4] - left, x[4] + right, x[5]
+def contexts(rows, window: int, least: int):
+    """From (doc_id, mark, text, places): each suffix with its sort order, its next words and, backwards, the words before it."""
+    prefix = least - window + 1
+    for doc_id, mark, text, places in rows:
+        words = _words(text)
+        for x in places:
+            p = x["pos"]
+            after, before = words[p : p + least], words[max(0, p - window + 1) : p][::-1]
+            yield x["key"], _blocks(after[prefix:]), _blocks(before), doc_id, mark, p, x["low"], x["high"], x["n"], x["first"], b" ".join(after), b" ".join(before)
 
 
-def neighbours(rows, least: int):
-    """Spans from each sorted suffix and the one before it; the first and last suffix of the partition go along, for the seams."""
-    from pyspark import TaskContext
+def common(a: bytes, b: bytes) -> int:
+    """Words that both begin with."""
+    a, b = a.split(), b.split()
+    if a == b:
+        return len(a)
+    return next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905
 
-    task = TaskContext.get()
-    part = task.partitionId() if task else 0
-    first = last = None
-    told = None
+
+def _shared_blocks(a: int, b: int) -> int:
+    x = (a ^ b) & (1 << 64) - 1
+    return (64 - x.bit_length()) // 16
+
+
+def neighbours(rows, window: int, least: int):
+    """(passage hash, doc_id, mark, start, end, first) from suffixes in sort order.
+
+    A row without a hash is a span that a suffix shares with the one before or after it. Rows
+    with one are single passages, for which an equal one may lie elsewhere: those of a suffix
+    that its neighbours leave open, one of each run of neighbours that share it, and all
+    passages of the first and last suffix, whose neighbours are in other partitions.
+    """
+    prefix = least - window + 1
+
+    def link(a, b):
+        """(words shared before, words shared after, the most that any suffix beyond can share after)."""
+        if a is None or a[0] != b[0]:
+            return 0, 0, 0
+        q = _shared_blocks(a[1], b[1])
+        most = least if q == 4 else min(least, prefix + BLOCK * (q + 1) - 1)
+        return common(a[11], b[11]), common(a[10], b[10]), most
+
+    def told(row, before, after, edge):
+        key, _, _, doc_id, mark, pos, low, high, n, first, right, left = row
+        known = []
+        for l, r, _ in (before, after):  # noqa: E741
+            known.append(range(max(low, least - r), min(high, l) + 1))
+            if l + r >= least:
+                yield None, doc_id, mark, pos - l, pos + r, first
+        if n < 3 and not edge:  # the one other suffix is a neighbour
+            return
+        most = least if edge else max(before[2], after[2])
+        open_ = [d for d in range(max(low, least - most), high + 1) if edge or d not in known[0]]
+        if open_:
+            right, left = right.split(), left.split()
+            for d in open_:
+                passage = left[:d][::-1] + right[: least - d]
+                yield xxhash.xxh3_128_digest(b" ".join(passage)), doc_id, mark, pos - d, pos - d + least, first
+
+    held, before, edge = None, (0, 0, 0), True
     for row in rows:
-        if last is None:
-            first = row
-        else:
-            found = list(pair_spans(last, row, least))
-            if found and found[0] != told:  # else the pair before has given it
-                yield *found[0], None, None
-            if found:
-                yield *(told := found[1]), None, None
-        last = row
-    for side, row in ((0, first), (1, last)):
-        if row is not None:
-            yield row[3], row[4], None, row[5], 2 * part + side, dict(zip(("key", "after", "before"), row[:3], strict=True))
+        if held is None:
+            held = row
+            continue
+        if row[3:6] == held[3:6]:  # a repeated row
+            continue
+        after = link(held, row)
+        yield from told(held, before, after, edge)
+        held, before, edge = row, after, False
+    if held is not None:
+        yield from told(held, before, (0, 0, 0), True)
 
 
 def merge(rows):
-    """From (doc_id, spans as (start, end, first)): maximal spans, with the least first doc_id of what they are made of."""
-    for doc_id, spans in rows:
+    """From (doc_id, mark, spans as (start, end, first)): maximal spans, with the least first doc_id of what they are made of."""
+    for doc_id, mark, spans in rows:
         now = None
-        for s in sorted(((x["start"], x["end"], x["first"]) for x in spans), key=lambda x: x[:2]):
-            start, end, first = s
+        for start, end, first in sorted(((x["start"], x["end"], x["first"]) for x in spans), key=lambda x: x[:2]):
             if now and start <= now[1]:
-                now = (now[0], max(now[1], end), first if now[2] is None else now[2] if first is None else min(now[2], first))
+                now = (now[0], max(now[1], end), min(now[2], first))
             else:
                 if now:
-                    yield doc_id, *now
-                now = s
+                    yield doc_id, mark, *now
+                now = (start, end, first)
         if now:
-            yield doc_id, *now
+            yield doc_id, mark, *now
+
+
+def passages(rows, least: int):
+    """From (doc_id, mark, text, spans as (start, end)): (hash, doc_id, mark, start) of every passage of `least` words in a span."""
+    for doc_id, mark, text, spans in rows:
+        words = _words(text)
+        for x in spans:
+            for s in range(x["start"], x["end"] - least + 1):
+                yield xxhash.xxh3_128_digest(b" ".join(words[s : s + least])), doc_id, mark, s
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def cut(text: str, spans: list[dict], kept: list[int] | None, least: int) -> tuple[str, int]:
+    """(what is left of text, words cut): words of spans go but for those of passages that begin at `kept`."""
+    gone = sorted((x["start"], x["end"]) for x in spans)
+    n = max(e for _, e in gone) + 1
+    drop = np.zeros(n + least, np.int64)
+    for s, e in gone:
+        drop[s:e] = 1
+    for s in kept or ():
+        drop[s : s + least] = 0
+    out, at, cut_from = [], 0, None
+    for i, m in enumerate(_WORD.finditer(text)):
+        bad = i < len(drop) and drop[i]
+        if bad and cut_from is None:
+            cut_from = m.start()
+        elif not bad and cut_from is not None:
+            out.append(text[at:cut_from])
+            at, cut_from = m.start(), None
+        if i >= len(drop):
+            break
+    out.append(text[at:cut_from] if cut_from is not None else text[at:])
+    return "".join(out), int(drop.sum())

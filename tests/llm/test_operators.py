@@ -119,10 +119,70 @@ def test_repeated_passages_equal_brute_force(spark):
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from([b"a", b"b", b"c", b"d"]), max_size=150))
-def test_every_window_has_a_minimiser(words):
-    at = suffix_kernel.minimisers(words, 5, 12)
-    for i in range(len(words) - 4 - 12 + 1):
-        assert any(i <= p < i + 12 for p in at)
+def test_every_passage_has_one_anchor(words):
+    found = suffix_kernel.anchors(words, 5, 12, 20)
+    starts = [s for p, first, last in found for s in range(first, last + 1)]
+    assert starts == list(range(len(words) - 19))
+    anchor = {s: p - s for p, first, last in found for s in range(first, last + 1)}
+    assert all(0 <= d < 12 for d in anchor.values())
+    passages = collections.defaultdict(set)
+    for s, d in anchor.items():
+        passages[tuple(words[s : s + 20])].add(d)
+    assert all(len(d) == 1 for d in passages.values())
+
+
+def covered(texts, least=50):
+    """Words of each text that lie in a passage that occurs at two places or more."""
+    words = [t.split() for t in texts]
+    at = collections.defaultdict(set)
+    for d, w in enumerate(words):
+        for i in range(len(w) - least + 1):
+            at[tuple(w[i : i + least])].add((texts[d], i))
+    return {(d, k) for d, w in enumerate(words) for i in range(len(w) - least + 1) if len(at[tuple(w[i : i + least])]) > 1 or texts.count(texts[d]) > 1 for k in range(i, i + least)}
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_passages_whatever_stands_between(spark, parts):
+    rng = random.Random(parts)
+    own = [prose(n, rng) for n in (20, 15, 30)]
+    frequent = [prose(n, rng) for n in (40, 45, 25)]
+    texts = []
+    for k, (a, b) in enumerate(zip(own, frequent, strict=True)):  # two texts share both, many only one side
+        texts += [f"{prose(9, rng)} {a} {b} {prose(9, rng)}" for _ in range(2)]
+        texts += [f"{prose(12, rng)} {b} {prose(12 + k, rng)}" for _ in range(25)]
+        texts += [f"{prose(12, rng)} {a} {prose(30, rng)}" for _ in range(10)]
+    texts += ["a b c " * 60, "a b c " * 40 + prose(30, rng), "x " * 130, "x " * 70, prose(3, rng) + " x" * 49, prose(5, rng) + " " + "p q r s t u v " * 12]
+    for _ in range(30):  # texts over a tiny alphabet repeat themselves and one another at odd places
+        texts.append(" ".join(rng.choice(["m n", "o", "m n o o"]) for _ in range(60)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        rows = suffix_dedup.repeated_passages(frame(spark, texts)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    got = {(r.doc_id, k) for r in rows for k in range(r.start_word, r.end_word)}
+    wanted = covered(texts)
+    assert got == wanted and wanted
+
+
+def test_cut_passages_stay_once(spark):
+    rng = random.Random(21)
+    shared = [prose(n, rng) for n in (50, 64, 120)]
+    texts = [prose(rng.randint(0, 30), rng) + "\n " + (rng.choice(shared) if k % 3 else "") + "  " + prose(rng.randint(0, 30), rng) for k in range(30)]
+    texts += [texts[1], "a b c " * 60, None, ""]
+    rows = [(i, t, i * 2) for i, t in enumerate(texts)] + [(None, texts[1], 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `a.b` bigint").repartition(5)
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert sorted((str(r.doc_id), r["a.b"]) for r in got) == sorted((str(i), n) for i, _, n in rows)
+    left = {r.doc_id: r.text for r in got}
+    passages = lambda t: [tuple(w[i : i + 50]) for w in [(t or "").split()] for i in range(len(w) - 49)]
+    before = collections.Counter(x for t in texts for x in passages(t))
+    after = collections.Counter(x for i, t in left.items() if i is not None for x in passages(t))
+    often = {x for x, n in before.items() if n > 1}
+    assert often and all(after[x] == 1 or (x[0] in "abc" and after[x]) for x in often)
+    assert left[None] == texts[1] and left[len(texts) - 2] is None and left[len(texts) - 1] == ""
+    untouched = [i for i, t in enumerate(texts[:30]) if not any(before[x] > 1 for x in passages(t))]
+    assert untouched and all(left[i] == texts[i] for i in untouched)
+    assert all(len(r.text.split()) + r.n_removed_words == len(texts[r.doc_id].split()) for r in got if r.doc_id is not None and r.text)
 
 
 # ---- 3 ----
