@@ -124,3 +124,28 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, spread: str, how: str =
     last = F.coalesce(F.col("_parts"), F.lit(1)) - 1
     copied = small.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")))).drop("_parts")
     return dealt.join(copied, [key, "_part"], how).drop("_part")
+
+
+def row_key() -> Column:
+    """A hash that tells rows apart by doc_id and text."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
+#: Words of 64 bits that the filter of `likely` has at most, whatever the number of keys: its broadcast is bounded by this.
+FILTER_WORDS = 1 << 20
+
+
+def likely(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """df with _likely: false only where the hash `key` is not in wanted, so that few other rows need a shuffle.
+
+    A one-hash Bloom filter with about 16 bits a key, as rows of 64 bits that are broadcast; where
+    keys outgrow its fixed bound it says yes more often, which costs time and changes no result.
+    """
+    n = wanted.count()
+    words = min(FILTER_WORDS, 1 << max(10, (n // 4).bit_length()))
+    slot = lambda: F.pmod(F.col(key), F.lit(words).cast("bigint"))
+    bit = lambda: F.shiftrightunsigned(F.col(key), 58).cast("int")
+    one = F.lit(1).cast("bigint")
+    table = wanted.select(slot().alias("_slot"), F.call_function("shiftleft", one, bit()).alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+    held = F.call_function("shiftrightunsigned", F.col("_bits"), bit()).bitwiseAND(one) == 1
+    return df.withColumn("_slot", slot()).join(F.broadcast(table), "_slot", "left").withColumn("_likely", F.coalesce(held, F.lit(False))).drop("_slot", "_bits")

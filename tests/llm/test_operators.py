@@ -466,34 +466,59 @@ def test_held_out_toxicity(spark):
 # ---- 8 ----
 
 
+def line_chunks_of(lines):
+    """(start, end) of each chunk, by level."""
+    mask, n = (1 << 64) - 1, len(lines)
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
+    found = []
+    for k in range(line_chunks.LEVELS if n > 1 else 0):
+        rolled = lambda i: h[i] ^ (h[i - 1] << 1 | h[i - 1] >> 63) & mask  # noqa: B023,E731
+        cuts = [0, *(i for i in range(1, n - 1) if (rolled(i) >> 16 * k & 0xFFFF) % line_chunks.DIVISOR), n - 1]
+        found += [(max(a - 1, 0), b + 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return list(dict.fromkeys(found))
+
+
 @pytest.mark.parametrize("bits", [64, 4])
 def test_line_chunks_equal_a_loop(spark, bits):
     rng = random.Random(7)
     lines = [prose(5, rng) for _ in range(30)] + ["", " "]
     passages = ["\n".join(rng.choice(lines) for _ in range(9)) for _ in range(4)]
     texts = ["\n".join([prose(4, rng), *(rng.choice(passages) for _ in range(rng.randint(0, 2))), prose(4, rng)]) for _ in range(50)]
-    mask, seen, wanted = (1 << 64) - 1, set(), []
-    turn = lambda x, n: (x << n | x >> (64 - n)) & mask
+    seen, wanted = set(), []
     for t in texts:
-        own, chunks, now = t.split("\n"), [], []
-        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in own]
-        for k, x in enumerate(own):
-            now.append(x)
-            rolled = h[k] ^ (turn(h[k - 1], 1) if k else 0) ^ (turn(h[k - 2], 2) if k > 1 else 0)
-            if (rolled - (1 << 64) if rolled >> 63 else rolled) % line_chunks.DIVISOR == 0:
-                chunks.append(now)
-                now = []
-        left = []
-        for c in [*chunks, *([now] if now else [])]:
-            whole = "\n".join(c)
-            if sum(bool(x.strip()) for x in c) >= line_chunks.MIN_LINES:
+        own, gone = t.split("\n"), set()
+        for a, b in line_chunks_of(own):
+            whole = "\n".join(own[a:b])
+            if sum(bool(x.strip()) for x in own[a:b]) >= line_chunks.MIN_LINES:
                 if whole in seen:
-                    continue
+                    gone |= set(range(a, b))
                 seen.add(whole)
-            left.append(whole)
-        wanted.append("\n".join(left))
+        wanted.append("\n".join(x for i, x in enumerate(own) if i not in gone))
     rows = line_chunks.remove_repeats(frame(spark, texts), hash_bits=bits).collect()
     assert {r.doc_id: r.text for r in rows} == dict(enumerate(wanted)) and any(r.n_removed_lines for r in rows)
+    assert all(r.n_lines == texts[r.doc_id].count("\n") + 1 and r.n_removed_lines == r.n_lines - (r.text.count("\n") + 1 if r.text or r.n_removed_lines < r.n_lines else 0) for r in rows)
+
+
+def test_repeated_passages_of_lines_are_found(spark):
+    """Passages of 5 to 12 lines in the middle of two texts: brute force finds every one; so do nearly all cuttings, and nothing else goes."""
+    rng = random.Random(15)
+    line = lambda: prose(10, rng)
+    passages = [[line() for _ in range(rng.randint(5, 12))] for _ in range(120)]
+    texts = ["\n".join([line() for _ in range(rng.randint(1, 9))] + p + [line() for _ in range(rng.randint(1, 9))]) for _ in range(2) for p in passages]
+    rows = {r.doc_id: r for r in line_chunks.remove_repeats(frame(spark, texts)).collect()}
+    assert all(rows[i].text == texts[i] for i in range(120))
+    cut = [rows[120 + i] for i in range(120)]
+    untouched = sum(r.n_removed_lines == 0 for r in cut)
+    assert untouched <= 1 and sum(r.n_removed_lines for r in cut) >= 0.9 * sum(map(len, passages))
+    for i, r in enumerate(cut):
+        assert set(texts[120 + i].split("\n")) - set(r.text.split("\n")) <= set(passages[i])
+
+
+def test_exact_copies_leave_nothing(spark):
+    rng = random.Random(16)
+    texts = ["\n".join(prose(8, rng) for _ in range(n)) for n in (2, 3, 7, 40)]
+    rows = {r.doc_id: r.text for r in line_chunks.remove_repeats(frame(spark, texts + texts + texts)).collect()}
+    assert [rows[i] for i in range(4)] == texts and {rows[i] for i in range(4, 12)} == {""}
 
 
 # ---- 9 ----
