@@ -1,8 +1,10 @@
 """Weighted finite-state clause grammar for toxicity, and the kernels that learn and apply it.
 
-Tag transducers read a clause's tokens and write at most one tag for each; the clause grammar
-is a weighted transducer over tags. Their composition runs token by token and keeps, for
-each grammar state, the best weight, so a clause costs time in proportion to its length.
+The lexicon is a transducer from tokens to tags, with an arc for every tag that a token can
+have. Transducers for negation, reported speech, targets and threats rewrite the tags in turn
+and a last one names events; all are composed into one machine, whose arcs are made as they
+are needed. The best path through it is sought token by token, with the best weight for each
+state, so a clause costs time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 _TOKEN = re.compile(r"[^\W_]+")
 _CLAUSE = re.compile(r"[^.!?;\n]+")
@@ -25,65 +28,153 @@ WORDS = {
 #: Shortest and longest stems that the insult lexicon may hold; a longer word may enter whole.
 STEM = (4, 8)
 
-#: What a clause of each kind is worth before any label is seen, and how many labelled clauses that counts for.
-PRIOR = {"insult": 0.9, "target+insult": 0.95, "threat": 0.75, "negated": 0.4, "reported": 0.5}
+#: What an event of each kind is worth before any label is seen, and how many labelled documents that counts for.
+_PLAIN, _MODIFIED = {"insult": 0.9, "target+insult": 0.95, "threat": 0.75}, {"": 1.0, "negated ": 0.45, "reported ": 0.55, "reported negated ": 0.3}
+PRIOR = {m + k: round(w * v, 3) for k, w in _PLAIN.items() for m, v in _MODIFIED.items()}
 PRIOR_WEIGHT = 2.0
 
+#: Tokens that each context reaches over: after a negation, a report, a target or a threat word, and from an insult on to a target.
+REACH = {"negation": 3, "report": 6, "target": 4, "threat": 4, "ahead": 2}
+
+#: Tags of tokens: insult, threat word, target, negation, report, any other word.
+TAGS = {"insult": "I", "threat": "H", "target": "T", "negation": "N", "report": "Q"}
+OTHER = "o"
+
 
 class Transducer:
-    """Arcs (state, tag) -> (state, clause kind so far); states are small strings.
+    """A letter-to-letter transducer: step(state, symbol) gives (symbol written, next state) for each arc; a path may end in states where ends(state) holds."""
+
+    start: object = 0
+
+    def step(self, state, symbol: str):
+        raise NotImplementedError
+
+    def ends(self, state) -> bool:
+        return True
+
+
+class Scope(Transducer):
+    """Marks insults and threat words within reach of an opener; the state is how far it still reaches."""
+
+    def __init__(self, opener: str, mark: str, reach: int):
+        self.opener, self.mark, self.reach = opener, mark, reach
+
+    def step(self, state: int, symbol: str):
+        if symbol == self.opener:
+            yield symbol, self.reach
+        else:
+            yield symbol + self.mark if state and symbol[0] in "IH" else symbol, max(0, state - 1)
+
 
-    `near` is how many tokens a context word reaches: its state falls back after that.
+class Target(Transducer):
+    """Marks insults near a target. Before a target it must guess: such a path ends only once the target has come.
+
+    The state is how far the last target reaches, and how far ahead one must come (0: none).
     """
 
-    def __init__(self, arcs: dict[tuple[str, str], str], near: dict[str, int]):
-        self.arcs, self.near = arcs, near
-
-    def run(self, tags: list[str | None]) -> Counter:
-        """Clause kinds that end a path, by count: each insult or threat ends one."""
-        found: Counter = Counter()
-        state, left = "", 0
-        for tag in tags:
-            if tag is None:
-                left -= 1
-                if left <= 0:
-                    state = ""
-                continue
-            to = self.arcs.get((state, tag)) or self.arcs.get(("", tag))
-            if to is None:
-                continue
-            if to in PRIOR:
-                found[to] += 1
-                state, left = "", 0
-            else:
-                state, left = to, self.near[to]
-        return found
-
-
-#: target, negation and report open a context; an insult or a threat inside it closes the clause.
-GRAMMAR = Transducer(
-    {
-        ("", "insult"): "insult",
-        ("", "target"): "at target",
-        ("", "negation"): "negating",
-        ("", "report"): "reporting",
-        ("", "threat"): "threatening",
-        ("at target", "insult"): "target+insult",
-        ("at target", "negation"): "negating",
-        ("at target", "report"): "reporting",
-        ("at target", "threat"): "threatening",
-        ("negating", "insult"): "negated",
-        ("negating", "target"): "negating",
-        ("negating", "threat"): "negated",
-        ("reporting", "insult"): "reported",
-        ("reporting", "target"): "reporting",
-        ("reporting", "negation"): "reporting",
-        ("reporting", "threat"): "reported",
-        ("threatening", "target"): "threat",
-        ("threatening", "insult"): "threat",
-    },
-    {"at target": 4, "negating": 3, "reporting": 6, "threatening": 4},
-)
+    start = (0, 0)
+
+    def step(self, state: tuple[int, int], symbol: str):
+        behind, ahead = state
+        if symbol == "T":
+            yield symbol, (REACH["target"], 0)
+            return
+        if ahead == 1:  # the guess was wrong
+            return
+        left = (max(0, behind - 1), max(0, ahead - 1))
+        if symbol[0] != "I":
+            yield symbol, left
+        elif behind or ahead:
+            yield symbol + "@", left
+        else:
+            yield symbol, left
+            yield symbol + "@", (0, REACH["ahead"])
+
+    def ends(self, state) -> bool:
+        return not state[1]
+
+
+class Threat(Transducer):
+    """Takes a threat word for a threat (X) if a target or an insult comes within reach, and else for any other word; it must guess which."""
+
+    def step(self, state: int, symbol: str):
+        if symbol[0] in "TI":
+            yield symbol, 0
+        elif state == 1:  # the guess was wrong
+            return
+        elif symbol[0] == "H":
+            yield OTHER, max(0, state - 1)
+            if not state:
+                yield "X" + symbol[1:], REACH["threat"]
+        else:
+            yield symbol, max(0, state - 1)
+
+    def ends(self, state) -> bool:
+        return not state
+
+
+class Events(Transducer):
+    """Writes the kind of each insult and threat, and nothing for other symbols."""
+
+    def step(self, state, symbol: str):
+        if symbol[0] not in "IX":
+            yield "", state
+            return
+        plain = "threat" if symbol[0] == "X" else "target+insult" if "@" in symbol else "insult"
+        yield ("reported " if '"' in symbol else "") + ("negated " if "-" in symbol else "") + plain, state
+
+
+class Composed(Transducer):
+    """first, and second on what it writes; arcs are made when they are first needed and then kept."""
+
+    def __init__(self, first: Transducer, second: Transducer):
+        self.first, self.second, self.start = first, second, (first.start, second.start)
+        self.known: dict = {}
+
+    def step(self, state, symbol: str):
+        if (arcs := self.known.get((state, symbol))) is None:
+            a, b = state
+            arcs = [(out, (x, y)) for mid, x in self.first.step(a, symbol) for out, y in self.second.step(b, mid)]
+            self.known[state, symbol] = arcs
+        return arcs
+
+    def ends(self, state) -> bool:
+        return self.first.ends(state[0]) and self.second.ends(state[1])
+
+
+def grammar() -> Transducer:
+    """Negation, reported speech, targets and threats, composed into one transducer from tags to kinds of events."""
+    return reduce(Composed, [Scope("N", "-", REACH["negation"]), Scope("Q", '"', REACH["report"]), Target(), Threat(), Events()])
+
+
+def cost(kind: str, weight: float, weights: dict[str, float]) -> float:
+    """Log of the chance that an event is harmless."""
+    return math.log1p(-min(weights[kind] * weight, 1 - 1e-9))
+
+
+def best_path(machine: Transducer, readings, weights: dict[str, float]) -> list[tuple[str, float]]:
+    """(kind, weight) of the events on the path of least cost; readings are the (tag, weight) arcs of each token.
+
+    For each state only the best path to it is kept, so a clause takes time in proportion to
+    its tokens. Of paths that cost the same the one found first stays.
+    """
+    now = {machine.start: (0.0, None)}
+    for arcs in readings:
+        following: dict = {}
+        for state, (so_far, events) in now.items():
+            for tag, weight in arcs:
+                for kind, to in machine.step(state, tag):
+                    total = so_far + (cost(kind, weight, weights) if kind else 0.0)
+                    if to not in following or total < following[to][0]:
+                        following[to] = (total, (events, kind, weight) if kind else events)
+        now = following
+    done = [x for state, x in now.items() if machine.ends(state)]
+    _, events = min(done, key=lambda x: x[0])
+    found = []
+    while events:
+        events, kind, weight = events
+        found.append((kind, weight))
+    return found[::-1]
 
 
 def stems(token: str):
@@ -102,6 +193,7 @@ class Tagger:
         self.whole = {s[:-1]: w for s, w in lexicon.items() if s.endswith("$")}
         self.stem = {s: w for s, w in lexicon.items() if not s.endswith("$")}
         self.lengths = sorted({len(s) for s in self.stem})
+        self.machine = grammar()
 
     def insult(self, token: str) -> float:
         """Weight of the insult arc for this token; 0 where there is none."""
@@ -111,22 +203,26 @@ class Tagger:
                 best = max(best, self.stem.get(token[:n], 0.0))
         return best
 
-    def clauses(self, text: str | None):
-        """(kind, insult weight) of every clause that the grammar accepts."""
+    def readings(self, token: str) -> list[tuple[str, float]]:
+        """The lexicon transducer's arcs for a token: every tag that it can have, with a weight; any word can be just a word unless it is an insult."""
+        weight = self.insult(token)
+        found = [("I", weight)] if weight else []
+        found += [(TAGS[k], 1.0) for k, own in WORDS.items() if token in own]
+        return found or [(OTHER, 1.0)]
+
+    def clauses(self, text: str | None, weights: dict[str, float]):
+        """(kind, weight) of every event in the best reading of each clause."""
         lowered = (text or "").lower()
         tokens = set(_TOKEN.findall(lowered))
-        weight = {t: w for t in tokens if (w := self.insult(t))}
-        if not weight and not tokens & WORDS["threat"]:
+        arcs = {t: own for t in tokens if (own := self.readings(t))[0][0] != OTHER}
+        telling = {t for t, own in arcs.items() if any(tag in "IH" for tag, _ in own)}
+        if not telling:
             return
+        plain = [(OTHER, 1.0)]
         for m in _CLAUSE.finditer(lowered):
             words = _TOKEN.findall(m[0])
-            tags = ["insult" if w in weight else next((k for k, own in WORDS.items() if w in own), None) for w in words]
-            if "insult" not in tags and "threat" not in tags:
-                continue
-            best = max((weight[w] for w in words if w in weight), default=1.0)
-            for kind, n in GRAMMAR.run(tags).items():
-                for _ in range(n):
-                    yield kind, best
+            if not telling.isdisjoint(words):
+                yield from best_path(self.machine, [arcs.get(w, plain) for w in words], weights)
 
 
 def count_features(rows, wanted: frozenset | None = None):
@@ -140,27 +236,27 @@ def count_features(rows, wanted: frozenset | None = None):
 
 
 def count_clauses(rows, lexicon: dict[str, float]):
-    """(kind, toxic documents, other documents); kind 'none' for texts without a clause."""
+    """(kind, toxic documents, other documents); kind 'none' for texts without an event."""
     tagger, yes, no = Tagger(lexicon), Counter(), Counter()
     for text, toxic in rows:
-        kinds = {k for k, _ in tagger.clauses(text)} or {"none"}
+        kinds = {k for k, _ in tagger.clauses(text, PRIOR)} or {"none"}
         (yes if toxic else no).update(kinds)
     for k in yes.keys() | no.keys():
         yield k, yes[k], no[k]
 
 
 def score(text: str | None, tagger: Tagger, weights: dict[str, float], shift: float = 0.0) -> tuple[float, int]:
-    """(score, clauses): noisy-or over the matched clauses, starting from the rate of texts without any, then shifted on the logit scale."""
+    """(score, events): noisy-or over the events of all clauses, starting from the rate of texts without any, then shifted on the logit scale."""
     log_miss, n = math.log1p(-weights["none"]), 0
-    for kind, insult in tagger.clauses(text):
-        log_miss += math.log1p(-min(weights[kind] * insult, 1 - 1e-9))
+    for kind, weight in tagger.clauses(text, weights):
+        log_miss += cost(kind, weight, weights)
         n += 1
     log_hit = math.log(max(-math.expm1(log_miss), 1e-300))
     return 1 / (1 + math.exp(min(700.0, log_miss - log_hit - shift))), n
 
 
 def score_rows(rows, lexicon: dict[str, float], weights: dict[str, float], shift: float = 0.0):
-    """From (text, columns to pass on): these, the score and the number of clauses."""
+    """From (text, columns to pass on): these, the score and the number of events."""
     tagger = Tagger(lexicon)
     for text, *own in rows:
         yield *own, *score(text, tagger, weights, shift)

@@ -106,8 +106,10 @@ def _shrunk(yes: int, no: int, toward: float) -> float:
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """(doc_id, score, n_clauses) for every row of docs(doc_id, text, ...).
 
-    score is in 0 to 1. Null and empty texts have no clause and score the rate of such texts.
-    Repeated rows are scored one by one; an empty table gives an empty table.
+    score is in 0 to 1. n_clauses counts the insults and threats in the best reading of all
+    clauses. Null and empty texts have none and score the rate of such texts; very long texts,
+    and clauses, take time in proportion to their words. Repeated rows are scored one by one;
+    other columns, whatever their names, are left aside; an empty table gives an empty table.
     """
     lexicon, weights, shift = model.lexicon, model.weights, model.shift
     schema = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in ("doc_id", *keep)) + "score double, n_clauses int"
