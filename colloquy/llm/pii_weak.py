@@ -26,10 +26,15 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
-#: Further candidates of a kind.
+#: Further candidates of a kind: spelled-out mail, bracketed or spaced addresses, cards with other separators, national numbers.
+_AT, _DOT = r"\x20?[\[({]\x20?at\x20?[\])}]\x20?", r"\x20?[\[({]\x20?dot\x20?[\])}]\x20?"
+_IP_DOT = r"(?:\x20?[\[({](?:\.|dot)[\])}]\x20?|\x20\.\x20)"
+_CARD_GAP = r"[._/\u00A0\u2009\u2010-\u2013]"
 WIDER = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}++\x20?[(\[]at[)\]]\x20?{_HOST}++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?){_HOST}++)++",
-    "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++(?:{_AT}{_HOST}++(?:(?:\.|{_DOT}|\x20dot\x20){_HOST}++)++|\x20at\x20{_HOST}++(?:\x20dot\x20{_HOST}++)++)",
+    "ip": rf"(?<![0-9.])[0-9]{{1,3}}+(?:{_IP_DOT}[0-9]{{1,3}}+){{3}}(?![0-9])",
+    "card": rf"(?<![0-9])[0-9]{{4}}({_CARD_GAP})(?:[0-9]{{4}}\1[0-9]{{4}}\1[0-9]{{1,7}}|[0-9]{{6}}\1[0-9]{{5}})(?![0-9])",
+    "phone": r"(?<![0-9+.,/-])(?:\([0-9]{2,5}\)|0[0-9]{1,4}|[2-9][0-9]{2})[\x20./-]{1,2}[0-9]{2,4}(?:[\x20./-][0-9]{2,4}){1,3}(?![0-9])",
 }
 
 #: What a text must have at least for a pattern to be worth trying.
@@ -38,8 +43,10 @@ _GATES = {
     "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
     "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"),
     "phone": lambda t: F.contains(t, F.lit("+")) & t.rlike(r"\+[0-9]"),
-    "wide_email": lambda t: F.contains(t, F.lit("(at)")) | F.contains(t, F.lit("[at]")),
-    "wide_phone": lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"),
+    "wide_email": lambda t: t.rlike(r"[\[({]\x20?at\x20?[\])}]|\x20dot\x20"),
+    "wide_ip": lambda t: t.rlike(r"[0-9](?:\x20?[\[({](?:\.|dot)|\x20\.\x20[0-9])"),
+    "wide_card": lambda t: t.rlike(rf"[0-9]{{4}}{_CARD_GAP}[0-9]{{4}}"),
+    "wide_phone": lambda t: t.rlike(r"[0-9]\)?[\x20./-]{1,2}[0-9]{2,4}[\x20./-][0-9]{2}"),
 }
 
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -96,30 +103,50 @@ def _with_matches(df: DataFrame, name: str, pattern: str, gate: Column) -> DataF
     return cut.withColumn(name, placed).drop(m, p, ml, pl, done)
 
 
-def _tagged(matches: Column, kind: str, base: Column | None) -> Column:
-    rule = (lambda x: F.when(base(x), 1).otherwise(-1)) if base is not None else (lambda x: F.lit(0))
+def _tagged(matches: Column, kind: str, rule, base: bool) -> Column:
     fields = lambda x: [x[c].alias(c) for c in ("start", "end", "text", "before", "after")]
-    return F.transform(matches, lambda x: F.struct(F.lit(kind).alias("kind"), *fields(x), rule(x).alias("rule")))
+    return F.transform(matches, lambda x: F.struct(F.lit(kind).alias("kind"), *fields(x), rule(x).alias("rule"), (F.lit(base) & (rule(x) == 1)).alias("base")))
+
+
+def _wide_rule(kind: str, x: Column) -> Column:
+    """What the rule of a kind says about a match of its wider pattern."""
+    digits = _digits(x["text"])
+    if kind == "ip":
+        numbers = F.transform(F.regexp_extract_all(x["text"], F.lit("[0-9]+"), F.lit(0)), lambda n: n.cast("int"))
+        return F.when(F.forall(numbers, lambda n: n <= 255), 1).otherwise(-1)
+    if kind == "card":
+        return F.when(F.length(digits).between(13, 19) & F.call_function("luhn_check", digits), 1).otherwise(-1)
+    if kind == "phone":
+        return F.when(F.length(digits).between(9, 12), 1).otherwise(-1)
+    return F.lit(0)
+
+
+def _apart(kind: str, x: Column) -> Column:
+    """Whether a match of a wider pattern is no part of a match of a base pattern."""
+    if kind != "phone":
+        return F.lit(True)
+    plain_ip = x["text"].rlike(r"^[0-9]+(?:\.[0-9]+){3}$")
+    return ~plain_ip & ~x["before"].rlike(r"\+[0-9][\x20().0-9-]*$") & (F.length(_digits(x["text"])) < 13)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, found): candidates of every text, as structs with kind, place, surroundings and rule.
+    """(doc_id, found): candidates of every text, as structs with kind, place, surroundings, rule and base.
 
-    rule is 1 for matches that pass the base rule, -1 for card-like numbers that fail it,
-    0 for matches of the wider patterns, to which it does not apply.
+    rule is 1 for matches that pass the rule of their kind, -1 for those that fail it and 0 where
+    there is none; base is true for the matches that the base patterns and rules give.
     """
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
     text = F.col("_text")
     parts = []
     for kind in KINDS:
         df = _with_matches(df, kind, PATTERNS[kind], _GATES[kind](text))
-        near = {"ip": lambda x: _valid("ip", x["text"]), "phone": lambda x: _valid("phone", x["text"]), "card": lambda x: F.length(_digits(x["text"])).between(13, 19)}.get(kind)
+        near = {"card": lambda x: F.length(_digits(x["text"])).between(13, 19)}.get(kind)
         kept = F.filter(kind, near) if near else F.col(kind)
-        parts.append(_tagged(kept, kind, lambda x, kind=kind: _valid(kind, x["text"])))
+        parts.append(_tagged(kept, kind, lambda x, kind=kind: F.when(_valid(kind, x["text"]), 1).otherwise(-1), True))
     for kind, pattern in WIDER.items():
         df = _with_matches(df, f"wide_{kind}", pattern, _GATES[f"wide_{kind}"](text))
-        apart = lambda x: ~F.exists(kind, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))  # noqa: B023,E731
-        parts.append(_tagged(F.filter(f"wide_{kind}", apart), kind, None))
+        own = F.filter(f"wide_{kind}", lambda x: _apart(kind, x))  # noqa: B023
+        parts.append(_tagged(own, kind, lambda x, kind=kind: _wide_rule(kind, x), False))
     return df.select("doc_id", F.concat(*parts).alias("found"))
 
 
@@ -137,25 +164,25 @@ def _by_kind(kind: Column, each: dict[str, Column]) -> Column:
 def _features(x: Column) -> list[Column]:
     """Four votes, then the length class and what stands right before and after; all small whole numbers."""
     text, kind, digits = x["text"], x["kind"], _digits(x["text"])
-    tld = rf"(?i)(?:\.|dot[)\]]\x20?)(?:{'|'.join(TLDS)})$"
+    tld = rf"(?i)(?:\.|dot\x20?[)\]}}]?\x20?)(?:{'|'.join(TLDS)})$"
     issuer = digits.rlike("^(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)[0-9]*|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12}|35[0-9]{14})$")
-    private = text.rlike(r"^(?:0+|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.")
+    private = text.rlike(r"^(?:0+|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])[^0-9]")
     gazetteer = _by_kind(kind, {
         "email": _vote(text.rlike(tld), ~text.rlike(tld)),
         "ip": _vote(~private, private),
         "card": _vote(issuer, ~issuer),
-        "phone": _vote(text.rlike(CALLING_CODES), text.rlike(r"^\+0")),
+        "phone": _vote(text.rlike(CALLING_CODES) | text.rlike(r"^(?:\(?0[1-9]|\(?[2-9][0-9]{2}\)?[^0-9])"), text.rlike(r"^\+0")),
     })
     near = F.lower(x["before"])
     counted = near.rlike(r"(?:version|order|invoice|serial|token|hash|id|no\.|nr\.)[\s:#=\"']*$")
     context = _by_kind(kind, {k: _vote(near.rlike(rf"(?:^|[^\p{{L}}])(?:{'|'.join(CONTEXT[k].split())})"), counted) for k in KINDS})
     inside = x["before"].rlike(r"[\p{L}\p{N}]$") | x["after"].rlike(r"^[\p{L}\p{N}]")
-    grouped = text.rlike(r"^[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$") | text.rlike("^[0-9]+$")
+    grouped = text.rlike(r"^[0-9]{4}([^0-9])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{6}\1[0-9]{5})$") | text.rlike("^[0-9]+$")
     shape = _by_kind(kind, {
         "email": _vote(~inside, inside),
         "ip": _vote(~inside & ~x["after"].rlike(r"^\.[0-9]"), inside | x["after"].rlike(r"^\.[0-9]")),
         "card": _vote(grouped & ~inside, inside | ~grouped),
-        "phone": _vote(text.rlike(r"[\x20().-]") & ~inside, inside),
+        "phone": _vote(text.rlike(r"[\x20().-]") & ~inside, inside | text.rlike("^[0-9]{2}[-./][0-9]{2}[-./]")),
     })
     size = F.when(F.length(text) < 10, 0).when(F.length(text) < 16, 1).when(F.length(text) < 24, 2).otherwise(3)
     side = lambda s, at: F.when(s.rlike(at.replace("X", r"\s")), 0).when(s.rlike(at.replace("X", r"[\p{L}\p{N}]")), 1).when(s == "", 2).otherwise(3)
@@ -204,15 +231,16 @@ def _accepted(x: Column, weights: dict[tuple[str, int, object], float]) -> Colum
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) for every row of docs(doc_id, text, ...): structs of kind, start, end (code points), text and base.
 
-    Spans are ordered by kind as in KINDS, then start and end. Null and empty texts have none.
-    Repeated rows repeat theirs, and count once each in training; an empty table gives an
-    empty table. Candidates are found once and kept in the shared folder.
+    Spans are ordered by kind as in KINDS, then start and end. Null and empty texts have none;
+    very long ones are searched whole, by patterns that take linear time. Repeated rows repeat
+    theirs, and count once each in training; other columns, whatever their names, are left aside;
+    an empty table gives an empty table. Candidates are found once and kept in the shared folder.
     """
     found, _ = settle(candidates(docs), "pii")
     weights = fit(found)
-    added = F.filter(F.filter("found", lambda x: x["rule"] != 1), lambda x: _accepted(x, weights))
+    added = F.filter(F.filter("found", lambda x: ~x["base"]), lambda x: _accepted(x, weights))
     order = lambda x: _by_kind(x["kind"], {k: F.lit(i) for i, k in enumerate(KINDS)})
-    keyed = F.transform(F.concat(F.filter("found", lambda x: x["rule"] == 1), added), lambda x: F.struct(order(x).alias("o"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["text"].alias("text"), (x["rule"] == 1).alias("base")))
+    keyed = F.transform(F.concat(F.filter("found", lambda x: x["base"]), added), lambda x: F.struct(order(x).alias("o"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["text"].alias("text"), x["base"].alias("base")))
     spans = F.transform(F.sort_array(keyed), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), x["base"].alias("base")))
     one = F.struct("doc_id", spans.alias("spans"))
     # a generator, so that a filter on the spans is not pushed down into the array expressions

@@ -11,6 +11,23 @@ import numpy as np
 
 VALUES = (-1, 0, 1)
 
+#: The prior of either class is held below this, so that a kind seen in one class alone does not settle every candidate.
+SURE = 0.95
+
+
+def _no_worse_than_chance(table: np.ndarray, prior: float) -> np.ndarray:
+    """table with the votes of a labeler that speaks more often against a class than for it made the same for both.
+
+    This keeps class 1 the one that labelers vote for, so the classes cannot change places.
+    """
+    share = np.array([1 - prior, prior])
+    yes, no = table[1, :, 2] < table[0, :, 2], table[0, :, 0] < table[1, :, 0]
+    for j in range(table.shape[1]):
+        which = [0, 1, 2] if yes[j] and no[j] else [2] if yes[j] else [0] if no[j] else []
+        for value in which:
+            table[:, j, value] = share @ table[:, j, value]
+    return table / table.sum(axis=2, keepdims=True)
+
 
 def reliabilities(counts: dict[tuple, int], rounds: int = 60, pseudo: float = 1.0) -> tuple[float, np.ndarray, dict[tuple, float]]:
     """(prior, table, posterior) of a two-class model in which labelers vote independently given the class.
@@ -23,13 +40,13 @@ def reliabilities(counts: dict[tuple, int], rounds: int = 60, pseudo: float = 1.
     votes = np.array(patterns, int) + 1
     post = 1 / (1 + np.exp(-1.5 * (votes - 1).sum(axis=1)))
     for _ in range(rounds):
-        prior = (pseudo + (n * post).sum()) / (2 * pseudo + n.sum())
+        prior = min(max((pseudo + (n * post).sum()) / (2 * pseudo + n.sum()), 1 - SURE), SURE)
         table = np.full((2, votes.shape[1], len(VALUES)), pseudo)
         for j in range(votes.shape[1]):
             np.add.at(table[1, j], votes[:, j], n * post)
             np.add.at(table[0, j], votes[:, j], n * (1 - post))
-        # a labeler is taken to be no worse than chance: for class 1 it says yes at least as often as for class 0
         table /= table.sum(axis=2, keepdims=True)
+        table = _no_worse_than_chance(table, prior)
         logit = np.full(len(patterns), np.log(prior) - np.log1p(-prior))
         for j in range(votes.shape[1]):
             logit += np.log(table[1, j, votes[:, j]]) - np.log(table[0, j, votes[:, j]])
