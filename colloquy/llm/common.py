@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import itertools
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -42,8 +45,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of this thread that are still to be deleted, innermost scratch() last; what is left goes when Python ends.
+_folders = threading.local()
+
+
+def _open_lists() -> list[list[tuple[str, Callable[[], None]]]]:
+    if not hasattr(_folders, "lists"):
+        _folders.lists = [[]]
+        atexit.register(_delete, _folders.lists[0])
+    return _folders.lists
+
+
+def _delete(folders: list[tuple[str, Callable[[], None]]]) -> None:
+    while folders:
+        folders.pop()[1]()
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/colloquy/{label}-{uuid.uuid4().hex}"
+    """A new folder name in shared storage; the folder is deleted with the scratch() around, or when Python ends."""
+    path = f"{shared_dir(spark)}/colloquy/{label}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    _open_lists()[-1].append((path, lambda: files.delete(target, True)))
+    return path
 
 
 def settle(df: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -54,12 +78,25 @@ def settle(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def forget(spark: SparkSession, *paths: str) -> None:
-    """Delete folders that settle() wrote."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def forget(*paths: str) -> None:
+    """Delete folders of fresh_path() before their time."""
+    for folders in _open_lists():
+        for entry in [e for e in folders if e[0] in paths]:
+            folders.remove(entry)
+            entry[1]()
+
+
+@contextmanager
+def scratch():
+    """Folders made inside are deleted on leaving, also after a failure, but for those named to the function that this gives."""
+    lists, kept = _open_lists(), set()
+    lists.append([])
+    try:
+        yield lambda *paths: kept.update(paths)
+    finally:
+        own = lists.pop()
+        lists[-1].extend(e for e in own if e[0] in kept)
+        _delete([e for e in own if e[0] not in kept])
 
 
 def map_rows(

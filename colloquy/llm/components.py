@@ -28,12 +28,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     equi-join that deals hot hubs out, and is written to the shared folder. Null
     ends, self-links and repeats are dropped. An empty table gives an empty table.
     """
-    spark = links.sparkSession
     now, path = settle(links.filter("a <> b").select("a", "b").distinct(), "links")
     mark = _checksum(now)
     while mark[0]:
         stars, last = settle(_small_star(_large_star(now)).distinct(), "links")
-        forget(spark, path)
+        forget(path)
         now, path, before = stars, last, mark
         mark = _checksum(now)
         if mark == before:

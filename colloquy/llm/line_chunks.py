@@ -67,7 +67,6 @@ def _is_first() -> Column:
 
 def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, levels: int = LEVELS, min_lines: int = MIN_LINES, hash_bits: int = 64) -> tuple[DataFrame, str]:
     """(_key, _marks), and where it is kept: for rows with a chunk whose hash occurs elsewhere too, those chunks as (idx, hash, first)."""
-    spark = docs.sparkSession
     cut = _with_lines(docs.select(row_key().alias("_key"), "doc_id", "text"), divisor, levels)
     cut = cut.withColumn("_w", F.transform("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     chunk = lambda c: F.struct(_key(c, hash_bits).alias("hash"), F.size(F.filter(_chunk_lines(c, "_w"), lambda w: w)).alias("n"))
@@ -76,7 +75,7 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, levels: int = LEVEL
     often, often_at = settle(found.groupBy("hash").agg(F.count("*").alias("_n"), _first()).filter("_n > 1"), "line-chunks-often")
     marks = join_hot(found, often, "hash", "_key").groupBy("_key").agg(F.collect_set(F.struct("idx", "hash", _is_first().alias("first"))).alias("_marks"))
     kept = settle(marks, "line-marks")
-    forget(spark, found_at, often_at)
+    forget(found_at, often_at)
     return kept
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash_kernel as kernel
-from .common import join_hot, map_rows, same_columns, settle, ship
+from .common import join_hot, map_rows, same_columns, scratch, settle, ship
 from .components import connected_components
 
 ship(kernel)
@@ -72,14 +72,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFra
     doc_id get a component but never name one. Repeated rows stay repeated. An empty table
     gives an empty table.
     """
-    marked, _ = settle(fingerprints(docs, width), "simhash")
-    distinct, _ = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n")), "simhash-distinct")
-    roots = connected_components(links(distinct.select("fp"), budget))
-    own = distinct.join(roots, distinct["fp"] == roots["node"])
-    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "_n")
-    named, _ = settle(named, "simhash-named")
+    with scratch() as keep:
+        marked, marked_at = settle(fingerprints(docs, width), "simhash")
+        distinct, _ = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n")), "simhash-distinct")
+        roots = connected_components(links(distinct.select("fp"), budget))
+        own = distinct.join(roots, distinct["fp"] == roots["node"])
+        least = own.groupBy("root").agg(F.min("least").alias("component_id"))
+        linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
+        named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "_n")
+        named, named_at = settle(named, "simhash-named")
+        keep(marked_at, named_at)
     return join_hot(marked, named, "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 

@@ -39,11 +39,11 @@ def _spans(docs: DataFrame, least: int, gram: int, window: int) -> DataFrame:
     order = ("key", "following", "preceding", "doc_id", "mark", "pos")
     schema = f"key bigint, following bigint, preceding bigint, doc_id {kind}, mark bigint, pos int, low int, high int, n bigint, first {kind}, after binary, before binary"
     around, around_at = settle(map_rows(texts, lambda it: kernel.contexts(it, window, least), schema), "suffix-contexts")
-    forget(docs.sparkSession, kept_at, often_at)
+    forget(kept_at, often_at)
     ranged = around.repartitionByRange(*order).sortWithinPartitions(*order)
     out = f"passage binary, doc_id {kind}, mark bigint, start int, `end` int, first {kind}"
     shared, shared_at = settle(map_rows(ranged, lambda it: kernel.neighbours(it, window, least), out), "suffix-spans")
-    forget(docs.sparkSession, around_at)
+    forget(around_at)
     at = F.struct("doc_id", "mark", "start")
     single = shared.filter("passage is not null")
     equal = single.groupBy("passage").agg(F.count("*").alias("_n"), F.min(at).alias("a"), F.max(at).alias("b")).filter("a <> b").select("passage", "_n")
@@ -51,7 +51,7 @@ def _spans(docs: DataFrame, least: int, gram: int, window: int) -> DataFrame:
     whole = shared.filter("passage is null").drop("passage").unionByName(join_hot(single, equal, "passage", "doc_id").drop("passage"))
     grouped = whole.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "end", "first")).alias("spans"))
     merged, _ = settle(map_rows(grouped, kernel.merge, f"doc_id {kind}, mark bigint, start_word int, end_word int, first_doc_id {kind}"), "suffix-merged")
-    forget(docs.sparkSession, shared_at, equal_at)
+    forget(shared_at, equal_at)
     return merged
 
 
@@ -90,7 +90,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, window
     firsts = each.groupBy("passage").agg(F.min(F.struct("doc_id", "mark", "start")).alias("at")).select("at.*")
     kept = firsts.groupBy("doc_id", "mark").agg(F.collect_list("start").alias("kept"))
     plan, _ = settle(spans.join(kept, ["doc_id", "mark"], "left").select(F.struct("doc_id", "mark").alias("_at"), "spans", "kept"), "suffix-plan")
-    forget(docs.sparkSession, spans_at)
+    forget(spans_at)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may clash, or hold dots
     doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
     marked = plain.withColumn("_at", F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"))).join(plan, "_at", "left").drop("_at")

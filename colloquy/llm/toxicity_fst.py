@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import clause_kernel as kernel
-from .common import map_rows, settle, ship
+from .common import map_rows, scratch, settle, ship
 
 ship(kernel)
 
@@ -47,11 +47,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     usable = labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)  # bounded, so it may be broadcast
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).alias("fold")
-    train, _ = settle(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", fold), "toxicity-train")
-    half = _learn(train.filter("fold = 0"))
-    seen = score(train.filter("fold = 1").select(F.lit(0).alias("doc_id"), "text", "toxic"), half, "toxic").select("toxic", "score")
-    cut = _cut([(r[1], r[0] == 1) for r in seen.collect()])  # at most `sample` numbers
-    whole = _learn(train)
+    with scratch():
+        train, _ = settle(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", fold), "toxicity-train")
+        half = _learn(train.filter("fold = 0"))
+        seen = score(train.filter("fold = 1").select(F.lit(0).alias("doc_id"), "text", "toxic"), half, "toxic").select("toxic", "score")
+        cut = _cut([(r[1], r[0] == 1) for r in seen.collect()])  # at most `sample` numbers
+        whole = _learn(train)
     return Model(whole.lexicon, whole.weights, min(0.0, _logit(THRESHOLD) - _logit(cut)) if cut else 0.0)
 
 

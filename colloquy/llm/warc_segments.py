@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import warc_kernel as kernel
-from .common import fresh_path, join_hot, map_rows, settle, ship
+from .common import fresh_path, join_hot, map_rows, scratch, settle, ship
 
 ship(kernel)
 
@@ -31,17 +31,18 @@ def write_archive(
     page = page.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     ids = page.filter(F.octet_length("html") >= REVISIT_BYTES).select("page_id", "url", "digest")
     first = ids.groupBy("digest").agg(F.count("*").alias("_n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first")).filter("_n > 1 and first is not null")
-    first, _ = settle(first, "warc-first")
-    again = join_hot(ids, first, "digest", "page_id").filter(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
-    again = again.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("target")).distinct()
-    rows = page.join(again, page["page_id"].eqNullSafe(again["_page"]) & (page["digest"] == again["_digest"]), "left")
-    rows = rows.select("page_id", "url", "html", "digest", "refers_to", "target")
-    records = map_rows(rows, lambda it: kernel.write(it, path, segment_bytes, chunk_bytes), "record binary")
-    (
-        records.select(F.col("record").cast("string").alias("value"))
-        .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records)
-        .text(path)
-    )
+    with scratch():
+        first, _ = settle(first, "warc-first")
+        again = join_hot(ids, first, "digest", "page_id").filter(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+        again = again.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("target")).distinct()
+        rows = page.join(again, page["page_id"].eqNullSafe(again["_page"]) & (page["digest"] == again["_digest"]), "left")
+        rows = rows.select("page_id", "url", "html", "digest", "refers_to", "target")
+        records = map_rows(rows, lambda it: kernel.write(it, path, segment_bytes, chunk_bytes), "record binary")
+        (
+            records.select(F.col("record").cast("string").alias("value"))
+            .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records)
+            .text(path)
+        )
 
 
 def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
