@@ -21,20 +21,29 @@ def _trimmed(x: Column) -> Column:
 def drop_cached(rows: DataFrame, session: Sequence[str], is_cached: Column, column: str = "text") -> DataFrame:
     """rows without cached ones that equal, or by 40 characters or more begin, a full text of the same session.
 
-    Blank-only and null cached texts stay. Equality joins on a hash of the text; prefixes are
-    joined on the session and the first 40 characters, which both sides must share, so hot
-    sessions do not make all pairs.
+    Blank-only and null cached texts stay. Both tests are equality joins on hashes: a cached text
+    meets the full texts cut to its own length, for each length that occurs, and the texts
+    themselves are compared where the hashes agree. So neither a session nor a beginning that
+    many texts share brings them together. Full texts are cut at the few lengths that cached
+    ones of their session have.
     """
+    names = [f"_s{i}" for i in range(len(session))]
     keyed = rows.withColumn("_t", text.squeeze(F.col(column))).withColumn("_cached", F.coalesce(is_cached, F.lit(False)))
-    full = keyed.filter("not _cached and _t <> ''").select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(session)], F.col("_t").alias("_full")).distinct()
-    same = [keyed[s] == full[f"_s{i}"] for i, s in enumerate(session)]
-    equal = keyed.filter("_cached").join(full, [*same, keyed["_t"] == full["_full"]], "left_anti")
-    cut = full.withColumn("_head", F.substring("_full", 1, LEAST_PREFIX))
-    short = equal.withColumn("_p", _trimmed(F.col("_t")))
-    near = [short[s] == cut[f"_s{i}"] for i, s in enumerate(session)]
-    near += [F.substring(short["_p"], 1, LEAST_PREFIX) == cut["_head"], F.length(short["_p"]) >= LEAST_PREFIX, F.startswith(cut["_full"], short["_p"])]
-    left = short.join(cut, near, "left_anti").drop("_p")
-    return keyed.filter("not _cached").unionByName(left).drop("_t", "_cached")
+    keyed = keyed.withColumn("_p", F.when(F.length(_trimmed(F.col("_t"))) >= LEAST_PREFIX, _trimmed(F.col("_t"))))
+    owner = [F.col(s).alias(n) for s, n in zip(session, names, strict=True)]
+    full = keyed.filter("not _cached and _t <> ''").select(*owner, F.col("_t").alias("_full")).distinct()
+    lengths = keyed.filter("_cached and _p is not null").groupBy(*owner).agg(F.collect_set(F.length("_p")).alias("_lengths"))
+    cut = full.join(lengths, names).select(*names, "_full", F.explode(F.filter("_lengths", lambda n: n <= F.length("_full"))).alias("_n"))
+    heads = cut.select(*names, F.expr("substring(_full, 1, _n)").alias("_head")).distinct()
+    cached = keyed.filter("_cached")
+
+    def without(left: DataFrame, own: str, right: DataFrame, other: str) -> DataFrame:
+        mark = right.withColumn("_mark", F.xxhash64(*names, other))
+        same = [left[s].eqNullSafe(mark[n]) for s, n in zip(session, names, strict=True)]
+        return left.withColumn("_own", F.xxhash64(*session, own)).join(mark, [F.col("_own") == F.col("_mark"), *same, F.col(own) == F.col(other)], "left_anti").drop("_own")
+
+    left = without(without(cached, "_t", full, "_full"), "_p", heads, "_head")
+    return keyed.filter("not _cached").unionByName(left).drop("_t", "_cached", "_p")
 
 
 def annotate(rows: DataFrame, prefixes: Sequence[str] = CORPUS_WAKE_PREFIXES, column: str = "text") -> DataFrame:
@@ -44,9 +53,10 @@ def annotate(rows: DataFrame, prefixes: Sequence[str] = CORPUS_WAKE_PREFIXES, co
 
 
 def first_prompts(corpus: DataFrame, session: Sequence[str], order: str) -> DataFrame:
-    """The first row of each session."""
-    rank = F.row_number().over(Window.partitionBy(*session).orderBy(order))
-    return corpus.withColumn("_r", rank).filter("_r = 1").drop("_r")
+    """The first row of each session, kept by partial aggregation, so no session is sorted in one task."""
+    rest = [c for c in corpus.columns if c not in session]
+    first = corpus.groupBy(*session).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
+    return first.select(*session, "_first.*").select(*corpus.columns)
 
 
 def human_first(first: DataFrame, least: int = LEAST_FIRST) -> DataFrame:

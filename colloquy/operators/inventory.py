@@ -86,6 +86,12 @@ def comment_style(comments: DataFrame) -> DataFrame:
     )
 
 
+def longest_comments(comments: DataFrame, *order: str, k: int = 5, preview: int = 500) -> DataFrame:
+    """(repo, pr, url, preview) of the k longest comments; equal lengths in the given order."""
+    top = comments.orderBy(F.desc(F.length("body")), *order).limit(k)
+    return top.select("repo", "pr", "url", F.substring("body", 1, preview).alias("preview"))
+
+
 def valid_pull_requests(rows: DataFrame) -> DataFrame:
     """Rows whose repo is owner/name in plain characters and whose pr is a positive whole number."""
     return rows.filter(F.col("repo").rlike(r"^[A-Za-z0-9._-]+/[A-Za-z0-9._-]+$") & (F.col("pr").cast("string").try_cast("bigint") > 0))

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Python types of each JSON type; truth values are no integers.
@@ -93,6 +93,12 @@ def schema_errors(docs: DataFrame, key: str, document: str, schema: dict) -> Dat
     return docs.select(key, F.col(document).cast("string").alias(document)).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, path string, message string")
 
 
+def missing_keys(present: Column, required: Sequence[str]) -> Column:
+    """Required names that an array of names lacks, in their order; all of them for null."""
+    wanted = F.array(*[F.lit(k) for k in required])
+    return F.array_except(wanted, F.coalesce(present, F.array().cast("array<string>")))
+
+
 # ---- sections of the insights document: fixed values -----------------------------------------
 
 CARDS = {

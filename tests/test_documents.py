@@ -35,7 +35,7 @@ def test_schema_rows(spark):
 def test_migration():
     legacy = {k: {} for k in migration.LEGACY_FIELDS} | {"never_rules": ["Never push", {"rule": " never  delete "}, 3]}
     done = migration.migrate(legacy)
-    assert done.defaulted and done.spec["$schema_version"] == "v0.4" and done.spec["constitution"]["limits"] == ["Never push", "never delete"]
+    assert done.defaulted and done.spec["$schema_version"] == "v0.4" and done.spec["constitution"]["limits"] == ["Never push", "never  delete", "3"]
     assert legacy.get("$schema_version") is None and migration.migrate(done.spec) == migration.Migrated(done.spec)
     assert "strict" not in (migration.migrate(legacy, strict=True).problem or "") and migration.migrate(legacy, strict=True).spec is None
     assert "unsupported version <unversioned>" in migration.migrate({}).problem
