@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markdown, stats, text
+from .ordering import key_at, with_position
 
 NOTE_TYPES = ("user", "feedback", "project", "reference")
 
@@ -54,10 +55,12 @@ def halves(df: DataFrame, order: str, tie: str, flag: Column, number: Column, le
     if n < least:
         empty = "late_n bigint, early_n bigint, late_pct double, early_pct double, late_sum bigint, early_sum bigint"
         return df.sparkSession.createDataFrame([], empty)
-    from .ordering import with_position
-
-    placed = with_position(df, order, tie)
-    late = F.col("position") > n - n // 2
+    key, before, _ = key_at(df.select(order), order, n - n // 2 + 1, rows=n)
+    if before == n - n // 2:  # the border does not part rows of one key
+        placed, late = df, F.col(order) >= F.lit(key)
+    else:
+        placed = with_position(df, order, tie)
+        late = F.col("position") > n - n // 2
     return placed.agg(
         F.count_if(late).alias("late_n"), F.count_if(~late).alias("early_n"),
         stats.share(F.count_if(late & flag), F.count_if(late)).alias("late_pct"), stats.share(F.count_if(~late & flag), F.count_if(~late)).alias("early_pct"),

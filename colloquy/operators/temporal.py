@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text, time
-from .ordering import running_total, with_position, with_previous
+from .ordering import key_at, run_sizes
 
 
 def hour_histogram(df: DataFrame, ts: str = "ts", offset_hours: int = 0) -> DataFrame:
@@ -39,12 +39,10 @@ def activity_range(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.agg(F.count(ts).alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
 
 
-def bursts(df: DataFrame, ts: str = "ts", tie: str = "event_id", gap_minutes: int = 120) -> DataFrame:
+def bursts(df: DataFrame, ts: str = "ts", gap_minutes: int = 120) -> DataFrame:
     """(burst, size) over the global order of ts; a gap longer than gap_minutes begins a new one."""
-    keyed = df.filter(F.col(ts).isNotNull()).select(time.micros(F.col(ts)).alias("_us"), tie)
-    gaps = with_previous(keyed, "_us", tie)
-    fresh = (F.col("previous").isNull() | (F.col("_us") - F.col("previous") > gap_minutes * 60_000_000)).cast("bigint")
-    return running_total(gaps, fresh, "_us", tie).groupBy(F.col("total").alias("burst")).agg(F.count("*").alias("size"))
+    keyed = df.filter(F.col(ts).isNotNull()).select(time.micros(F.col(ts)).alias("_us"))
+    return run_sizes(keyed, "_us", gap_minutes * 60_000_000).withColumnRenamed("run", "burst")
 
 
 def bursts_by(df: DataFrame, key: str, ts: str = "ts", gap_minutes: int = 120) -> DataFrame:
@@ -78,11 +76,26 @@ def vocabulary_drift(df: DataFrame, order: str, k: int = 25, least: int = 4, col
     """
     n = df.count()
     size = max(1, n // 4)
-    placed = with_position(df.select(order, column), order)
+    if not n:
+        return df.sparkSession.createDataFrame([], "direction string, word string")
+    at, mark = F.col(order), F.xxhash64(column)
+
+    def border(rank: int, first: bool) -> Column:
+        """Rows up to this rank, or from it on; rows that share the border's key are told apart by the hash of their text."""
+        key, before, same = key_at(df.select(order), order, rank, rows=n)
+        inside = at < F.lit(key) if first else at > F.lit(key)
+        if before + (same if first else 1) == rank:
+            return inside | (at == F.lit(key))
+        split = key_at(df.filter(at == F.lit(key)).select(mark.alias("_h")), "_h", rank - before, rows=same)[0]
+        return inside | ((at == F.lit(key)) & (mark <= F.lit(split) if first else mark >= F.lit(split)))
+
+    early, late = border(size, True), border(n - size + 1, False)
     words = F.filter(text.tokens(F.col(column)), lambda w: F.length(w) >= least)
-    sides = F.array_compact(F.array(F.when(F.col("position") <= size, "early"), F.when(F.col("position") > n - size, "late")))
-    each = placed.select(F.explode(sides).alias("side"), words.alias("_w")).select("side", F.explode("_w").alias("word"))
-    counted = each.groupBy("side", "word").agg(F.count("*").alias("n"))
-    tops = {s: counted.filter(F.col("side") == s).orderBy(F.desc("n"), "word").limit(k).select("word") for s in ("early", "late")}
-    rising = tops["late"].exceptAll(tops["early"]).select(F.lit("rising").alias("direction"), "word")
-    return rising.unionByName(tops["early"].exceptAll(tops["late"]).select(F.lit("falling").alias("direction"), "word"))
+    each = df.filter(early | late).select(early.cast("int").alias("e"), late.cast("int").alias("l"), F.explode(words).alias("word"))
+    counted = each.groupBy("word").agg(F.sum("e").alias("early"), F.sum("l").alias("late")).persist()
+    try:
+        top = {s: [r.word for r in counted.filter(F.col(s) > 0).orderBy(F.desc(s), "word").limit(k).collect()] for s in ("early", "late")}
+    finally:
+        counted.unpersist()
+    rows = [("rising", w) for w in top["late"] if w not in top["early"]] + [("falling", w) for w in top["early"] if w not in top["late"]]
+    return df.sparkSession.createDataFrame(rows, "direction string, word string")

@@ -139,14 +139,14 @@ def proposal_rank_spill(spark, d):
 
 @query(
     "backlog_merge",
-    f"""WITH {_CANDIDATES}, backlog AS (SELECT hash, confidence FROM candidates WHERE conv_id % 2 = 0), fresh AS (SELECT hash, 0.5::double AS confidence FROM candidates WHERE conv_id % 3 = 0)
+    f"""WITH {_CANDIDATES}, backlog AS (SELECT hash, confidence FROM candidates WHERE conv_id % 2 = 0), fresh AS (SELECT hash, 0.5::double AS confidence FROM candidates WHERE conv_id % 2 = 1 OR conv_id % 4 = 0)
         SELECT hash, round(confidence, 6) AS confidence, source FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY source, confidence DESC) AS r
         FROM (SELECT *, 0 AS source FROM backlog UNION ALL SELECT *, 1 AS source FROM fresh)) WHERE r = 1""",
 )
 def backlog_merge(spark, d):
     pool = _candidates(spark, d)
     backlog = pool.filter("conv_id % 2 = 0").select("hash", "confidence")
-    fresh = pool.filter("conv_id % 3 = 0").select("hash", F.lit(0.5).alias("confidence"))
+    fresh = pool.filter("conv_id % 2 = 1 or conv_id % 4 = 0").select("hash", F.lit(0.5).alias("confidence"))
     return proposals.merge_backlog(backlog, fresh).select("hash", F.round("confidence", 6).alias("confidence"), "source")
 
 
@@ -233,7 +233,9 @@ def stat_packet(spark, d):
 _PACKET = f"""WITH {CLASSIFIED}, k AS (SELECT count(*) AS n_pairs, count(*) FILTER (WHERE class = 'approval') AS n_approval, count(*) FILTER (WHERE class = 'explicit_pushback') AS n_explicit,
         count(*) FILTER (WHERE class = 'implicit_pushback') AS n_implicit FROM classified),
     d AS (SELECT count(*) AS n_plans, count(*) FILTER (WHERE length(text) > 6000) AS n_multi_phase, {pct("count(*) FILTER (WHERE length(text) > 6000)", "count(*)")} AS has_oos_pct FROM documents),
-    p AS (SELECT *, (SELECT count(*) FROM benchmark) AS n_notes FROM k, d)"""
+    h AS (SELECT {pct("count(*) FILTER (WHERE length(text) > 6000 AND doc_id % 2 = 0)", "count(*) FILTER (WHERE doc_id % 2 = 0)")} AS early_oos_pct, {pct("count(*) FILTER (WHERE length(text) > 600 AND doc_id % 2 = 1)", "count(*) FILTER (WHERE doc_id % 2 = 1)")} AS late_oos_pct FROM documents),
+    s AS (SELECT {pct("count(*) FILTER (WHERE contains(text, '/'))", "count(*)")} AS slash_share_pct FROM conversations),
+    p AS (SELECT *, (SELECT count(*) FROM benchmark) AS n_notes FROM k, d, h, s)"""
 
 
 @query(
@@ -241,6 +243,8 @@ _PACKET = f"""WITH {CLASSIFIED}, k AS (SELECT count(*) AS n_pairs, count(*) FILT
     f"""{_PACKET} SELECT * FROM (
         SELECT 'approval_share' AS name, round_even(100 * coalesce(n_approval::double / nullif(n_pairs, 0), 0.0), 1) AS value FROM p WHERE n_pairs > 0
         UNION ALL SELECT 'scope_sections', has_oos_pct FROM p WHERE n_plans > 0
+        UNION ALL SELECT 'rising_rigor', late_oos_pct FROM p WHERE late_oos_pct > early_oos_pct + 5
+        UNION ALL SELECT 'saved_commands', slash_share_pct FROM p WHERE slash_share_pct < 40
         UNION ALL SELECT 'confirm_scope', round_even(100 * coalesce(n_implicit::double / nullif(n_pairs, 0), 0.0), 1) FROM p WHERE coalesce(n_implicit::double / nullif(n_pairs, 0), 0.0) > 0.1
         UNION ALL SELECT 'name_limits', has_oos_pct FROM p WHERE n_plans > 0 AND has_oos_pct < 60
         UNION ALL SELECT 'review_proposals', n_notes::double FROM p WHERE n_notes > 0
@@ -256,7 +260,12 @@ def threshold_findings(spark, d):
     long = F.count_if(F.length("text") > 6000)
     plans = table(spark, d, "documents").agg(F.count("*").alias("n_plans"), long.alias("n_multi_phase"), stats.share(long, F.count("*")).alias("has_oos_pct"))
     notes = table(spark, d, "benchmark").agg(F.count("*").alias("n_notes"))
-    packet = replies.crossJoin(F.broadcast(plans)).crossJoin(F.broadcast(notes))  # one row each
+    half = lambda least, odd: stats.share(F.count_if((F.length("text") > least) & (F.col("doc_id") % 2 == odd)), F.count_if(F.col("doc_id") % 2 == odd))
+    halves = table(spark, d, "documents").agg(half(6000, 0).alias("early_oos_pct"), half(600, 1).alias("late_oos_pct"))
+    slash = table(spark, d, "conversations").agg(stats.share(F.count_if(F.contains("text", F.lit("/"))), F.count("*")).alias("slash_share_pct"))
+    packet = replies
+    for part in (plans, notes, halves, slash):
+        packet = packet.crossJoin(F.broadcast(part))  # one row each
     for field in findings.PACKET.split(", "):
         name, kind = field.split()
         if name not in packet.columns:

@@ -162,10 +162,10 @@ def type_matrix(spark, d):
     return found.select(F.col("source").alias("lang"), F.col("lang").alias("event_type"), "n", "level")
 
 
-@query("path_union", "SELECT url, min(k) AS first_source FROM (SELECT url, 0 AS k FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, 1 FROM pages WHERE page_id % 3 = 0) GROUP BY url")
+@query("path_union", "SELECT url, min(k) AS first_source FROM (SELECT url, 0 AS k FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, 1 FROM pages WHERE page_id % 2 = 1 OR page_id % 4 = 0) GROUP BY url")
 def path_union(spark, d):
     pages = table(spark, d, "pages")
-    both = pages.filter("page_id % 2 = 0").select("url", F.lit(0).alias("k")).unionByName(pages.filter("page_id % 3 = 0").select("url", F.lit(1).alias("k")))
+    both = pages.filter("page_id % 2 = 0").select("url", F.lit(0).alias("k")).unionByName(pages.filter("page_id % 2 = 1 or page_id % 4 = 0").select("url", F.lit(1).alias("k")))
     return both.groupBy("url").agg(F.min("k").alias("first_source"))
 
 
@@ -185,17 +185,3 @@ _DENIED = " OR ".join(f"contains(' ' || lower(x) || ' ', '{p}')" for p in (*DEST
 def allowed_items(spark, d):
     items = text.allowed(F.split("text", r"\.", -1), (*DESTRUCTIVE, "th "))
     return table(spark, d, "benchmark").select("item_id", F.size(items).cast("bigint").alias("kept"))
-
-
-@query("html_text", r"""SELECT page_id, sha256(regexp_replace(regexp_replace(html, '(?s)<[^>]*>', '', 'g'), '[\s\p{Z}]+', '', 'g')) AS digest FROM pages""")
-def html_text(spark, d):
-    bare = F.regexp_replace(F.regexp_replace("html", r"(?s)<[^>]*>", ""), r"[\s\p{Z}]+", "")
-    return table(spark, d, "pages").select("page_id", F.sha2(bare.cast("binary"), 256).alias("digest"))
-
-
-@query("missing_keys", "SELECT doc_id, quality IS NULL AS no_label FROM documents LEFT JOIN labels USING (doc_id)")
-def missing_keys(spark, d):
-    labels = table(spark, d, "labels").select("doc_id", "quality")
-    return table(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.col("quality").isNull().alias("no_label"))
-
-

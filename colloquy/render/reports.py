@@ -43,7 +43,7 @@ def activity(events: DataFrame, ts: str, order: str, offset_hours: int = 0, gap_
         **one_row(temporal.activity_range(events, ts)), **one_row(temporal.peaks(events, ts, offset_hours)),
         "hour_histogram": dict(pairs(temporal.hour_histogram(events, ts, offset_hours), "hour")),
         "dow_histogram": {DAYS[k]: n for k, n in pairs(temporal.day_histogram(events, ts, offset_hours), "day")},
-        "work_bursts": one_row(temporal.size_stats(temporal.bursts(events, ts, order, gap_minutes), "size", 0.5, 0.9)),
+        "work_bursts": one_row(temporal.size_stats(temporal.bursts(events, ts, gap_minutes), "size", 0.5, 0.9)),
         "rising": sorted(r.word for r in drift if r.direction == "rising"), "falling": sorted(r.word for r in drift if r.direction == "falling"),
     }
 

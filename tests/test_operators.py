@@ -7,6 +7,26 @@ from colloquy.functions.lexicon import DETECTOR, MINING, Lexicon
 from colloquy.operators import corpus, evaluation, inventory, ordering, pairs, proposals, quantitative, temporal
 
 
+def test_ranks_and_runs_across_slabs(spark):
+    import random
+
+    rng = random.Random(4)
+    keys = [rng.choice([rng.randint(0, 400), 77, 1000 + rng.randint(0, 5)]) for _ in range(500)]
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint").repartition(4)
+    ranked = sorted(keys)
+    for slabs in (1, 3, 9):
+        for rank in (1, 2, 100, 250, 499, 500):
+            key, before, same = ordering.key_at(df, "k", rank, slabs)
+            assert (key, before, same) == (ranked[rank - 1], sum(x < key for x in keys), keys.count(key))
+        wanted, last = [], None
+        for x in ranked:
+            if last is None or x - last > 3:
+                wanted.append(0)
+            wanted[-1] += 1
+            last = x
+        assert sorted(r["size"] for r in ordering.run_sizes(df, "k", 3, slabs).collect()) == sorted(wanted)
+
+
 def test_pairing_micro_fixture(spark):
     rows = [("user", "no, wait"), ("assistant", "plan one"), ("assistant", "plan two"), ("assistant", None), ("user", "go"), ("assistant", "plan three"),
             ("user", None), ("user", "stop that"), ("assistant", "plan four"), ("user", "## Paperclip wake")]
