@@ -355,6 +355,18 @@ def test_quality_target_grows_with_the_labels(spark):
     assert few.weights == many.weights and len(set(few.weights)) > 2
 
 
+@pytest.mark.parametrize("words", [1 << 20, 1])
+def test_quality_target_equals_a_join(spark, monkeypatch, words):
+    monkeypatch.setattr(common, "FILTER_WORDS", words)
+    rng = random.Random(17)
+    docs = frame(spark, [prose(30, rng) for _ in range(200)]).unionByName(spark.createDataFrame([(None, "no id"), (5, "the same id"), (6, None)], "doc_id bigint, text string"))
+    trusted = spark.createDataFrame([(i,) for i in range(0, 230, 3)], "doc_id bigint")
+    raw, target = quality_llr._raw_and_trusted(docs, trusted, 64)
+    assert raw == quality_llr._counts(docs, 64) and target == quality_llr._counts(docs.join(trusted, "doc_id"), 64)
+    assert quality_llr._raw_and_trusted(docs.limit(0), trusted, 64) == ({}, {})
+    assert quality_llr._raw_and_trusted(docs, trusted.limit(0), 64) == (raw, {})
+
+
 # ---- 6 ----
 
 
