@@ -39,8 +39,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
 
     Texts and items are compared as lower-case runs of letters and digits with single spaces;
     start and end are code points of the original text. distance <= int(rate * item length);
-    items too short for an edit must stand as whole words. Of equal distances the least start
-    counts. Null, empty and wordless texts or items match nothing. Repeated rows repeat their
+    items too short for an edit must stand as whole words. Of equal distances the least start,
+    and for it the least end, counts. Null, empty and wordless texts or items match nothing. Repeated rows repeat their
     matches; items with the same text each match. An empty table gives an empty table.
     """
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (benchmark, "item_id"))]

@@ -48,7 +48,7 @@ def _peq(pattern: str) -> dict[str, int]:
 def myers(peq: dict[str, int], m: int, text: str, anchored: bool = False) -> tuple[int, int]:
     """(least distance, where it is first reached) of a pattern against the substrings of text that end there.
 
-    anchored: against the prefixes of text instead.
+    anchored: against the prefixes of text instead, and where it is last reached.
     """
     mask, high = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score = mask, 0, m
@@ -67,7 +67,7 @@ def myers(peq: dict[str, int], m: int, text: str, anchored: bool = False) -> tup
         mh = mh << 1 & mask
         pv = mh | (~(xv | ph) & mask)
         mv = ph & xv
-        if score < best:
+        if score < best or (anchored and score == best):
             best, at = score, j
     return best, at
 
@@ -96,7 +96,7 @@ class Matcher:
             self.automaton.make_automaton()
 
     def matches(self, text: str | None):
-        """(item_id, distance, start, end) of the best occurrence of each item in text; least start among equals."""
+        """(item_id, distance, start, end) of the best occurrence of each item in text; the least start, then the least end, among equals."""
         if not text or self.automaton is None:
             return
         whole = f" {normal(text)} "

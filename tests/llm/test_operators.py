@@ -71,6 +71,27 @@ def test_myers_equals_dynamic_programming(pattern, text):
     assert distance == dp(pattern, text) and end <= len(text)
 
 
+def test_least_start_among_equal_distances():
+    rng = random.Random(5)
+    for _ in range(400):
+        pattern, text = ("".join(rng.choice("abc") for _ in range(n)) for n in (12, 40))
+        if rng.random() < 0.6:
+            at = rng.randrange(28)
+            text = text[:at] + pattern[: rng.randrange(12)] + rng.choice(["", "c", "ab"]) + pattern[rng.randrange(3, 12) :] + text[at:]
+        whole, every = f" {text} ", []
+        for start in range(len(whole)):
+            row = list(range(len(pattern) + 1))
+            for end, c in enumerate(whole[start:], start + 1):
+                last, row = row, [row[0] + 1]
+                for i, p in enumerate(pattern):
+                    row.append(min(last[i] + (p != c), last[i + 1] + 1, row[i] + 1))
+                every.append((row[-1], start, end))
+        wanted = min(every)
+        found = [r[1:] for r in edit_kernel.Matcher([(1, pattern)], 0.25).matches(text)]
+        assert found == ([(wanted[0], max(wanted[1] - 1, 0), min(wanted[2] - 1, len(text)))] if wanted[0] <= 3 else [])
+
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(4)
     items = [(i, prose(rng.randint(8, 30), rng).capitalize() + ".") for i in range(12)]
