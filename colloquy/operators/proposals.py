@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -50,8 +50,7 @@ def candidates(pairs: DataFrame, lexicon: Lexicon = DETECTOR, min_confidence: fl
     found = found.select("*", "_d.class", "_d.confidence").drop("_d").filter(F.col("class").isin("explicit_pushback", "implicit_pushback"))
     found = found.filter((F.col("confidence") >= min_confidence) & (text.strip(F.col("reply")) != ""))
     hashed = found.withColumn("hash", text.content_hash(F.col("reply")))
-    first = F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("confidence"), *[c for c in pairs.columns]))
-    return hashed.withColumn("_r", first).filter("_r = 1").drop("_r")
+    return _first_of(hashed, -F.col("confidence"), *[F.col(c) for c in pairs.columns])
 
 
 def split_spill(pool: DataFrame, most: int, *order: Column | str) -> DataFrame:
@@ -66,8 +65,12 @@ def split_spill(pool: DataFrame, most: int, *order: Column | str) -> DataFrame:
 def merge_backlog(backlog: DataFrame, fresh: DataFrame) -> DataFrame:
     """Distinct hashes of both, the backlog's own row first; `source` is 0 for backlog and 1 for fresh rows."""
     both = backlog.withColumn("source", F.lit(0)).unionByName(fresh.withColumn("source", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy("hash").orderBy("source", F.desc("confidence")))
-    return both.withColumn("_r", rank).filter("_r = 1").drop("_r")
+    return _first_of(both, F.col("source"), -F.col("confidence"))
+
+
+def _first_of(df: DataFrame, *order: Column) -> DataFrame:
+    """The first row of each hash; aggregated before the shuffle, so a reply that recurs everywhere costs a row a task."""
+    return df.groupBy("hash").agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_r")).select("_r.*")
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:

@@ -84,3 +84,22 @@ def test_reports(spark, tmp_path):
     assert a["hour_histogram"][3] == 1 and a["work_bursts"]["n"] == 1 and reports.activity_markdown(a)
     reports.write_json(a, str(tmp_path / "a.json"))
     assert json.loads((tmp_path / "a.json").read_text())["n"] == 6
+
+
+def test_reply_plan_and_comment_reports(spark):
+    from colloquy.operators import inventory, pairs
+
+    replies = spark.createDataFrame([("x", "yes"), ("x", "ok go"), ("x", "no, use tabs"), ("x", "hm")], "assistant string, reply string")
+    c = reports.convergence(pairs.classified(replies))
+    assert c["n_pairs"] == 4 and c["classes"]["explicit_pushback"]["n"] == 1 and c["first_words"]["explicit_pushback"] == [("no", 1)]
+    assert c["quotes"] == {"explicit_pushback": [(12, "no, use tabs")], "implicit_pushback": []}
+    text = reports.convergence_markdown(c)
+    assert "| no | 1 |" in text and "12 chars: no, use tabs" in text and "times as long" in text
+
+    files = spark.createDataFrame([(f"p{i}", "# T", 9, f"2026-01-0{i}") for i in range(1, 5)], "path string, value string, size_bytes int, mtime string")
+    lines = list(reports.plans_markdown(inventory.plans(files)))
+    assert [x.split("| ")[-1] for x in lines[-4:]] == ["p4 |", "p3 |", "p2 |", "p1 |"] and any("over time" in x for x in lines)
+
+    comments = spark.createDataFrame([("o/r", 1, "u1", "## H and more"), ("o/r", 2, "u2", "x")], "repo string, pr bigint, url string, body string")
+    report = reports.comments_markdown(comments, k=1)
+    assert "| n_comments | 2 |" in report and "### o/r#1\n\n<u1>" in report and "#2" not in report
