@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_chunks, packing, pii_weak, quality_llr, secret_scan, simhash_trie, suffix_dedup, toxicity_fst, warc_segments
+from . import (
+    decontaminate, language_id, line_chunks, packing, periodic_runs, pii_weak, quality_llr, secret_scan, simhash_trie, suffix_dedup, target_encoding, toxicity_fst, warc_segments,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +55,21 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_segments.query(_table(spark, sf_dir, "pages"))
 
 
+def op11_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_encoding.query(*(_table(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.query(_table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.query(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc_segments": warc_segments.SQL}
+    return {"op10_warc_segments": warc_segments.SQL, "op11_target_encoding": target_encoding.SQL}
