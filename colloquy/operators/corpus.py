@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text, time
 from ..functions.lexicon import CORPUS_WAKE_PREFIXES
+from ..storage import settle
+from .prefixes import beginnings
 
 #: Characters from which a truncated copy is told by its beginning, and from which a first prompt counts as written by hand.
 LEAST_PREFIX, LEAST_FIRST = 40, 80
@@ -21,29 +23,26 @@ def _trimmed(x: Column) -> Column:
 def drop_cached(rows: DataFrame, session: Sequence[str], is_cached: Column, column: str = "text") -> DataFrame:
     """rows without cached ones that equal, or by 40 characters or more begin, a full text of the same session.
 
-    Blank-only and null cached texts stay. Both tests are equality joins on hashes: a cached text
-    meets the full texts cut to its own length, for each length that occurs, and the texts
-    themselves are compared where the hashes agree. So neither a session nor a beginning that
-    many texts share brings them together. Full texts are cut at the few lengths that cached
-    ones of their session have.
+    Blank-only and null cached texts stay. Texts are made distinct first, so one that recurs
+    everywhere costs a row a task; short ones are then told by equality, and the others by a
+    global sort of all texts (`prefixes.beginnings`), so neither a session nor a beginning that
+    many texts share brings them together, and what is shuffled is linear in the texts.
     """
     names = [f"_s{i}" for i in range(len(session))]
     keyed = rows.withColumn("_t", text.squeeze(F.col(column))).withColumn("_cached", F.coalesce(is_cached, F.lit(False)))
-    keyed = keyed.withColumn("_p", F.when(F.length(_trimmed(F.col("_t"))) >= LEAST_PREFIX, _trimmed(F.col("_t"))))
+    keyed = keyed.withColumn("_p", _trimmed(F.col("_t"))).withColumn("_long", F.length("_p") >= LEAST_PREFIX)
+    keyed = keyed.withColumn("_p", F.when(F.col("_cached") & F.col("_long"), F.col("_p")).otherwise(F.col("_t")))
     owner = [F.col(s).alias(n) for s, n in zip(session, names, strict=True)]
-    full = keyed.filter("not _cached and _t <> ''").select(*owner, F.col("_t").alias("_full")).distinct()
-    lengths = keyed.filter("_cached and _p is not null").groupBy(*owner).agg(F.collect_set(F.length("_p")).alias("_lengths"))
-    cut = full.join(lengths, names).select(*names, "_full", F.explode(F.filter("_lengths", lambda n: n <= F.length("_full"))).alias("_n"))
-    heads = cut.select(*names, F.expr("substring(_full, 1, _n)").alias("_head")).distinct()
-    cached = keyed.filter("_cached")
-
-    def without(left: DataFrame, own: str, right: DataFrame, other: str) -> DataFrame:
-        mark = right.withColumn("_mark", F.xxhash64(*names, other))
-        same = [left[s].eqNullSafe(mark[n]) for s, n in zip(session, names, strict=True)]
-        return left.withColumn("_own", F.xxhash64(*session, own)).join(mark, [F.col("_own") == F.col("_mark"), *same, F.col(own) == F.col(other)], "left_anti").drop("_own")
-
-    left = without(without(cached, "_t", full, "_full"), "_p", heads, "_head")
-    return keyed.filter("not _cached").unionByName(left).drop("_t", "_cached", "_p")
+    flags = {"_full": ~F.col("_cached"), "_begins": F.col("_cached") & F.col("_long"), "_equals": F.col("_cached") & ~F.col("_long")}
+    distinct = keyed.filter("_p <> ''").groupBy(*owner, F.col("_p").alias("_text")).agg(*[F.bool_or(x).alias(c) for c, x in flags.items()])
+    distinct = settle(distinct, "texts")
+    begun = beginnings(distinct.filter((F.col("_full") | F.col("_begins")) & (F.length("_text") >= LEAST_PREFIX)), names, "_text", "_full", "_begins")
+    known = begun.withColumn("_of_long", F.lit(True)).unionByName(distinct.filter("_full and _equals").select(*names, "_text").withColumn("_of_long", F.lit(False)))
+    mark = known.withColumn("_mark", F.xxhash64(*names, "_text"))
+    cached = keyed.filter("_cached").withColumn("_own", F.xxhash64(*session, "_p"))
+    same = [cached[s].eqNullSafe(mark[n]) for s, n in zip(session, names, strict=True)]
+    left = cached.join(mark, [F.col("_own") == F.col("_mark"), F.col("_p") == F.col("_text"), F.col("_long") == F.col("_of_long"), *same], "left_anti").drop("_own")
+    return keyed.filter("not _cached").unionByName(left).drop("_t", "_cached", "_p", "_long")
 
 
 def annotate(rows: DataFrame, prefixes: Sequence[str] = CORPUS_WAKE_PREFIXES, column: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.lexicon import DETECTOR, SOUNDS_APPROVAL, Lexicon
+from . import overlaps
 from .pairs import detect
 
 #: What a proposal must fill in before it can be approved.
@@ -20,13 +21,18 @@ def key_tokens(column: Column, longer_than: int = 4) -> Column:
 def covered(replies: DataFrame, rules: DataFrame, reply_key: str, rule_key: str, reply: str = "reply", rule: str = "rule", shared: int = 4, part: float = 0.3) -> DataFrame:
     """(reply_key, rule_key, overlap, tokens): rules that share at least `shared` key tokens, and more than `part` of the reply's.
 
-    Tokens are exploded and joined on equality, so cost follows shared tokens rather than
-    replies times rules.
+    Keys are distinct. A set-similarity join by prefix filter (`overlaps.candidates`): only the
+    rarest tokens of each side are joined, so a token that all rows hold is none of them, and
+    only pairs that meet there are counted, exactly, over all their tokens.
     """
-    left = replies.select(reply_key, key_tokens(F.col(reply)).alias("_t")).select(reply_key, F.size("_t").cast("bigint").alias("tokens"), F.explode("_t").alias("token"))
-    right = rules.select(rule_key, F.explode(key_tokens(F.col(rule))).alias("token"))
-    found = left.join(right, "token").groupBy(reply_key, rule_key).agg(F.count("*").alias("overlap"), F.first("tokens").alias("tokens"))
-    return found.filter((F.col("overlap") >= shared) & (F.col("overlap") / F.col("tokens") > part))
+    left = replies.select(F.col(reply_key).alias("_a"), key_tokens(F.col(reply)).alias("_ta")).filter(F.size("_ta") >= shared)
+    right = rules.select(F.col(rule_key).alias("_b"), key_tokens(F.col(rule)).alias("_tb")).filter(F.size("_tb") >= shared)
+    # a little less than the least overlap that counts, so that no rounding loses a pair
+    need = F.greatest(F.lit(shared), F.ceil(F.size("_ta") * F.lit(part) - F.lit(1e-6)))
+    pairs = overlaps.candidates(left, right, need, shared)
+    found = pairs.join(left, "_a").join(right, "_b").withColumn("overlap", F.size(F.array_intersect("_ta", "_tb")).cast("bigint")).withColumn("tokens", F.size("_ta").cast("bigint"))
+    found = found.filter((F.col("overlap") >= shared) & (F.col("overlap") / F.col("tokens") > part))
+    return found.select(F.col("_a").alias(reply_key), F.col("_b").alias(rule_key), "overlap", "tokens")
 
 
 def anchor(pairs: DataFrame, lexicon: Lexicon = DETECTOR) -> DataFrame:

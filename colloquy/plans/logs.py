@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,18 +12,15 @@ from ..functions.lexicon import BENCH
 from ..operators import corpus
 from ..session import table
 from ..sources import sessions
+from ..storage import local_path
 from ..streaming import pushback
 from .catalogue import query
 from .shared_sql import PAIRS, first_word, marker, words
 
 
 def folder(spark: SparkSession, label: str) -> str:
-    """A new folder by path, in shared storage; on a local master without one, in a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = shared.removeprefix("file://").removeprefix("file:") if shared else tempfile.mkdtemp(prefix="colloquy-")
-    return f"{root.rstrip('/')}/colloquy-files/{label}-{uuid.uuid4().hex}"
+    """A new folder in shared storage, by path; deleted when Python ends."""
+    return local_path(spark, label)
 
 
 def json_text(x: Column) -> Column:
@@ -74,7 +69,7 @@ def write_files(df: DataFrame, mode: str = "w") -> None:
 
 
 def _entries(spark, d):
-    return sessions.entries(files(lines(table(spark, d, "conversations"))))
+    return sessions.entries(sessions.lines_of(files(lines(table(spark, d, "conversations")))))
 
 
 _NUMBERED = """n AS (SELECT *, 'p' || conv_id % 5 AS project, 's' || conv_id AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS line_no, (conv_id + turn) % 8 AS kind,
@@ -87,7 +82,10 @@ _NUMBERED = """n AS (SELECT *, 'p' || conv_id % 5 AS project, 's' || conv_id AS
         FROM n WHERE kind <> 6""",
 )
 def session_entries(spark, d):
-    return _entries(spark, d).select("project", "session", "line_no", F.try_variant_get("entry", "$.type", "string").alias("type"))
+    """From files on disk, cut into pieces far smaller than they are."""
+    root = folder(spark, "entries") + "/projects"
+    write_files(files(lines(table(spark, d, "conversations")), root=root))
+    return sessions.session_logs(spark, root, piece_bytes=1 << 10).select("project", "session", "line_no", F.try_variant_get("entry", "$.type", "string").alias("type"))
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Streaming source that follows append-only JSON Lines files by byte offset.
+"""Source that follows append-only JSON Lines files by byte offset, as a stream or, from given offsets, as a batch.
 
 An offset holds, for each file, how many bytes were taken (always up to a line end) and
 digests of the first and last of them. Files that shrank, or whose taken bytes changed, give
@@ -14,7 +14,7 @@ import json
 import os
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: Bytes at either end of the taken part that its digests cover, and how far back a line end is sought at a time.
 EDGE, STEP = 1 << 16, 1 << 13
@@ -51,7 +51,7 @@ class Piece(InputPartition):
 
 
 class JsonlTail(DataSource):
-    """Options: path (a glob), startingOffsets (earliest or latest), onlyPath (one file among those of path)."""
+    """Options: path (a glob), startingOffsets (earliest, latest or, for a batch, the JSON of an offset), onlyPath (one file among those of path)."""
 
     @classmethod
     def name(cls) -> str:
@@ -63,6 +63,9 @@ class JsonlTail(DataSource):
     def streamReader(self, schema) -> DataSourceStreamReader:
         return TailReader(self.options)
 
+    def reader(self, schema) -> DataSourceReader:
+        return PendingReader(self.options)
+
 
 class TailReader(DataSourceStreamReader):
     def __init__(self, options):
@@ -123,3 +126,20 @@ class TailReader(DataSourceStreamReader):
 
     def commit(self, end: dict) -> None:
         """Offsets are kept by the query's checkpoint."""
+
+
+class PendingReader(DataSourceReader):
+    """What a stream that stands at the given offset would take up now; nothing is committed."""
+
+    def __init__(self, options):
+        self.tail = TailReader(options)
+        given = options.get("startingoffsets") or options.get("startingOffsets") or "earliest"
+        self.start = {"files": "{}"} if given == "earliest" else None if given == "latest" else json.loads(given)
+
+    def partitions(self) -> list[Piece]:
+        now = self.tail.latestOffset()
+        return self.tail.partitions(self.start or now, now) or [Piece("", 0, 0)]
+
+    def read(self, piece: Piece):
+        if piece.path:
+            yield from self.tail.read(piece)

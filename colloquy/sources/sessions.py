@@ -4,17 +4,11 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def safe_files(root: str, *patterns: str) -> list[str]:
-    """Sorted regular files under root that match a pattern; symbolic links, and files reached through one, are left out."""
-    top = Path(root).resolve()
-    found = {p for pattern in patterns for p in Path(root).glob(pattern)}
-    return sorted(str(p) for p in found if p.is_file() and not p.is_symlink() and p.resolve() == top / p.relative_to(root))
+from .log_lines import PIECE_BYTES, lines, safe_files
 
 
 def whole_files(spark: SparkSession, paths: str | Sequence[str], modified_after: str | None = None) -> DataFrame:
@@ -42,14 +36,19 @@ def session_of(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
-def entries(files: DataFrame) -> DataFrame:
-    """(path, project, session, line_no, entry): a variant for each line that parses to an object; other lines are skipped."""
-    lines = files.select("path", F.posexplode(F.split("value", "\n", -1)).alias("at", "line"))
-    parsed = lines.select("path", (F.col("at") + 1).cast("bigint").alias("line_no"), F.try_parse_json(F.regexp_replace("line", r"\r$", "")).alias("entry"))
+def entries(numbered: DataFrame) -> DataFrame:
+    """(path, project, session, line_no, entry) from lines (path, line_no, value): a variant for each that parses to an object; others are skipped."""
+    parsed = numbered.select("path", F.col("line_no").cast("bigint").alias("line_no"), F.try_parse_json(F.regexp_replace("value", r"\r$", "")).alias("entry"))
     kept = parsed.filter(F.schema_of_variant("entry").startswith("OBJECT"))
     return kept.select("path", project_of(F.col("path")).alias("project"), session_of(F.col("path")).alias("session"), "line_no", "entry")
 
 
+def lines_of(files: DataFrame) -> DataFrame:
+    """(path, line_no, value) of whole files (path, value) that are rows already."""
+    split = files.select("path", F.posexplode(F.split("value", "\n", -1)).alias("at", "value"))
+    return split.select("path", (F.col("at") + 1).cast("bigint").alias("line_no"), "value")
+
+
 def _text(entry: Column, at: str) -> Column:
     """The string at a path; null where something else stands there."""
     node = F.try_variant_get(entry, at, "variant")
@@ -91,9 +90,9 @@ def turns(read: DataFrame) -> DataFrame:
     return read.select("path", "project", "session", "line_no", role.alias("role"), message_text(F.col("entry")).alias("text"), stamp.alias("ts")).filter(F.col("role").isin("user", "assistant"))
 
 
-def session_logs(spark: SparkSession, root: str, modified_after: str | None = None) -> DataFrame:
-    """Entries of every <root>/<project>/<session>.jsonl that is a plain file."""
-    return entries(whole_files(spark, safe_files(root, "*/*.jsonl"), modified_after))
+def session_logs(spark: SparkSession, root: str, modified_after: str | None = None, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """Entries of every <root>/<project>/<session>.jsonl that is a plain file; files above piece_bytes are read by several tasks."""
+    return entries(lines(spark, root, "*/*.jsonl", modified_after, piece_bytes))
 
 
 def corpus(spark: SparkSession, root: str) -> DataFrame:
