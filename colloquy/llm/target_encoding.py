@@ -68,7 +68,8 @@ def _events(df: DataFrame, ident: str, *values: list[Column]) -> DataFrame:
 
 
 def _dimension(table: DataFrame, key: str, value: str) -> DataFrame:
-    return table.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias(key)).agg(F.min(value).alias(value))
+    """One row a key; written out, as Spark splits a skewed join only where both sides are dealt out for it."""
+    return settle(table.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias(key)).agg(F.min(value).alias(value)), key)[0]
 
 
 def rate(n: Column, s: Column, prior: Column) -> Column:
@@ -88,7 +89,7 @@ def groups(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFr
     fold = (F.crc32(F.col("sale_id").cast("string")) % FOLDS).cast("int").alias("fold")
     sold = sales.filter("sold_at is not null and sale_id is not null").groupBy("sale_id").agg(F.min(F.struct("sold_at", F.coalesce("client_id", F.lit(-1)).cast("bigint").alias("client_id"))).alias("_s"))
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("_s.sold_at")).alias("at")
-    sold = sold.select("sale_id", F.col("_s.client_id").alias("client_id"), micros, fold).join(_dimension(clients, "client_id", "segment"), "client_id", "left")
+    sold, _ = settle(sold.select("sale_id", F.col("_s.client_id").alias("client_id"), micros, fold).join(_dimension(clients, "client_id", "segment"), "client_id", "left"), "sold")
     named = own.join(sold, "sale_id").join(_dimension(items, "item_id", "kind"), "item_id", "left").join(_dimension(vendors, "vendor_id", "nation_id"), "vendor_id", "left")
     return named.withColumnRenamed("nation_id", "nation")
 
@@ -110,6 +111,7 @@ def encode(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFr
         return rows.repartition("id").groupBy("id").agg(*pick, *more)
 
     by_sale = spread(known.filter(F.col("level") < at["kind"]), ("all", "segment", "client")).withColumnRenamed("id", "sale_id")
+    by_sale, _ = settle(by_sale, "by-sale")
     own = kept.select(F.lit(-1).alias("level"), "id", "n", "s", "sale_id", "item_id", "vendor_id")
     rows = known.filter(F.col("level") >= at["kind"]).select("level", "id", "n", "s", *[F.lit(None).cast("bigint").alias(c) for c in ("sale_id", "item_id", "vendor_id")])
     mine = F.col("level") == -1
