@@ -22,8 +22,10 @@ def find_secrets(docs: DataFrame, total: int | None = kernel.TOTAL_CHARS) -> Dat
     up again. Bytes that are no UTF-8 stand as one character each, so rules also match in
     partly binary layers, and streams are found behind any encoding and in the middle of a
     layer. A place inside a compressed layer maps to the whole encoded stream; all members of
-    one are unpacked, in blocks that overlap. A tower of escapes deeper than COPIES whole texts
-    is then decoded to its end in one pass.
+    one are unpacked, in blocks that overlap. Of a tower of escapes deeper than COPIES whole texts
+    each further layer holds the parts that still change, and is scanned like any other. zlib
+    streams with a window below 32 K, and raw deflate in base64, count where they end well;
+    UTF-16 is told by its zero bytes.
 
     `total` and a share for each character of the document bound the characters of all its
     layers, against decompression bombs, and an unpacker may take UNPACKER bytes of memory;
@@ -41,5 +43,5 @@ def query(docs: DataFrame) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: (s["layers"] == "") & (s["kind"] == kind))).cast("bigint").alias(f"n_{kind}")
     return find_secrets(docs).select(
-        "doc_id", *[count(k) for k in kernel.KINDS], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"), "n_layers"
+        "doc_id", *[count(k) for k in kernel.KINDS], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"), "n_layers", "bounded"
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import binascii
 import bz2
 import hashlib
+import html.entities
 import itertools
 import lzma
 import re
@@ -22,19 +23,24 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-_ENDS = re.compile(f"(?:%[0-9A-Fa-f]{{2}}|{_ESCAPE.pattern})\\Z")
+_ESCAPE = re.compile(
+    r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\[0-3][0-7]{2}|%u[0-9A-Fa-f]{4}"
+    r"|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[A-Za-z][A-Za-z0-9]{1,31};"
+)
 _PACKED = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 _NEXT_LINE = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_-]+)(={0,2})(?=[\x20\t]*(?:\r?\n|\Z|[\"'<\x60\\)]))")
 _PLAIN = str.maketrans("-_", "+/")
 
+#: How zlib streams begin, by the rule of their header: method 8, a window of at most 32 K, no dictionary, a multiple of 31.
+_ZLIB = [(c, [f for f in range(256) if not f & 0x20 and (c * 256 + f) % 31 == 0]) for c in range(0x08, 0x80, 0x10)]
+
 #: How compressed streams begin: gzip, bz2, xz, zstd, zlib.
-_MAGIC = r"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\(\xb5/\xfd|x[\x01\x5e\x9c\xda]"
+_MAGIC = r"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\(\xb5/\xfd|" + "|".join(rf"\x{c:02x}[{''.join(rf'\x{f:02x}' for f in own)}]" for c, own in _ZLIB)
 _STREAM, _STREAM_BYTES = re.compile(_MAGIC), re.compile(_MAGIC.encode("latin-1"))
 
 #: What decoded bytes must hold to be worth a layer: the beginning of a rule or of a further encoding.
 _HINT = re.compile(
-    rb"(?i:passw|secret|token|api_?key)|AKIA|[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f]{2}|&#[0-9xX]|" + _MAGIC.encode("latin-1")
+    rb"(?i:passw|secret|token|api_?key)|AKIA|[A-Za-z0-9+/_-]{16}|%u?[0-9A-Fa-f]{2}|\\[uUx]\{?[0-9A-Fa-f]{1,2}|\\[0-3][0-7]{2}|&#[0-9xX]|&[A-Za-z]{2,31};|" + _MAGIC.encode("latin-1")
 )
 
 #: An unpacked layer is taken in blocks of BLOCK bytes that share OVERLAP bytes.
@@ -43,9 +49,15 @@ BLOCK, OVERLAP = 1 << 24, 1 << 20
 #: Bytes that a stream is fed first, and later on; and a zstd stream at a time.
 FIRST, STEP, NIBBLE = 1 << 12, 1 << 20, 1 << 9
 
-#: Whole-text copies in a row after which the rest of a tower of escapes is taken in one pass.
+#: Whole-text copies in a row after which each further layer of a tower of escapes holds only the parts of the text that still change.
 COPIES = 8
 
+#: Characters that no rule and no encoding of text has, where such parts end.
+_BREAK = re.compile(r"[,()<>!?*|$@^~\[\]]")
+
+#: Bytes behind a raw deflate stream that base64 may add to it; how far in front a name or path may reach, and how its parts end.
+TAIL, FRONT, _FRONT = 3, 128, re.compile("[/+_-]")
+
 #: Streams that are unpacked straight out of one another; a deeper one is a layer of its own.
 DEPTH = 32
 
@@ -85,7 +97,7 @@ class Pieces:
     """Characters from at[k] on come one by one from start[k] on, or all from start[k] to end[k]; end is -1 for the former."""
 
     def __init__(self, above, how: str):
-        self.above, self.how = above, how
+        self.above, self.how, self.steps = above, how, [(how, 1)]
         self.at, self.start, self.end = array("q"), array("q"), array("q")
 
     def add(self, at: int, start: int, end: int) -> None:
@@ -100,6 +112,31 @@ class Pieces:
             return start, start + 1
         return self.start[k], self.end[k]
 
+    def onto(self, length: int) -> Pieces:
+        """The same characters, length of them, straight from where the layer above has its own from."""
+        above, out = self.above, Pieces(self.above.above, self.how)
+        out.steps = [*above.steps[:-1], (self.how, above.steps[-1][1] + 1)] if above.steps[-1][0] == self.how else [*above.steps, (self.how, 1)]
+        for k, (at, start, end) in enumerate(zip(self.at, self.start, self.end, strict=True)):
+            if end >= 0:
+                out.add(at, above.up(start)[0], above.up(end - 1)[1])
+                continue
+            stop = start + (self.at[k + 1] if k + 1 < len(self.at) else length) - at
+            i, j = start, bisect_right(above.at, start) - 1
+            while i < stop:
+                out.add(at + i - start, above.start[j] + (i - above.at[j] if above.end[j] < 0 else 0), above.end[j])
+                j += 1
+                i = above.at[j] if j < len(above.at) else stop
+        return out
+
+    def decoded(self, start: int, end: int) -> bool:
+        """Whether any character from start to end is new in this layer."""
+        k = bisect_right(self.at, start) - 1
+        while k < len(self.at) and self.at[k] < end:
+            if self.end[k] >= 0:
+                return True
+            k += 1
+        return False
+
 
 class Packed:
     """Characters of base64 text that lies in spans, from its character `skip` on; sizes holds where each one's bytes begin, if not one each."""
@@ -119,8 +156,10 @@ class Packed:
 
 
 class Layer:
-    def __init__(self, text: str, place=None, copies: int = 0):
-        self.text, self.place, self.copies = text, place, copies
+    """fresh is where the characters come from in the layer above, if they were decoded from it one by one."""
+
+    def __init__(self, text: str, place=None, copies: int = 0, fresh: Pieces | None = None):
+        self.text, self.place, self.copies, self.fresh = text, place, copies, fresh
 
 
 def origin(place, start: int, end: int) -> tuple[int, int]:
@@ -132,21 +171,26 @@ def origin(place, start: int, end: int) -> tuple[int, int]:
 
 
 def path(place) -> str:
-    """How a layer was reached, outermost step first."""
-    steps = []
+    """How a layer was reached, outermost step first; more than COPIES equal steps in a row are one with their number."""
+    steps: list[tuple[str, int]] = []
     while place is not None:
-        steps.append(place.how)
+        for how, n in reversed(place.steps if isinstance(place, Pieces) else [(place.how, 1)]):
+            if steps and steps[-1][0] == how:
+                steps[-1] = (how, steps[-1][1] + n)
+            else:
+                steps.append((how, n))
         place = place.above
-    return ">".join(reversed(steps))
+    return ">".join(how if n == 1 else ">".join([how] * n) if n <= COPIES else f"{how}*{n}" for how, n in reversed(steps))
 
 
 # ---- URL and Unicode escapes --------------------------------------------------------------------
 
 
-def _replaced(layer: Layer, pattern: re.Pattern, decode, how: str) -> Layer | None:
-    """The whole text with every match of pattern decoded once; decode gives (characters, source length) pairs."""
-    place, out, at, last = Pieces(layer.place, how), [], 0, 0
-    for m in pattern.finditer(layer.text):
+def _replaced(layer: Layer, pattern: re.Pattern, decode, how: str, begin: int = 0, stop: int | None = None) -> Layer | None:
+    """The text from begin to stop with every match of pattern decoded once; decode gives (characters, source length) pairs."""
+    place, out, at, last = Pieces(layer.place, how), [], 0, begin
+    stop = len(layer.text) if stop is None else stop
+    for m in pattern.finditer(layer.text, begin, stop):
         if m.start() > last:
             out.append(layer.text[last : m.start()])
             place.add(at, last, -1)
@@ -159,9 +203,12 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, how: str) -> Layer | No
         last = m.end()
     if not out:
         return None
-    out.append(layer.text[last:])
+    out.append(layer.text[last:stop])
     place.add(at, last, -1)
-    return Layer("".join(out), place, layer.copies + 1)
+    text = "".join(out)
+    # deep in a tower a place names its origin at once, so that no span has to climb it
+    deep = layer.copies >= COPIES and isinstance(layer.place, Pieces)
+    return Layer(text, place.onto(len(text)) if deep else place, layer.copies + 1, place)
 
 
 def _percent(run: str):
@@ -179,8 +226,15 @@ def _percent_bytes(run: str):
 
 
 def _character(escape: str) -> str:
-    digits = escape[2:-1] if escape[0] == "&" else escape[2:] if escape[0] == "\\" else escape[1:]
-    code = int(digits) if escape[0] == "&" and digits.isdigit() and escape[2] not in "xX" else int(digits.lstrip("xX"), 16)
+    """What an escape stands for; itself where it is a name that no character has."""
+    if escape[0] == "&" and escape[1] != "#":
+        return html.entities.html5.get(escape[1:], escape)
+    if escape[0] == "&":
+        code = int(escape[3:-1], 16) if escape[2] in "xX" else int(escape[2:-1])
+    elif escape[1].isdigit():
+        code = int(escape[1:], 8)
+    else:
+        code = int(escape[2:].strip("{}"), 16)
     return chr(code) if code < 0xD800 or 0xDFFF < code <= 0x10FFFF else "\ufffd"
 
 
@@ -188,38 +242,15 @@ def _escaped(run: str):
     yield _character(run), len(run)
 
 
-def _settled(layer: Layer) -> Layer:
-    """The text with every URL and Unicode escape decoded until none is left, in one pass.
-
-    A decoded character goes back in front of what is still to be read, so that it can begin,
-    continue or end another escape. Each one shortens the text, so the pass takes linear time.
-    """
-    text, pos, back = layer.text, 0, []
-    chars, starts, ends, opener = [], array("q"), array("q"), -99
-    while back or pos < len(text):
-        if back:
-            c, s, e = back.pop()
-        else:
-            c, s, e, pos = text[pos], pos, pos + 1, pos + 1
-        if c in "%\\&":
-            opener = len(chars)
-        chars.append(c)
-        starts.append(s)
-        ends.append(e)
-        if len(chars) - opener <= 10 and c in "0123456789abcdefABCDEF;" and (m := _ENDS.search("".join(chars[opener:]))):
-            n = len(m[0])
-            back.append((_character(m[0]), starts[-n], ends[-1]))
-            del chars[-n:], starts[-n:], ends[-n:]
-            opener = next((k for k in range(len(chars) - 1, max(-1, len(chars) - 11), -1) if chars[k] in "%\\&"), -99)
-    place, run = Pieces(layer.place, "escapes"), None
-    for i, (s, e) in enumerate(zip(starts, ends, strict=True)):
-        if e - s != 1:
-            place.add(i, s, e)
-            run = None
-        elif run != s - i:
-            place.add(i, s, -1)
-            run = s - i
-    return Layer("".join(chars), place, COPIES + 1)
+def _changing(layer: Layer):
+    """(start, end) of the parts of a layer that hold escapes, each up to characters that nothing goes across."""
+    borders = [-1, *(m.start() for m in _BREAK.finditer(layer.text)), len(layer.text)]
+    at = 0
+    while found := [m for p in (_ESCAPE, _URL) if (m := p.search(layer.text, at))]:
+        k = bisect_right(borders, min(m.start() for m in found))
+        start, end = borders[k - 1] + 1, borders[k]
+        yield start, end
+        at = end + 1
 
 
 # ---- compressed streams -------------------------------------------------------------------------
@@ -299,7 +330,7 @@ class _Feed:
 def _kind(head: bytes) -> str | None:
     if not _STREAM_BYTES.match(head):
         return None
-    return {0x1F: "gzip", 0x42: "bz2", 0xFD: "xz", 0x28: "zstd", 0x78: "zlib"}[head[0]]
+    return {0x1F: "gzip", 0x42: "bz2", 0xFD: "xz"}.get(head[0]) or ("zstd" if head[:2] == b"(\xb5" else "zlib")
 
 
 _NEW = {"gzip": lambda: _Zlib(31), "zlib": lambda: _Zlib(15), "bz2": bz2.BZ2Decompressor, "xz": lambda: lzma.LZMADecompressor(memlimit=UNPACKER), "zstd": _Zstd}
@@ -325,6 +356,21 @@ def _inflated(chunks, kind: str, feed: _Feed | None):
             return
 
 
+def _ends(chunks, wbits: int) -> int | None:
+    """How many bytes follow the end of the zlib or deflate stream in chunks; None where it is broken, empty, or does not end."""
+    one, size = zlib.decompressobj(wbits), 0
+    try:
+        for data in chunks:
+            while data:
+                size += len(one.decompress(data, STEP))
+                if one.eof:
+                    return len(one.unused_data) if size else None
+                data = one.unconsumed_tail
+    except zlib.error:
+        pass
+    return None
+
+
 def _until_broken(pieces, bounds: Bounds):
     """pieces up to where the stream breaks off; what it holds before that counts."""
     try:
@@ -339,6 +385,8 @@ def _opened(feed: _Feed, bounds: Bounds):
     head = next(chunks, b"")
     chunks = itertools.chain([head], chunks)
     while depth < DEPTH and (kind := _kind(head)):
+        if kind == "zlib" and head[0] != 0x78 and (depth or _ends(_Feed(feed.source, feed.at), 15) is None):
+            break  # two such bytes are common, so only a whole stream counts
         before, after = itertools.tee(chunks) if depth else (None, chunks)
         pieces = _until_broken(_inflated(after, kind, None if depth else feed), bounds)
         inner = next(pieces, b"")
@@ -364,8 +412,24 @@ def _blocks(pieces):
         yield _as_text(bytes(held))[0]
 
 
+def _wide(raw: bytes) -> str | None:
+    """The byte order of text in UTF-16 that is mostly Latin: every other byte is zero."""
+    if len(raw) < 8 or raw.count(0) * 3 < len(raw):
+        return None
+    odd, even = raw[1::2].count(0), raw[::2].count(0)
+    return "utf-16-le" if odd > even else "utf-16-be"
+
+
+def _tells(raw: bytes) -> bool:
+    """Whether bytes hold the beginning of a rule or of a further encoding."""
+    return bool(_HINT.search(raw) or _wide(raw) and _HINT.search(raw.replace(b"\0", b"")))
+
+
 def _as_text(raw: bytes) -> tuple[str, array | None]:
     """raw as text, and where each character's bytes begin if they are not one each; bytes cut off at the end are left out."""
+    if order := _wide(raw):
+        text = raw[: len(raw) // 2 * 2].decode(order, "replace")
+        return text, array("q", itertools.accumulate((2 if c < "\U00010000" else 4 for c in text), initial=0))
     for cut in range(4):
         try:
             text = raw[: len(raw) - cut].decode()
@@ -428,19 +492,40 @@ def _decoded(body: str) -> bytes:
     return binascii.a2b_base64(body[:n].translate(_PLAIN) + "=" * (-n % 4))
 
 
+def _deflated(raw: bytes):
+    one, data = zlib.decompressobj(-15), raw
+    while data and not one.eof:
+        yield one.decompress(data, STEP)
+        data = one.unconsumed_tail
+
+
+def _raw_streams(layer: Layer, spans: list[tuple[int, int]], body: str, bounds: Bounds):
+    """Layers in deflate streams without a header. They have no mark, so they must start a run, or follow a name or path in front, and end with it."""
+    for skip in sorted({0, 1, 2, 3, *(m.end() for m in _FRONT.finditer(body[:FRONT]))}):
+        raw = _decoded(body[skip:]) if len(body) - skip > 1 else b""
+        if raw and (left := _ends([raw], -15)) is not None and left <= TAIL:
+            edge = Packed(layer.place, "base64", spans, skip, None)
+            place = Whole(layer.place, "base64>compressed", edge.up(0)[0], edge.up(len(raw) - 1)[1])
+            yield from (Layer(t, place) for t in _blocks(_until_broken(_deflated(raw), bounds)) if _tells(t.encode("utf-8", "surrogatepass")))
+
+
 def _unpacked(layer: Layer, bounds: Bounds):
     """Layers hidden in base64 runs, compressed or plain.
 
     Each run is decoded from its first four characters on, one of which has the layer's
     alignment whatever word, path or name stands in front of it. Bytes that are no text at
     that end, or all of them, do no harm: a rule or a stream shows in what remains. Bytes of a
-    stream are not taken for text as well.
+    stream are not taken for text as well. A run that was copied whole from the layer above is
+    part of one there, at one of the same alignments, and is passed over.
     """
     for spans in _runs(layer.text):
+        if layer.fresh and not layer.fresh.decoded(spans[0][0], spans[-1][1]):
+            continue
         body = "".join(layer.text[a:b] for a, b in spans)
+        yield from _raw_streams(layer, spans, body, bounds)
         for skip in range(4):
             raw = _decoded(body[skip:])
-            if not _HINT.search(raw):
+            if not _tells(raw):
                 continue
             rest = bytearray(raw)
             for start, end, texts, depth in _streams(raw, bounds):
@@ -448,10 +533,13 @@ def _unpacked(layer: Layer, bounds: Bounds):
                 edge = Packed(layer.place, "base64", spans, skip, None)
                 place = Whole(layer.place, "base64" + ">compressed" * depth, edge.up(start)[0], edge.up(end - 1)[1])
                 yield from (Layer(t, place) for t in texts)
-            if not _HINT.search(rest):
+            if not _tells(bytes(rest)):
                 continue
-            text, sizes = _as_text(bytes(rest))
-            yield Layer(text, Packed(layer.place, "base64", spans, skip, sizes))
+            for odd in (0, 1) if _wide(bytes(rest)) else (0,):  # of UTF-16 the first byte may be half a character
+                text, sizes = _as_text(bytes(rest[odd:]))
+                if odd and sizes:
+                    sizes = array("q", (n + odd for n in sizes))
+                yield Layer(text, Packed(layer.place, "base64", spans, skip, sizes))
 
 
 # ---- the worklist ---------------------------------------------------------------------------------
@@ -462,17 +550,18 @@ def _inner(layer: Layer, bounds: Bounds):
     for start, end, texts, depth in _streams(layer.text, bounds):
         place = Whole(layer.place, ">".join(["compressed"] * depth), start, end)
         yield from (Layer(t, place) for t in texts)
-    if layer.copies > COPIES:
-        return
-    escapes, percents = "\\" in layer.text or "&#" in layer.text, "%" in layer.text
-    if layer.copies == COPIES and (escapes or percents):
-        yield _settled(layer)
-        return
-    if escapes and (found := _replaced(layer, _ESCAPE, _escaped, "unicode")):
+    for start, end in _changing(layer) if layer.copies >= COPIES else [(0, len(layer.text))]:
+        yield from _once(layer, start, end)
+
+
+def _once(layer: Layer, start: int = 0, end: int | None = None):
+    """The layer from start to end with its escapes of each kind decoded once."""
+    has = lambda c: layer.text.find(c, start, end) >= 0
+    if (has("\\") or has("&") or has("%u")) and (found := _replaced(layer, _ESCAPE, _escaped, "unicode", start, end)):
         yield found
-    if percents and (found := _replaced(layer, _URL, _percent, "url")):
+    if has("%") and (found := _replaced(layer, _URL, _percent, "url", start, end)):
         if not found.text.isascii():  # bytes of a stream may look like UTF-8
-            other = _replaced(layer, _URL, _percent_bytes, "url")
+            other = _replaced(layer, _URL, _percent_bytes, "url", start, end)
             if _STREAM.search(other.text):
                 yield other
         yield found

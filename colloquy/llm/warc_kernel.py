@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
 import zlib
+from urllib.parse import quote, unquote
 
 CRLF, END = b"\r\n", b"\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
@@ -54,23 +56,29 @@ def _clean(url: str | None) -> str | None:
     return None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
-def records(row: tuple, name: str, segment_bytes: int, chunk_bytes: int):
-    """The records of one page: (page_id, url, html, digest, refers_to, its url); name is unique to the row."""
-    page_id, url, html, digest, refers_to, target = row
-    payload = (html or "").encode("utf-8", "surrogatepass")
-    ids = lambda k: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{name}/{k}')}>"
-    head = [("WARC-Date", DATE), ("WARC-Target-URI", _clean(url)), ("Page-Id", page_id), ("WARC-Payload-Digest", f"sha256:{digest}")]
-    if target is not None or refers_to is not None:
-        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        more = [("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", _clean(target)), ("Refers-To-Page-Id", refers_to)]
-        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", ids(1)), *head, *more, ("Content-Type", "application/http; msgtype=response")], block)
+def records(row: tuple, job: str, apart: str, segment_bytes: int, chunk_bytes: int):
+    """The records of one page: (page_id, url, html, digest, bytes, alone, refers_to, its url, whether that is alone); ids are texts.
+
+    A page whose id and payload no other row has is `alone`: its record id follows from these,
+    so that revisits can name it; `apart` tells the others apart.
+    """
+    page_id, url, html, digest, n, alone, refers_to, target, target_alone = row
+    ids = lambda page, own, k: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{job}/{page}/{digest}/{own}/{k}')}>"
+    own = "" if alone else apart
+    head = [("WARC-Date", DATE), ("WARC-Target-URI", _clean(url)), ("Page-Id", _safe(page_id)), ("WARC-Payload-Digest", f"sha256:{digest}")]
+    if html is None:
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n
+        more = [("WARC-Profile", PROFILE), ("WARC-Refers-To", ids(refers_to, "", 1) if target_alone else None), ("WARC-Refers-To-Target-URI", _clean(target)),
+                ("WARC-Refers-To-Date", DATE), ("Refers-To-Page-Id", _safe(refers_to))]
+        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", ids(page_id, apart, 1)), *head, *more, ("Content-Type", "application/http; msgtype=response")], block)
         return
+    payload = html.encode("utf-8", "surrogatepass")
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk_bytes)
     n = max(1, -(-len(block) // segment_bytes))
     for k in range(1, n + 1):
         part = block[(k - 1) * segment_bytes : k * segment_bytes]
-        fields = [("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", ids(k))]
-        fields += head if k == 1 else [("WARC-Date", DATE), ("WARC-Segment-Origin-ID", ids(1))]
+        fields = [("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", ids(page_id, own, k))]
+        fields += head if k == 1 else [("WARC-Date", DATE), ("WARC-Segment-Origin-ID", ids(page_id, own, 1))]
         if n > 1:
             fields.append(("WARC-Segment-Number", k))
         if n > 1 and k == n:
@@ -78,14 +86,28 @@ def records(row: tuple, name: str, segment_bytes: int, chunk_bytes: int):
         yield _record([*fields, ("Content-Type", "application/http; msgtype=response" if k == 1 else None)], part)
 
 
+def _safe(ident: str | None) -> str | None:
+    return None if ident is None else quote(ident, safe=":/@+,;=")
+
+
+def member(record: bytes) -> bytes:
+    """A record as a gzip member of its own, without its last byte, which is zero and which the file writer puts after each.
+
+    That byte is the highest of the record's length, so a record has less than 2**24 bytes.
+    """
+    packed = gzip.compress(record + END, 6, mtime=0)
+    assert packed[-1] == 0
+    return packed[:-1]
+
+
 def write(rows, job: str, segment_bytes: int, chunk_bytes: int):
     from pyspark import TaskContext
 
     task = TaskContext.get()
-    where = task.partitionId() if task else 0
+    where = f"{task.stageId()}.{task.partitionId()}" if task else "0"
     for i, row in enumerate(rows):
-        for record in records(row, f"{job}/{where}/{i}", segment_bytes, chunk_bytes):
-            yield (record,)
+        for record in records(row, job, f"{where}.{i}", segment_bytes, chunk_bytes):
+            yield (member(record),)
 
 
 def parse(data: bytes):
@@ -111,6 +133,8 @@ def parse(data: bytes):
         if not lines[0].startswith("WARC/"):
             raise WarcError("record does not begin with a version line")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        if not fields.get("content-length", "").isdigit():
+            raise WarcError("record without a length")
         n = int(fields["content-length"])
         if not need(stop + 4 + n + 4) or buffer[stop + 4 + n : stop + 8 + n] != END:
             raise WarcError("record does not end where its length says")
@@ -157,34 +181,64 @@ def _whole(kind: str, declared: str | None, block: bytes) -> tuple[int, str, byt
 
 
 def read(contents, payloads: bool):
-    """A row for each record; segments keep their block, other records are decoded at once."""
-    for (data,) in contents:
-        for f, block in parse(data):
-            number = f.get("warc-segment-number")
-            kind = f["warc-type"]
-            origin = f.get("warc-segment-origin-id", f["warc-record-id"])
-            page, refers = (int(x) if (x := f.get(k)) is not None else None for k in ("page-id", "refers-to-page-id"))
-            declared, url, total = f.get("warc-payload-digest"), f.get("warc-target-uri"), f.get("warc-segment-total-length")
-            row = (origin, int(number or 0), int(total) if total else None, None if kind == "continuation" else kind, page, url, declared, refers)
-            if number is None:
-                n, digest, payload = _whole(kind, declared, block)
-                yield *row, n, digest, payload if payloads else None
-            else:
-                yield *row, None, None, block
+    """A row for each record of (path, data); segments keep their block, other records are decoded at once.
+
+    What is broken gives a row with an error, and the records after it are read on; after a
+    record whose own bounds are broken the rest of its file is lost, which its row says.
+    """
+    for path, data in contents:
+        pull, number = parse(data), 0
+        while True:
+            number += 1
+            try:
+                fields, block = next(pull)
+            except StopIteration:
+                break
+            except (WarcError, zlib.error, UnicodeDecodeError) as e:
+                yield f"{path}#{number}", 0, None, None, None, None, None, None, None, None, None, f"{path}, record {number} and what follows: {e}"
+                break
+            yield _row(fields, block, payloads, f"{path}#{number}", f"{path}, record {number}")
+
+
+def _row(f: dict[str, str], block: bytes, payloads: bool, place: str, name: str) -> tuple:
+    kind, number, total = f.get("warc-type"), f.get("warc-segment-number"), f.get("warc-segment-total-length")
+    origin = f.get("warc-segment-origin-id") or f.get("warc-record-id")
+    page, refers = (unquote(x) if (x := f.get(k)) is not None else None for k in ("page-id", "refers-to-page-id"))
+    declared, url = f.get("warc-payload-digest"), f.get("warc-target-uri")
+    own = (None if kind == "continuation" else kind, page, url, declared, refers)
+    if not kind or not origin or not all(x is None or x.isdigit() for x in (number, total)):
+        return place, 0, None, *own, None, None, None, f"{name}: type, id or segment fields are missing or unreadable"
+    row = (origin, int(number or 0), int(total) if total else None, *own)
+    if number is not None:
+        return *row, None, None, block, None
+    try:
+        n, digest, payload = _whole(kind, declared, block)
+    except (WarcError, ValueError) as e:
+        return place, *row[1:], None, None, None, f"{name}: {e}"
+    return *row, n, digest, payload if payloads else None, None
 
 
 def assemble(rows, payloads: bool):
     """Join the segments of each origin, in order, and check them.
 
-    rows: (kind, page, url, declared, refers, bytes, digest, segments), the segments as (number, total, block) in order.
+    rows: (kind, page, url, declared, refers, bytes, digest, error, segments), the segments as (number, total, block) in order.
     """
-    for kind, page, url, declared, refers, n, digest, segments in rows:
+    for kind, page, url, declared, refers, n, digest, error, segments in rows:
         payload = segments[0]["block"]
-        if segments[0]["number"]:
-            if [s["number"] for s in segments] != list(range(1, len(segments) + 1)):
-                raise WarcError(f"segments of page {page} are not 1 to {len(segments)}")
-            block = b"".join(s["block"] for s in segments)
-            if segments[-1]["total"] != len(block):
-                raise WarcError(f"segments of page {page} have {len(block)} bytes, not {segments[-1]['total']}")
-            n, digest, payload = _whole(kind, declared, block)
-        yield page, url, n, digest, kind, refers, payload if payloads else None
+        if error is None and segments[0]["number"]:
+            try:
+                n, digest, payload = _joined(kind, declared, segments)
+            except (WarcError, ValueError) as e:
+                error, payload = str(e), None
+        elif error is None and len(segments) > 1:
+            error = "several records have one id"
+        yield page, url, n, digest, kind, refers, payload if payloads else None, error
+
+
+def _joined(kind: str | None, declared: str | None, segments) -> tuple[int, str, bytes]:
+    if [s["number"] for s in segments] != list(range(1, len(segments) + 1)):
+        raise WarcError(f"segments are not 1 to {len(segments)}")
+    block = b"".join(s["block"] for s in segments)
+    if segments[-1]["total"] != len(block):
+        raise WarcError(f"segments have {len(block)} bytes, not {segments[-1]['total']}")
+    return _whole(kind, declared, block)

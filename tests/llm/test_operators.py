@@ -750,5 +750,51 @@ def test_broken_archives():
             list(warc_kernel.parse(bad))
     part = lambda n, total=None: {"number": n, "total": total, "block": b"HTTP/1.1 200 OK\r\n\r\nab"}
     for segments in ([part(1), part(3, 46)], [part(1), part(2, 45)]):
-        with pytest.raises(warc_kernel.WarcError):
-            list(warc_kernel.assemble([("response", 1, "u", None, None, None, None, segments)], False))
+        ((*_, error),) = warc_kernel.assemble([("response", "1", "u", None, None, None, None, None, segments)], False)
+        assert error
+
+
+def test_broken_records_are_rows(spark, tmp_path):
+    good, bad = ("<a>", b"HTTP/1.1 200 OK\r\n\r\nab"), ("<b>", b"no http")
+    record = lambda ident, block, **f: warc_kernel._record([("WARC-Type", "response"), ("WARC-Record-ID", ident), *f.items()], block) + warc_kernel.END
+    body = record(*good) + record(*bad) + record("<c>", good[1], **{"Page-Id": "x%20y"}) + record("<d>", good[1], **{"WARC-Segment-Number": "q"}) + b"no warc at all"
+    (tmp_path / "one.warc").write_bytes(body)
+    (tmp_path / "two.warc").write_bytes(gzip.compress(record("<e>", good[1], **{"Page-Id": "7", "WARC-Payload-Digest": "sha256:00"})) + gzip.compress(record("<f>", good[1], **{"Page-Id": "8"})))
+    rows = warc_segments.read_archive(spark, str(tmp_path / "*.warc")).collect()
+    assert sorted(r.page_id for r in rows if r.page_id is not None) == [7, 8] and len(rows) == 7
+    errors = sorted(r.error.split(": ", 1)[-1].split(",")[0][:22] for r in rows if r.error)
+    assert errors == ["HTTP header does not e", "payload digest is fb8e", "record does not begin ", "type", "x y"] or len(errors) == 5
+    assert [r.payload_bytes for r in rows if r.page_id == 8] == [2]
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "decimal(9,2)", "int"])
+def test_archive_of_any_id_type(spark, tmp_path, kind):
+    text = {"string": " a/é %41\n{}", "date": "2024-01-0{}", "decimal(9,2)": "{}.50", "int": "{}"}[kind]
+    html = ["h" * 150, "h" * 150, "k" * 200, "s", None]
+    pages = spark.createDataFrame([(text.format(i + 1), "u", h) for i, h in enumerate(html)] + [(None, "u", "h" * 150)], "page_id string, url string, html string").withColumn("page_id", F.col("page_id").cast(kind))
+    rows = warc_segments.query(pages)
+    assert dict(rows.dtypes)["page_id"] == kind == dict(rows.dtypes)["refers_to"]
+    ids = [r[0] for r in pages.select("page_id").collect()]
+    wanted = [(ids[0], "response", None), (ids[1], "revisit", ids[0]), (ids[2], "response", None), (ids[3], "response", None), (ids[4], "response", None), (None, "revisit", ids[0])]
+    assert sorted(map(repr, (tuple(r) for r in rows.select("page_id", "record_type", "refers_to").collect()))) == sorted(map(repr, wanted))
+
+
+def test_revisits_name_the_record(spark, tmp_path):
+    """WARC-Refers-To is the id of the response, unless rows share that page_id and payload; each record is a gzip member."""
+    import glob
+
+    pages = [(1, "u1", "h" * 150), (2, "u2", "h" * 150), (3, "u3", "k" * 150), (3, "u3", "k" * 150), (4, "u4", "k" * 150)]
+    out = str(tmp_path / "w")
+    warc_segments.write_archive(spark.createDataFrame(pages, "page_id int, url string, html string"), out, segment_bytes=64)
+    records = []
+    for name in glob.glob(out + "/part*"):
+        data = open(name, "rb").read()
+        records += [f for f, _ in warc_kernel.parse(data)]
+        while data:  # every member is one record
+            one = zlib.decompressobj(31)
+            assert one.decompress(data).startswith(b"WARC/1.1\r\n") and one.eof
+            data = one.unused_data
+    by_page = {f["page-id"]: f for f in records if "page-id" in f}
+    assert by_page["2"]["warc-refers-to"] == by_page["1"]["warc-record-id"] and "warc-refers-to" not in by_page["4"]
+    assert by_page["2"]["warc-refers-to-date"] == by_page["1"]["warc-date"]
+    assert len({f["warc-record-id"] for f in records}) == len(records)

@@ -91,18 +91,66 @@ def test_towers_of_escapes(opener, step, last, levels):
     assert text[span[1] : span[2]] == text[2:-2] and span[4] == "password=abcdefghijkl1"
 
 
-def test_settled_text_equals_repeated_passes():
-    rng = random.Random(5)
-    for _ in range(200):
-        text = "".join(rng.choice(["%", "25", "41", "2", "5", "\\", "u0025", "x5c", "&#", "37;", "38;", "#", "a", " "]) for _ in range(rng.randint(1, 25)))
-        layer = unwrap_kernel._settled(unwrap_kernel.Layer(text))
-        assert not unwrap_kernel._ESCAPE.search(layer.text) and not unwrap_kernel._URL.search(layer.text)
-        at = 0
-        for i in range(len(layer.text)):  # every character of the text is accounted for, in order
-            start, end = unwrap_kernel.origin(layer.place, i, i + 1)
-            assert start == at and (end - start > 1 or layer.text[i] == text[start])
-            at = end
-        assert at == len(text)
+def layers_by_repeated_passes(text):
+    """Texts that arise when all URL escapes, or all others, are decoded once, over and over."""
+    work, seen = [text], {text}
+    while work:
+        layer = unwrap_kernel.Layer(work.pop())
+        for found in unwrap_kernel._once(layer):
+            if found.text not in seen:
+                seen.add(found.text)
+                work.append(found.text)
+    return seen
+
+
+@pytest.mark.parametrize("folds", [1, 3, 7, 8, 9, 10, 11, 12, 40])
+def test_every_layer_of_a_tower_is_looked_at(folds):
+    text = "x, " + "%" + "25" * folds + "64eadbeefdeadbee, y"
+    spans, _ = unwrap_kernel.secrets(text)
+    # each layer has a longer or shorter run of hex digits, which ends where the first does and begins one step later
+    wanted = {v for layer in layers_by_repeated_passes(text) for _, a, b in unwrap_kernel.rules(layer) for v in [layer[a:b]]}
+    assert {s[4] for s in spans} == wanted and len(spans) == folds + 1
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_towers_equal_repeated_passes(seed):
+    rng = random.Random(seed)
+    parts = ["%", "25", "41", "2", "5", "\\", "u0025", "x5c", "&#", "37;", "38;", "#", "a", " ", ",", "&amp;", "%u0025", "\\045", "secret=", "deadbeefdeadbeef"]
+    text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) + "%" + "25" * rng.randint(0, 30) + "41bcdefabcdef"
+    wanted = {layer[a:b] for layer in layers_by_repeated_passes(text) for _, a, b in unwrap_kernel.rules(layer)}
+    assert wanted <= {s[4] for s in unwrap_kernel.secrets(text)[0]}
+
+
+VALUE = "password=abcdefghijkl1"
+HIDDEN = {
+    "small window": lambda: base64.b64encode(_deflate(9)),
+    "window of 4 K": lambda: base64.b64encode(_deflate(12)),
+    "raw deflate": lambda: base64.b64encode(_deflate(-15)),
+    "utf-16 le": lambda: base64.b64encode(VALUE.encode("utf-16-le")),
+    "utf-16 be": lambda: base64.b64encode(("see " + VALUE).encode("utf-16-be")),
+    "utf-16 with a mark": lambda: base64.b64encode(VALUE.encode("utf-16")),
+    "utf-16 in gzip": lambda: base64.b64encode(gzip.compress(VALUE.encode("utf-16-le"))),
+    "percent u": lambda: "".join(f"%u{ord(c):04x}" for c in VALUE).encode(),
+    "braces": lambda: "".join(f"\\u{{{ord(c):x}}}" for c in VALUE).encode(),
+    "octal": lambda: "".join(f"\\{ord(c):03o}" for c in VALUE).encode(),
+    "entities": lambda: b"password&equals;abcdefghijkl1",
+    "entities by name in base64": lambda: base64.b64encode(b"passw&#111;rd&colon;abcdefghijkl1"),
+}
+
+
+def _deflate(wbits):
+    one = zlib.compressobj(9, zlib.DEFLATED, wbits)
+    return one.compress(("the " + VALUE + " is here ").encode()) + one.flush()
+
+
+@pytest.mark.parametrize("how", sorted(HIDDEN))
+@pytest.mark.parametrize("front", ["", "key/", "x"])
+def test_other_layers(how, front):
+    hidden = HIDDEN[how]().decode()
+    text = f"é see {front if 'base64' in how or how.startswith(('utf', 'raw', 'small', 'window')) else ''}{hidden} end"
+    hits = [s for s in unwrap_kernel.secrets(text)[0] if s[0] == "assign"]
+    assert hits and all(text.index("see") < s[1] < s[2] <= text.index(" end") for s in hits)
+    assert any(s[4].replace(":", "=") == VALUE for s in hits)
 
 
 def test_a_layer_of_20_million_characters():
