@@ -61,8 +61,17 @@ def is_slash_command(command: Column, known: Iterable[str] = SLASH_COMMANDS) ->
     return command.isin(*known) | F.contains(command, F.lit(":"))
 
 
-def has_marker(text: Column, alternatives: str) -> Column:
-    return text.rlike(whole_word(alternatives))
+def whole_words(text: Column) -> Column:
+    """Lower-case runs of letters, digits and underscores."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
+
+
+def has_marker(text: Column, alternatives: str, words: Column | None = None) -> Column:
+    """Whether any alternative stands in the text as a whole word; those that are plain words are looked up among whole_words(text), if given."""
+    plain = alternatives.lower().split("|")
+    if words is None or not all(p.isalpha() for p in plain):
+        return text.rlike(whole_word(alternatives))
+    return F.arrays_overlap(words, F.array(*[F.lit(p) for p in plain]))
 
 
 def starts_with_any(text: Column, prefixes: Iterable[str]) -> Column:

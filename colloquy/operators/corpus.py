@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, time
@@ -75,12 +75,38 @@ def summary(corpus: DataFrame) -> DataFrame:
     )
 
 
+#: Where a row of the corpus goes, beside the corpus itself.
+ROUTES = ("corpus", "first-prompts", "human-first", "timestamped")
+
+RECORD = "project string, session string, path string, line_no bigint, source_type string, text string, ts string, is_auto_wake boolean, is_human_typed boolean"
+
+
+def routed(corpus: DataFrame, session: Sequence[str], order: str) -> DataFrame:
+    """corpus with `route`, a row for each table that it belongs to.
+
+    First rows are told by their least order, which is aggregated before it is shuffled, so a
+    session with very many rows is sorted by no task.
+    """
+    least = corpus.groupBy(*[F.col(s).alias(f"_{i}") for i, s in enumerate(session)]).agg(F.min(order).alias("_least"))
+    same = F.col(order) == F.col("_least")
+    for i, s in enumerate(session):
+        same = same & F.col(s).eqNullSafe(F.col(f"_{i}"))
+    first = F.col("_least").isNotNull()
+    into = {"first-prompts": first, "human-first": first & F.col("is_human_typed") & (F.length("text") >= LEAST_FIRST), "timestamped": F.coalesce("ts", F.lit("")) != ""}
+    routes = F.array(F.lit("corpus"), *[F.when(x, name) for name, x in into.items()])
+    found = corpus.join(least, same, "left").withColumn("route", F.explode(F.array_compact(routes)))
+    return found.drop("_least", *[f"_{i}" for i in range(len(session))])
+
+
 def write_corpora(corpus: DataFrame, session: Sequence[str], order: str, out: str) -> None:
-    """The corpus and its first-prompt, human-first and timestamped tables, and the summary, as JSON under `out`."""
-    kept = corpus.persist()
-    try:
-        first = first_prompts(kept, session, order)
-        for name, df in (("corpus", kept), ("first-prompts", first), ("human-first", human_first(first)), ("timestamped", timestamped(kept)), ("summary", summary(kept))):
-            df.write.mode("overwrite").json(f"{out}/{name}")
-    finally:
-        kept.unpersist()
+    """The corpus and its first-prompt, human-first and timestamped tables as JSON under `out`/route=..., in one job, and the summary."""
+    routed(corpus, session, order).write.mode("overwrite").partitionBy("route").json(f"{out}/tables")
+    summary(corpus).write.mode("overwrite").json(f"{out}/summary")
+
+
+def read_corpus(spark: SparkSession, out: str, route: str = "corpus", schema: str = RECORD) -> tuple[DataFrame, DataFrame]:
+    """(records with text, lines that are no such record) of one written table."""
+    lines = spark.read.text(f"{out}/tables/route={route}").filter(F.trim("value") != "")
+    parsed = lines.withColumn("_r", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    good = parsed.filter("_r._bad is null and coalesce(_r.text, '') <> ''").select("_r.*").drop("_bad")
+    return good, parsed.filter("_r._bad is not null").select("value")

@@ -63,9 +63,10 @@ def top_first_words(df: DataFrame, k: int = 30) -> DataFrame:
 
 
 def language_counts(df: DataFrame, markers: Mapping[str, str] = LANGUAGE_MARKERS) -> DataFrame:
-    """(language, n, total): texts with a marker of each language, in one pass."""
+    """(language, n, total): texts with a marker of each language, in one pass; a text is cut into words once, for all languages."""
     names = sorted(markers)
-    one = df.agg(*[F.count_if(text.has_marker(F.col("text"), markers[n])).alias(n) for n in names], F.count("*").alias("total"))
+    cut = df.select("text", text.whole_words(F.col("text")).alias("_words"))
+    one = cut.agg(*[F.count_if(text.has_marker(F.col("text"), markers[n], F.col("_words"))).alias(n) for n in names], F.count("*").alias("total"))
     pairs = F.array(*[F.struct(F.lit(n).alias("language"), F.col(n).alias("n")) for n in names])
     return one.select(F.explode(pairs).alias("p"), "total").select("p.language", "p.n", "total")
 

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import conversation, documents, events, fields, logs, notes  # noqa: F401  they register themselves
+    from . import conversation, documents, events, exports, fields, logs, notes, rendering  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.lexicon import DESTRUCTIVE, LANGUAGE_MARKERS
 from ..operators import corpus, inventory, quantitative, temporal
-from ..session import table
+from ..session import spread, table
 from .catalogue import query
 from .shared_sql import first_word, marker, pct, quantile, tokens, words
 
@@ -27,17 +27,17 @@ def per_project_share(spark, d):
 
 @query("top_unigrams", f"SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS}) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 50")
 def top_unigrams(spark, d):
-    return quantitative.top_unigrams(table(spark, d, "documents"))
+    return quantitative.top_unigrams(spread(table(spark, d, "documents").select("text")))
 
 
 @query("top_bigrams", f"SELECT bigram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM (SELECT {_WORDS} AS w FROM documents)) GROUP BY bigram ORDER BY n DESC, bigram LIMIT 50")
 def top_bigrams(spark, d):
-    return quantitative.top_bigrams(table(spark, d, "documents"))
+    return quantitative.top_bigrams(spread(table(spark, d, "documents").select("text")))
 
 
 @query("first_words", f"SELECT word, count(*) AS n FROM (SELECT {first_word('text')} AS word FROM documents) WHERE word IS NOT NULL GROUP BY word ORDER BY n DESC, word LIMIT 30")
 def first_words(spark, d):
-    return quantitative.top_first_words(table(spark, d, "documents"))
+    return quantitative.top_first_words(spread(table(spark, d, "documents").select("text")))
 
 
 @query(
@@ -54,7 +54,7 @@ _LANGS = " UNION ALL ".join(f"SELECT '{k}' AS language, count(*) FILTER (WHERE {
 
 @query("language_markers", _LANGS)
 def language_markers(spark, d):
-    return quantitative.language_counts(table(spark, d, "documents"), _BENCH_MARKERS)
+    return quantitative.language_counts(spread(table(spark, d, "documents").select("text")), _BENCH_MARKERS)
 
 
 @query(
@@ -63,7 +63,7 @@ def language_markers(spark, d):
         SELECT language, n, {pct('n', 'total')} AS share_pct FROM r WHERE k = 1 AND n >= 0.05 * total AND (nx IS NULL OR n >= 1.05 * nx)""",
 )
 def dominant_language(spark, d):
-    return quantitative.dominant_language(quantitative.language_counts(table(spark, d, "documents"), _BENCH_MARKERS), lead=1.05)
+    return quantitative.dominant_language(quantitative.language_counts(spread(table(spark, d, "documents").select("text")), _BENCH_MARKERS), lead=1.05)
 
 
 @query(
@@ -84,7 +84,7 @@ def slash_commands(spark, d):
         SELECT 'rising' AS direction, word FROM (SELECT word FROM b EXCEPT SELECT word FROM a) UNION ALL SELECT 'falling', word FROM (SELECT word FROM a EXCEPT SELECT word FROM b)""",
 )
 def vocab_drift(spark, d):
-    return temporal.vocabulary_drift(table(spark, d, "documents"), "doc_id")
+    return temporal.vocabulary_drift(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id")
 
 
 _SQUEEZE = r"trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))"
@@ -97,7 +97,7 @@ _SQUEEZE = r"trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))"
         SELECT doc_id FROM p WHERE NOT cached OR NOT EXISTS (SELECT 1 FROM f WHERE f.lang = p.lang AND (f.t = p.t OR (length(p.pre) >= 40 AND starts_with(f.t, p.pre))))""",
 )
 def dedup_prefix(spark, d):
-    return corpus.drop_cached(table(spark, d, "documents"), ["lang"], F.col("doc_id") % 2 == 1).select("doc_id")
+    return corpus.drop_cached(spread(table(spark, d, "documents").select("doc_id", "lang", "text")), ["lang"], F.col("doc_id") % 2 == 1).select("doc_id")
 
 
 @query("content_hash_dedup", "SELECT substring(sha256(text), 1, 16) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY substring(sha256(text), 1, 16)")

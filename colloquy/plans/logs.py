@@ -12,7 +12,7 @@ from ..functions.lexicon import BENCH
 from ..operators import corpus
 from ..session import table
 from ..sources import sessions
-from ..storage import local_path
+from ..storage import exists, local_path, settle
 from ..streaming import pushback
 from .catalogue import query
 from .shared_sql import PAIRS, first_word, marker, words
@@ -214,12 +214,12 @@ def tailed_pairs(spark, d):
 _ANCHOR = 40.0
 
 
-@query(
-    "streamed_proposals",
-    f"""WITH {_UNFILTERED}, w AS (SELECT *, {first_word('reply')} AS word, length(reply) AS n FROM pairs WHERE NOT {_strict('reply')}),
+_PROPOSED = f"""WITH {_UNFILTERED}, w AS (SELECT *, {first_word('reply')} AS word, length(reply) AS n FROM pairs WHERE NOT {_strict('reply')}),
         c AS (SELECT reply, n, CASE WHEN word IN ({words(BENCH.pushback)}) THEN 'explicit_pushback' WHEN word IN ({words(BENCH.approval)}) THEN 'approval' WHEN n >= {2 * _ANCHOR} AND {marker('reply', BENCH.markers)} THEN 'implicit_pushback' ELSE 'neutral' END AS class FROM w)
-        SELECT DISTINCT substring(sha256(reply), 1, 16) AS hash, class, round(CASE class WHEN 'explicit_pushback' THEN 0.9::double ELSE 0.4::double + 0.5::double * least(n / {4 * _ANCHOR}::double, 1.0::double) END, 6) AS confidence FROM c WHERE class LIKE '%pushback'""",
-)
+        SELECT DISTINCT substring(sha256(reply), 1, 16) AS hash, class, round(CASE class WHEN 'explicit_pushback' THEN 0.9::double ELSE 0.4::double + 0.5::double * least(n / {4 * _ANCHOR}::double, 1.0::double) END, 6) AS confidence FROM c WHERE class LIKE '%pushback'"""
+
+
+@query("streamed_proposals", _PROPOSED)
 def streamed_proposals(spark, d):
     """Every proposal that two runs emit or defer, each reply once; at most five are emitted in a run."""
     home = folder(spark, "proposals")
@@ -264,3 +264,102 @@ def reset_logs(spark, d):
     write_files(files(every.filter("conv_id % 2 = 1").withColumn("line", F.lit('{"type":"user","message":{"content":"rewritten"}}')), root=root))
     take()
     return spark.read.parquet(out).filter("reset").groupBy("project").agg(F.count("*").alias("n_reset"))
+
+
+def _both_parts(spark, d, label: str) -> tuple[str, str]:
+    """(folder, pattern) of logs that are complete."""
+    home = folder(spark, label)
+    write_files(files(_plain_lines(spark, d), root=home + "/projects"))
+    return home, home + "/projects/*/*.jsonl"
+
+
+@query("dry_run_proposals", _PROPOSED)
+def dry_run_proposals(spark, d):
+    """What one run proposed, and what a dry run says of the next, which is then made and held against it."""
+    home, runs = folder(spark, "dry"), []
+    sink = pushback.ProposalSink(home, most=5, bound=1_000_000, approved_median=_ANCHOR, lexicon=BENCH)
+
+    def take(at: str, pattern: str) -> None:
+        if runs:
+            runs.append(settle(pushback.dry_run(spark, pattern, sink, at + "/checkpoint"), "dry-run"))
+        pushback.detect(spark, pattern, sink, at + "/checkpoint")
+        if not runs:
+            runs.append(settle(spark.read.parquet(home + "/proposals"), "first-run"))
+
+    _followed(spark, d, "dry-logs", take)
+    first, planned = runs
+    done, left = spark.read.parquet(home + "/proposals"), spark.read.parquet(home + "/backlog")
+    last = left.agg(F.max("batch")).first()[0]
+    real = done.filter(F.col("batch") == last).select("hash", F.lit(True).alias("emitted")).unionByName(left.filter(F.col("batch") == last).select("hash", F.lit(False).alias("emitted")))
+    if not real.exceptAll(planned.select("hash", "emitted")).isEmpty() or real.count() != planned.count():
+        raise RuntimeError("the run differs from its dry run")
+    every = first.select("hash", "class", "confidence").unionByName(planned.select("hash", "class", "confidence"))
+    return every.select("hash", "class", F.round("confidence", 6).alias("confidence"))
+
+
+@query("remembered_proposals", f"SELECT count(*) AS n_proposed, least(3, count(*)) AS n_remembered FROM ({_PROPOSED})")
+def remembered_proposals(spark, d):
+    """Of all proposals of a run, as many hashes are remembered as the memory has room for."""
+    home, pattern = _both_parts(spark, d, "memory")
+    sink = pushback.ProposalSink(home + "/out", most=1_000_000, approved_median=_ANCHOR, lexicon=BENCH, memory=3)
+    pushback.detect(spark, pattern, sink, home + "/checkpoint")
+    seen = spark.read.parquet(home + "/out/seen").agg(F.count("*").alias("n_remembered"))
+    return spark.read.parquet(home + "/out/proposals").agg(F.count("*").alias("n_proposed")).crossJoin(seen)  # one row each
+
+
+@query("overflowing_backlog", f"SELECT count(*) > 1 AS failed, CASE WHEN count(*) > 1 THEN 0 ELSE count(*) END AS n_published FROM ({_PROPOSED})")
+def overflowing_backlog(spark, d):
+    """A run that would defer more than the bound fails and publishes nothing."""
+    home, pattern = _both_parts(spark, d, "overflow")
+    sink, failed = pushback.ProposalSink(home + "/out", most=1, bound=0, approved_median=_ANCHOR, lexicon=BENCH), False
+    try:
+        pushback.detect(spark, pattern, sink, home + "/checkpoint")
+    except Exception as e:  # noqa: BLE001  the stream wraps it
+        if "deferred candidates" not in str(e):
+            raise
+        failed = True
+    n = spark.read.parquet(home + "/out/proposals").count() if exists(spark, home + "/out/proposals") else 0
+    return spark.createDataFrame([(failed, n)], "failed boolean, n_published bigint")
+
+
+@query("mended_logs", f"WITH {_UNFILTERED} SELECT 'p' || conv_id % 5 AS project, assistant, reply FROM pairs WHERE NOT {_strict('reply')}")
+def mended_logs(spark, d):
+    """A complete line that is not JSON fails the run and moves no offset; once it is mended every pair comes, once."""
+    home, out = folder(spark, "mended"), folder(spark, "mended-out")
+    root, pattern = home + "/projects", home + "/projects/*/*.jsonl"
+    every = _plain_lines(spark, d)
+
+    def take() -> None:
+        stream = pushback.paired(pushback.tail(spark, pattern), BENCH)
+        writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", home + "/checkpoint").trigger(availableNow=True)
+        writer.start().awaitTermination()
+
+    first, last = files(every.filter("turn < 2"), root=root), files(every.filter("turn >= 2"), root=root)
+    write_files(first)
+    take()
+    broken = last.withColumn("value", F.concat(F.lit('{"type":"summary")\n'), "value"))
+    write_files(broken, "a")
+    try:
+        take()
+    except Exception as e:  # noqa: BLE001  the stream wraps it
+        if "not JSON" not in str(e):
+            raise
+    else:
+        raise RuntimeError("a broken line was passed over")
+    mended = last.withColumn("value", F.concat(F.lit('{"type":"summary"}\n'), "value"))
+    whole = first.withColumn("at", F.lit(0)).unionByName(mended.withColumn("at", F.lit(1)))
+    write_files(whole.groupBy("path").agg(F.expr("listagg(value, '') WITHIN GROUP (ORDER BY at)").alias("value")))
+    take()
+    return spark.read.parquet(out).select("project", "assistant", "reply")
+
+
+@query("one_log", "SELECT role, text FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations)")
+def one_log(spark, d):
+    """The source follows one file alone, which must be among those of the pattern."""
+    home, pattern = _both_parts(spark, d, "one")
+    out = folder(spark, "one-out")
+    least = table(spark, d, "conversations").agg(F.min("conv_id").alias("conv_id"))
+    path = files(least.withColumn("turn", F.lit(0)).withColumn("line", F.lit("")), root=home + "/projects").first()["path"]
+    stream = pushback.tail(spark, pattern, onlyPath=path)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", home + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("role", "text")

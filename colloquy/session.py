@@ -40,3 +40,9 @@ def local_session(cores: int | str = "*", name: str = "colloquy", memory: str =
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df):
+    """df over at least as many partitions as there are cores, where it is read in fewer, as a small file of one row group is; as it is otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

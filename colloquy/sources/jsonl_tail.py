@@ -1,7 +1,8 @@
 """Source that follows append-only JSON Lines files by byte offset, as a stream or, from given offsets, as a batch.
 
-An offset holds, for each file, how many bytes were taken (always up to a line end) and
-digests of the first and last of them. Files that shrank, or whose taken bytes changed, give
+An offset holds, for each file, how many bytes were taken (always up to a line end),
+digests of the first and last of them, and the file's size, time and number. A file that
+these show to be as it was is not opened again. Files that shrank, or whose taken bytes changed, give
 one reset row and are taken up again at their end, without replaying what replaced them.
 Driver and executors read the files by path, so these lie on a file system that all share.
 """
@@ -12,6 +13,7 @@ import glob
 import hashlib
 import json
 import os
+import time
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -19,6 +21,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 #: Bytes at either end of the taken part that its digests cover, and how far back a line end is sought at a time.
 EDGE, STEP = 1 << 16, 1 << 13
 
+#: Seconds after its last change from which a file's time tells a further one, however coarse the clock.
+QUIET = 2.0
+
 
 def last_line_end(path: str) -> int:
     """Offset just past the last line end, found from the file's end backwards; 0 without one."""
@@ -70,6 +75,7 @@ class JsonlTail(DataSource):
 class TailReader(DataSourceStreamReader):
     def __init__(self, options):
         self.pattern, self.only = options["path"], options.get("onlypath") or options.get("onlyPath")
+        self.known: dict[str, dict] = {}
         self.latest = (options.get("startingoffsets") or options.get("startingOffsets") or "earliest") == "latest"
 
     def _files(self) -> list[str]:
@@ -84,8 +90,15 @@ class TailReader(DataSourceStreamReader):
     def _now(self) -> dict:
         state = {}
         for path in self._files():
-            taken = last_line_end(path)
-            state[path] = {"taken": taken, "digests": digests(path, taken)}
+            s = os.stat(path)
+            mark = [s.st_size, s.st_mtime_ns, s.st_ino] if time.time() - s.st_mtime > QUIET else None
+            before = self.known.get(path)
+            if mark and before and before["mark"] == mark:
+                state[path] = before
+            else:
+                taken = last_line_end(path)
+                state[path] = {"taken": taken, "digests": digests(path, taken), "mark": mark}
+        self.known = state
         return state
 
     def initialOffset(self) -> dict:
@@ -99,6 +112,8 @@ class TailReader(DataSourceStreamReader):
         out = []
         for path, own in sorted(after.items()):
             known = before.get(path, {"taken": 0, "digests": None})
+            if own["mark"] and known.get("mark") == own["mark"]:
+                continue
             changed = known["taken"] > own["taken"] or (known["taken"] and known["digests"] != digests(path, known["taken"]))
             if changed:
                 out.append(Piece(path, own["taken"], own["taken"], True))
@@ -115,6 +130,8 @@ class TailReader(DataSourceStreamReader):
             at = piece.start
             while at < piece.end:
                 line = f.readline()
+                if not line:  # the file has shrunk since; the next offset tells
+                    break
                 start, at = at, at + len(line)
                 if line.strip():
                     text = line.decode("utf-8", errors="replace")

@@ -42,6 +42,17 @@ def test_migration():
     assert "unsupported version [1]" in migration.migrate({"$schema_version": [1]}).problem
 
 
+def test_sources_and_degraded_documents():
+    legacy = {k: {} for k in migration.LEGACY_FIELDS} | {"never_rules": ["- a"], "decision_policy": {"decide_alone": ["read", "force-push it", "rm -rf x"], "evidence": "seen"}}
+    done = migration.migrate(legacy)
+    assert done.sources["constitution.limits"] == "never_rules" and done.sources["constitution.values"] == migration.CAUTION
+    assert done.sources["substitution_contract.evidence"] == "decision_policy.evidence" and done.spec["substitution_contract"]["evidence"] == "seen"
+    assert migration.migrate(done.spec).sources is None
+    empty = migration.degraded("Kim", "no document")
+    assert not migration.missing_sections(empty.spec) and set(migration.LEGACY_FIELDS) <= set(empty.spec) and migration.migrate(empty.spec).spec == empty.spec
+    assert set(empty.sources.values()) == {migration.CAUTION} and "Kim" in empty.spec["identity"][0]["fact"] and empty.problem == "no document"
+
+
 @pytest.mark.parametrize(
     ("raw", "found"),
     [('```json\n{"a": 1}\n```', {"a": 1}), ('Sure: {"a": 1} done', {"a": 1}), ('{"a": {"b": [{"c": 1}]}},"horizon": 2}', {"a": {"b": [{"c": 1}]}, "horizon": 2}), ('{"a": 1} {"b"', {"a": 1}), ("none", None)],

@@ -36,7 +36,9 @@ def test_batch_ingestion(spark, tmp_path):
     assert [r.text for r in corpus.human_first(first).collect()] == [long]
     assert corpus.timestamped(rows).count() == 3
     corpus.write_corpora(rows, ["path"], "line_no", str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out/corpus")).count() == 5
+    good, bad = corpus.read_corpus(spark, str(tmp_path / "out"))
+    assert good.count() == 5 and bad.count() == 0 and good.filter("line_no = 7").first().text == "one\nraw"
+    assert corpus.read_corpus(spark, str(tmp_path / "out"), "first-prompts")[0].count() == 2
     turns = sessions.turns(sessions.session_logs(spark, root))
     assert [r.text for r in turns.filter("line_no = 7").collect()] == ["one"]
 
@@ -82,6 +84,40 @@ def test_tail_reader_offsets(tmp_path):
         TailReader({"path": path, "onlyPath": "/etc/hosts"}).latestOffset()
 
 
+def test_files_that_stay_are_not_opened_again(tmp_path, monkeypatch):
+    from colloquy.sources import jsonl_tail
+
+    paths = [str(tmp_path / f"projects/a/s{i}.jsonl") for i in range(3)]
+    for p in paths:
+        write(p, said("user", "one"))
+        os.utime(p, (1_000_000, 1_000_000))
+    reader, opened = TailReader({"path": str(tmp_path / "projects/*/*.jsonl")}), []
+    first = reader.latestOffset()
+    for name in ("digests", "last_line_end"):
+        monkeypatch.setattr(jsonl_tail, name, lambda path, *more, f=getattr(jsonl_tail, name): opened.append(path) or f(path, *more))
+    assert reader.latestOffset() == first and reader.partitions(first, reader.latestOffset()) == [] and opened == []
+    write(paths[1], said("user", "two"), mode="a")
+    (piece,) = reader.partitions(first, reader.latestOffset())
+    assert piece.path == paths[1] and set(opened) == {paths[1]}
+    assert TailReader({"path": paths[0]}).partitions(first, first) == []
+
+
+def test_pull_requests_and_pushed_filters(spark, tmp_path):
+    from colloquy.sources.review_comments import newest_pull_requests, review_comments
+
+    root = str(tmp_path / "export")
+    write(f"{root}/prs.jsonl", *[{"repo": f"a/r{i % 2}", "pr": i, "created_at": f"2026-01-{i:02d}"} for i in range(1, 30)], "broken", {"pr": 3})
+    for e in ("issues", "pulls"):
+        write(f"{root}/{e}/c.jsonl", *[{"repo": f"a/r{i % 2}", "pr": i, "author": "me" if i % 3 else "you", "body": "text" if i % 4 else " "} for i in range(1, 30)], "{broken")
+    assert newest_pull_requests(f"{root}/prs.jsonl", 2) == {("a/r1", 29), ("a/r0", 28)}
+    read = review_comments(spark, root).filter("author = 'me' and endpoint = 'pulls' and pr < 28")
+    assert sorted(r.pr for r in read.collect()) == [i for i in range(10, 28) if i % 3 and i % 4]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "= me" not in plan and "= pulls" not in plan  # pushed, not filtered again
+    spark.dataSource.register(ReviewComments)
+    assert sorted(r.pr for r in spark.read.format("review_comments").option("path", root).option("newest", 1).load().collect()) == [29, 29]
+
+
 def test_incremental_detection(spark, tmp_path):
     path, pattern = str(tmp_path / "projects/a/s.jsonl"), str(tmp_path / "projects/*/*.jsonl")
     sink = ProposalSink(str(tmp_path / "out"), most=1, bound=5, approved_median=20.0)
