@@ -14,14 +14,15 @@ import re
 from collections import Counter
 from functools import reduce
 
-_TOKEN = re.compile(r"[^\W_]+")
+#: A word, where a form of n't stays whole, or a comma.
+_TOKEN = re.compile(r"[^\W_]*n['’]t(?![^\W_])|[^\W_]+|,")
 _CLAUSE = re.compile(r"[^.!?;\n]+")
 
 #: Closed-class words that start a context, in the four languages of the texts.
 WORDS = {
     "threat": frozenset("kill hurt destroy beat punish burn smash töten verletzen schlagen zerstören tuer frapper détruire matar golpear destruir".split()),
     "target": frozenset("you your yours he she they them him her us we du dich dir ihr euch sie er tu toi vous ils elles il elle tú usted ustedes ellos ellas él ella".split()),
-    "negation": frozenset("not no never nor neither nicht kein keine nie niemals pas jamais aucun ni nunca jamás ningún".split()),
+    "negation": frozenset("not no never nor neither cannot nicht kein keine nie niemals pas jamais aucun ni nunca jamás ningún".split()),
     "report": frozenset("said says say wrote writes claimed reported quoted called sagte sagt schrieb behauptet dit disait écrit affirme dijo dice escribió afirma".split()),
 }
 
@@ -34,11 +35,11 @@ PRIOR = {m + k: round(w * v, 3) for k, w in _PLAIN.items() for m, v in _MODIFIED
 PRIOR_WEIGHT = 2.0
 
 #: Tokens that each context reaches over: after a negation, a report, a target or a threat word, and from an insult on to a target.
-REACH = {"negation": 3, "report": 6, "target": 4, "threat": 4, "ahead": 2}
+REACH = {"negation": 5, "report": 6, "target": 4, "threat": 4, "ahead": 2}
 
-#: Tags of tokens: insult, threat word, target, negation, report, any other word.
+#: Tags of tokens: insult, threat word, target, negation, report, comma, any other word.
 TAGS = {"insult": "I", "threat": "H", "target": "T", "negation": "N", "report": "Q"}
-OTHER = "o"
+COMMA, OTHER = ",", "o"
 
 
 class Transducer:
@@ -54,14 +55,16 @@ class Transducer:
 
 
 class Scope(Transducer):
-    """Marks insults and threat words within reach of an opener; the state is how far it still reaches."""
+    """Marks insults and threat words within reach of an opener; the state is how far it still reaches. A comma may end it, and is no token of its reach."""
 
-    def __init__(self, opener: str, mark: str, reach: int):
-        self.opener, self.mark, self.reach = opener, mark, reach
+    def __init__(self, opener: str, mark: str, reach: int, comma_ends: bool = False):
+        self.opener, self.mark, self.reach, self.comma_ends = opener, mark, reach, comma_ends
 
     def step(self, state: int, symbol: str):
         if symbol == self.opener:
             yield symbol, self.reach
+        elif symbol == COMMA:
+            yield symbol, 0 if self.comma_ends else state
         else:
             yield symbol + self.mark if state and symbol[0] in "IH" else symbol, max(0, state - 1)
 
@@ -76,6 +79,9 @@ class Target(Transducer):
 
     def step(self, state: tuple[int, int], symbol: str):
         behind, ahead = state
+        if symbol == COMMA:
+            yield symbol, state
+            return
         if symbol == "T":
             yield symbol, (REACH["target"], 0)
             return
@@ -98,7 +104,9 @@ class Threat(Transducer):
     """Takes a threat word for a threat (X) if a target or an insult comes within reach, and else for any other word; it must guess which."""
 
     def step(self, state: int, symbol: str):
-        if symbol[0] in "TI":
+        if symbol == COMMA:
+            yield symbol, state
+        elif symbol[0] in "TI":
             yield symbol, 0
         elif state == 1:  # the guess was wrong
             return
@@ -144,7 +152,7 @@ class Composed(Transducer):
 
 def grammar() -> Transducer:
     """Negation, reported speech, targets and threats, composed into one transducer from tags to kinds of events."""
-    return reduce(Composed, [Scope("N", "-", REACH["negation"]), Scope("Q", '"', REACH["report"]), Target(), Threat(), Events()])
+    return reduce(Composed, [Scope("N", "-", REACH["negation"], comma_ends=True), Scope("Q", '"', REACH["report"]), Target(), Threat(), Events()])
 
 
 def cost(kind: str, weight: float, weights: dict[str, float]) -> float:
@@ -185,7 +193,7 @@ def stems(token: str):
 
 
 def features(text: str | None) -> set[str]:
-    return {s for t in set(_TOKEN.findall((text or "").lower())) for s in stems(t)}
+    return {s for t in set(_TOKEN.findall((text or "").lower())) if t != COMMA for s in stems(t)}
 
 
 class Tagger:
@@ -205,9 +213,11 @@ class Tagger:
 
     def readings(self, token: str) -> list[tuple[str, float]]:
         """The lexicon transducer's arcs for a token: every tag that it can have, with a weight; any word can be just a word unless it is an insult."""
+        if token == COMMA:
+            return [(COMMA, 1.0)]
         weight = self.insult(token)
         found = [("I", weight)] if weight else []
-        found += [(TAGS[k], 1.0) for k, own in WORDS.items() if token in own]
+        found += [(TAGS[k], 1.0) for k, own in WORDS.items() if token in own or k == "negation" and token.endswith(("n't", "n’t"))]
         return found or [(OTHER, 1.0)]
 
     def clauses(self, text: str | None, weights: dict[str, float]):
