@@ -62,6 +62,13 @@ def _value(level: str, key: Column | None = None, name: Column | None = None) ->
     ]
 
 
+def _micros(stamp: str) -> Column:
+    """Microseconds of a time without a zone, from its own fields: hours that a zone's clock skips or repeats stay as they are."""
+    at = F.col(stamp)
+    day = F.date_diff(F.to_date(at), F.lit("1970-01-01")).cast("bigint")
+    return ((day * 24 + F.hour(at)) * 60 + F.minute(at)) * 60_000_000 + (F.expr(f"extract(SECOND FROM {stamp})") * 1_000_000).cast("bigint")
+
+
 def _events(df: DataFrame, ident: str, *values: list[Column]) -> DataFrame:
     one = F.explode(F.array(*[F.struct(*v) for v in values])).alias("_v")
     return df.select(one, F.col(ident).alias("id"), "at", "fold", "n", "s").select("_v.*", "id", "at", "fold", "n", "s")
@@ -88,7 +95,7 @@ def groups(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFr
     own = lines.filter("sale_id is not null").groupBy("sale_id", F.coalesce("item_id", F.lit(-1)).cast("bigint").alias("item_id"), F.col("vendor_id").cast("bigint").alias("vendor_id")).agg(count, back)
     fold = (F.crc32(F.col("sale_id").cast("string")) % FOLDS).cast("int").alias("fold")
     sold = sales.filter("sold_at is not null and sale_id is not null").groupBy("sale_id").agg(F.min(F.struct("sold_at", F.coalesce("client_id", F.lit(-1)).cast("bigint").alias("client_id"))).alias("_s"))
-    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("_s.sold_at")).alias("at")
+    micros = _micros("_s.sold_at").alias("at")
     sold, _ = settle(sold.select("sale_id", F.col("_s.client_id").alias("client_id"), micros, fold).join(_dimension(clients, "client_id", "segment"), "client_id", "left"), "sold")
     named = own.join(sold, "sale_id").join(_dimension(items, "item_id", "kind"), "item_id", "left").join(_dimension(vendors, "vendor_id", "nation_id"), "vendor_id", "left")
     return named.withColumnRenamed("nation_id", "nation")

@@ -57,6 +57,22 @@ def test_encoding_equals_sql(spark, seed, n_lines, n_sales, parts):
     assert sorted(map(repr, (tuple(r) for r in ours.select(*columns).collect()))) == sorted(map(repr, theirs.fetchall()))
 
 
+def test_times_need_no_zone(spark):
+    """Times that a session's zone skips or repeats are as far apart as they say."""
+    from datetime import datetime
+
+    stamps = [datetime(2024, 3, 10, 1, 59, 59, 999_999), datetime(2024, 3, 10, 2, 30), datetime(2024, 3, 10, 3, 0), datetime(2024, 3, 10, 3, 30), datetime(2024, 11, 3, 1, 30, 0, 1), datetime(1969, 12, 31, 23, 59, 59, 5)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(stamps)], "i int, t timestamp_ntz")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = {r.i: r.m for r in df.select("i", target_encoding._micros("t").alias("m")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    delta = lambda t: (t - datetime(1970, 1, 1)) // __import__("datetime").timedelta(microseconds=1)
+    assert got == {i: delta(t) for i, t in enumerate(stamps)}
+
+
 def test_encoding_by_loop(spark):
     """The SQL itself against plain loops over lines, for the item column."""
     frames = shop(spark, 9, 120, 25)
