@@ -56,13 +56,30 @@ def fired(packet: DataFrame, among: Iterable[Rule] | None = None) -> DataFrame:
     return packet.select(F.explode(F.array_compact(F.array(*each))).alias("f")).select("f.*")
 
 
-def uncovered(suggestions: DataFrame, notes: DataFrame) -> DataFrame:
-    """suggestions(title, body, hints) none of whose hints occurs in any note(name, description); each title once."""
-    hints = suggestions.select("title", F.explode("hints").alias("hint"))
+#: Hints that are held in memory at once; beyond that they are met by their first GRAM characters.
+MOST_HINTS, GRAM = 10_000, 3
+
+
+def uncovered(suggestions: DataFrame, notes: DataFrame, most: int = MOST_HINTS) -> DataFrame:
+    """suggestions(title, body, hints) none of whose hints occurs in any note(name, description); each title once.
+
+    A short list of hints is broadcast. A longer one is joined on its first characters with
+    those at each place of a note; only hints that are shorter still are broadcast then, of
+    which there cannot be many different ones.
+    """
+    hints = suggestions.select("title", F.explode("hints").alias("hint")).select("title", F.lower("hint").alias("hint"))
     known = notes.select(F.lower(F.concat_ws(" ", "description", "name")).alias("about")).distinct()
-    # suggestions are a short fixed list, so the side that is held in memory does not grow
-    hit = known.join(F.broadcast(hints), F.contains(known["about"], F.lower(hints["hint"]))).select("title").distinct()
-    return suggestions.join(hit, "title", "left_anti")
+    holds = F.contains(F.col("about"), F.col("hint"))
+    if hints.limit(most + 1).count() <= most:
+        hit = known.join(F.broadcast(hints), holds).select("title")
+    else:
+        places = F.sequence(F.lit(1), F.greatest(F.length("about") - GRAM + 1, F.lit(1)))
+        grams = known.select("about", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("about", i, F.lit(GRAM))))).alias("gram"))
+        long = hints.filter(F.length("hint") >= GRAM).withColumn("gram", F.substring("hint", 1, GRAM))
+        tiny = hints.filter(F.length("hint") < GRAM)
+        found = known.join(F.broadcast(tiny.select("hint").distinct()), holds).select("hint").distinct()
+        hit = grams.join(long, "gram").filter(holds).select("title").unionByName(tiny.join(found, "hint").select("title"))
+    return suggestions.join(hit.distinct(), "title", "left_anti")
 
 
 def most_striking(packet: DataFrame, rising: DataFrame | None = None) -> DataFrame:

@@ -13,21 +13,58 @@ from ..functions.lexicon import DETECTOR, MINING, SOUNDS_APPROVAL, Lexicon
 CLASSES = ("approval", "explicit_pushback", "implicit_pushback", "neutral")
 
 
-def turn_pairs(turns: DataFrame, session: Sequence[str], order: str, wake_prefixes: Sequence[str] = (), *carry: str) -> DataFrame:
+#: Rows of a session that one window takes at most, where the order is a whole number.
+SLAB = 1 << 20
+
+
+def turn_pairs(turns: DataFrame, session: Sequence[str], order: str, wake_prefixes: Sequence[str] = (), *carry: str, slab: int = SLAB) -> DataFrame:
     """(session..., order, assistant, reply): each user text with the last assistant text since the user row before it.
 
     turns has role, text, the session columns and the order. Any user row, even one without
-    text or an automated one, uses up what the assistant said.
+    text or an automated one, uses up what the assistant said. Where a whole-number order
+    reaches `slab`, sessions are cut there, and what waits at a slab's end is handed on, so no
+    session is sorted by one task.
     """
-    before = Window.partitionBy(*session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    group = F.coalesce(F.count_if(F.col("role") == "user").over(before), F.lit(0))
-    inside = Window.partitionBy(*session, "_group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    said = F.last(F.when((F.col("role") == "assistant") & (F.col("text") != ""), F.col("text")), ignorenulls=True)
-    paired = turns.withColumn("_group", group).withColumn("assistant", said.over(inside))
+    whole = turns.schema[order].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole and not turns.filter(F.col(order) >= slab).isEmpty():
+        paired = _by_slabs(turns, session, order, slab)
+    else:
+        paired = _in_windows(turns, session, order)
     kept = paired.filter((F.col("role") == "user") & F.col("assistant").isNotNull() & ~text.is_auto_wake(F.col("text"), wake_prefixes))
     return kept.select(*session, order, "assistant", F.col("text").alias("reply"), *carry)
 
 
+def _said() -> Column:
+    return (F.col("role") == "assistant") & (F.col("text") != "")
+
+
+def _in_windows(turns: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """turns with _group, the number of user rows before, and assistant, what was said last in the group."""
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    grouped = turns.withColumn("_group", F.coalesce(F.count_if(F.col("role") == "user").over(before), F.lit(0)))
+    return grouped.withColumn("assistant", F.last(F.when(_said(), F.col("text")), ignorenulls=True).over(inside))
+
+
+def _by_slabs(turns: DataFrame, session: Sequence[str], order: str, slab: int) -> DataFrame:
+    cut = turns.withColumn("_slab", F.call_function("div", F.col(order).cast("bigint"), F.lit(slab).cast("bigint")))
+    own = _in_windows(cut, [*session, "_slab"], order)
+    keys = [F.col(s).alias(f"_s{i}") for i, s in enumerate(session)]
+    names = [f"_s{i}" for i in range(len(session))]
+    ends = cut.groupBy(*keys, F.col("_slab").alias("_of")).agg(
+        F.max(F.when(F.col("role") == "user", F.col(order))).alias("_user"), F.max(F.when(_said(), F.struct(F.col(order).alias("at"), "text"))).alias("_last"),
+    )
+    waits = F.when(F.col("_last").isNotNull() & (F.col("_user").isNull() | (F.col("_last.at") > F.col("_user"))), F.struct(F.col("_last.text").alias("text")))
+    waits = waits.when(F.col("_user").isNotNull(), F.struct(F.lit(None).cast("string").alias("text")))  # a slab without either hands on what it was given
+    over = Window.partitionBy(*names).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # a row a slab
+    given = ends.withColumn("_w", waits).withColumn("_given", F.last("_w", ignorenulls=True).over(over)["text"]).filter("_given is not null").select(*names, "_of", "_given")
+    same = F.col("_slab") == F.col("_of")
+    for s, n in zip(session, names, strict=True):
+        same = same & F.col(s).eqNullSafe(F.col(n))
+    joined = own.join(given, same, "left")
+    return joined.withColumn("assistant", F.coalesce("assistant", F.when(F.col("_group") == 0, F.col("_given"))))
+
+
 def approved_median(pairs: DataFrame, lexicon: Lexicon = MINING) -> DataFrame:
     """One row, `anchor`: the median length of approvals, or half of all replies' median where there are none."""
     approval = text.first_word(F.col("reply")).isin(*lexicon.approval)

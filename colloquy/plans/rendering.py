@@ -15,8 +15,9 @@ from ..sources import sessions
 from ..validate import migration
 from .catalogue import query
 from .exports import _SPECS, _documents
+from .conversation import _classified
 from .logs import folder
-from .shared_sql import quantile
+from .shared_sql import CLASSIFIED, quantile
 
 #: Three lower-case words of a text, which need no escaping.
 _WORDS = "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{2,}') AS w FROM documents), x AS (SELECT doc_id, w[1] AS a, w[2] AS b, w[3] AS c FROM w WHERE len(w) > 2)"
@@ -111,3 +112,24 @@ def written_rule_files(spark, d):
     read = spark.read.text(f"{home}/*/rules/*.md", wholetext=True).select(F.regexp_extract("_metadata.file_path", r"/([a-z]+)\.md$", 1).alias("name"), "value")
     title = F.concat(F.lit("# "), F.initcap("name"))
     return read.filter(F.startswith("value", title)).groupBy("name").agg(F.count("*").alias("n_holding")).withColumn("n_written_again", F.lit(again))
+
+
+@query(
+    "output_documents",
+    f"""WITH {CLASSIFIED}, w AS (SELECT class, word, count(*) AS n FROM classified WHERE word IS NOT NULL AND class LIKE '%pushback' GROUP BY ALL),
+        r AS (SELECT class, row_number() OVER (PARTITION BY class ORDER BY n DESC, word) AS k, word, n FROM w)
+        SELECT 'gotchas.md' AS name, k || '. `' || word || '` (' || n || ')' AS line FROM r WHERE k <= 10
+        UNION ALL SELECT 'twin.md', 'pairs: ' || count(*) || ', still open: _TBD_LATER_' FROM classified
+        UNION ALL SELECT 'profile.html', '<p>a &lt;b&gt; of ' || count(*) || '</p>' FROM classified
+        UNION ALL SELECT 'numbers.md', '| n_pairs | ' || count(*) || ' |' FROM classified
+        UNION ALL SELECT 'run.json', '"n_pairs": ' || count(*) || ',' FROM classified""",
+)
+def output_documents(spark, d):
+    """The telling lines of all documents of a run, as they stand on disk."""
+    home, c = folder(spark, "outputs"), reports.convergence(_classified(spark, d))
+    templates = {"twin.md": "pairs: {{PAIRS}}, still open: {{LATER}}", "profile.html": "<p>{{NAME}} of {{PAIRS}}</p>"}
+    made, open_keys = documents.output_set(templates, {"PAIRS": c["n_pairs"], "NAME": "a <b>"}, c["first_words"], {"n_pairs": c["n_pairs"]}, "2026-05-01")
+    if open_keys != ["LATER"] or documents.write_all(home, made) != sorted(made) or documents.write_all(home, made):
+        raise RuntimeError("documents were not written once")
+    lines = spark.read.text(f"{home}/*").select(F.regexp_extract("_metadata.file_path", "/([^/]+)$", 1).alias("name"), F.trim("value").alias("line"))
+    return lines.filter(F.col("line").rlike(r"^[0-9]+\. `|^pairs:|^<p>|^\| n_pairs|^\"n_pairs"))

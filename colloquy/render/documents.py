@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import html
+import json
 import os
+import re
 import tempfile
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
-from .markup import bullets
+from .markup import bullets, escaped, fill, numbered, table
 
 #: Which sections of a spec each rule file holds.
 RULE_FILES = {
@@ -62,6 +64,35 @@ def cards_html(cards: Iterable[Mapping[str, object]]) -> str:
     return "\n".join(one(c) for c in cards)
 
 
+def gotchas(first_words: Mapping[str, Sequence[tuple[str, int]]], date: str, most: int = 10) -> str:
+    """What people object with: for each kind of pushback the words that most often begin it."""
+    kinds = [(k, words[:most]) for k, words in first_words.items() if "pushback" in k]
+    parts = [f"## {title(k)}\n\n" + (numbered(f"`{w}` ({n})" for w, n in words) or "None.") for k, words in kinds]
+    return "\n\n".join([f"# Gotchas\n\n_{date}_", *parts]) + "\n"
+
+
+def figures(values: Mapping[str, object], date: str) -> str:
+    """The figures that all other documents of a run quote."""
+    return f"# Figures\n\n_{date}_\n\n{table(('figure', 'value'), values.items())}\n"
+
+
+def output_set(
+    templates: Mapping[str, str], values: Mapping[str, object], first_words: Mapping[str, Sequence[tuple[str, int]]], numbers: Mapping[str, object], date: str,
+    spec: Mapping[str, object] | None = None, record: Mapping[str, object] | None = None,
+) -> tuple[dict[str, str], list[str]]:
+    """(text of every document of a run by its name, keys that no value fills).
+
+    Templates are filled, those named *.html with escaped values. Beside them stand the rule
+    files of a spec, gotchas.md, numbers.md, and run.json, which names all documents.
+    """
+    out = {name: fill(t, escaped(values) if name.endswith(".html") else values) for name, t in templates.items()}
+    open_keys = sorted({k for t in out.values() for k in re.findall(r"_TBD_([A-Z0-9_]+)_", t)})
+    out |= rule_files(spec, date) if spec else {}
+    out |= {"gotchas.md": gotchas(first_words, date), "numbers.md": figures(numbers, date)}
+    run = {"generated": date, **numbers, **(record or {}), "had_spec": bool(spec), "open_keys": open_keys, "outputs": sorted([*out, "run.json"])}
+    return out | {"run.json": json.dumps(run, ensure_ascii=False, indent=2, default=str)}, open_keys
+
+
 def write_all(folder: str, documents: Mapping[str, str]) -> list[str]:
     """Write each document under its relative path, whole or not at all; unchanged files are left alone. Returns what was written."""
     written = []

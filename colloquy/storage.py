@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,10 +42,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     """A new folder name in shared storage; the folder is deleted when Python ends."""
     path = f"{shared_dir(spark)}/colloquy/{label}-{uuid.uuid4().hex}"
     files, target = file_system(spark, path)
-    atexit.register(lambda: files.delete(target, True))
+    atexit.register(_delete, files, target)
     return path
 
 
+def _delete(files, target) -> None:
+    with suppress(Exception):  # the JVM may be gone by then
+        files.delete(target, True)
+
+
 def local_path(spark: SparkSession, label: str) -> str:
     """A new folder in shared storage by the path that plain file calls take; an error where it is no folder of that kind."""
     path = fresh_path(spark, label)

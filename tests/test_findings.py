@@ -40,3 +40,15 @@ def test_documents(tmp_path):
     assert documents.write_all(str(tmp_path), files) == sorted(files) and documents.write_all(str(tmp_path), files) == []
     assert documents.cards_html([{"name": "a_b", "text": "<x>"}]) == "<section><h4>A b</h4><p>&lt;x&gt;</p></section>"
     assert documents.context({"$schema_version": "v0.4"}) == {"SCHEMA_VERSION": "v0.4"}
+
+
+def test_uncovered_by_many_hints(spark):
+    """The way for long lists gives what the one for short lists gives."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abAB ") for _ in range(rng.randint(1, 5)))
+    suggestions = spark.createDataFrame([(f"t{i}", "b", [word() for _ in range(rng.randint(0, 2))]) for i in range(120)], "title string, body string, hints array<string>")
+    notes = spark.createDataFrame([(word() + word(), word()) for _ in range(12)] + [(None, None)], "name string, description string")
+    few = sorted(r.title for r in findings.uncovered(suggestions, notes).collect())
+    assert sorted(r.title for r in findings.uncovered(suggestions, notes, most=3).collect()) == few and 0 < len(few) < 120

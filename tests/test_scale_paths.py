@@ -134,6 +134,21 @@ def pairs_by_loop(entries):
     return out
 
 
+@pytest.mark.parametrize("slab", [1, 3, 7, 1000])
+def test_pairs_of_cut_sessions_equal_a_loop(spark, slab):
+    from colloquy.operators import pairs
+
+    r = random.Random(slab)
+    rows = [(s, i, r.choice(["user", "assistant", "assistant", "system"]), r.choice(["", None, f"{s}-{i}", f"{s} {i}"])) for s in ["a", "b", None] for i in range(160) if r.random() < 0.8]
+    df = spark.createDataFrame(rows, "s string, turn bigint, role string, text string")
+    expected = []
+    for s in ["a", "b", None]:
+        entries = [{"type": role, "message": {"content": t}} for own, _, role, t in sorted(rows, key=lambda x: x[1]) if own == s]
+        expected += [(s, *p) for p in pairs_by_loop(entries)]
+    got = [(x.s, x.assistant, x.reply) for x in pairs.turn_pairs(df, ["s"], "turn", slab=slab).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr) and len(got) > 10
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_pairs_over_many_batches_equal_a_loop(spark, tmp_path, seed):
     r = random.Random(seed)
