@@ -2,7 +2,7 @@
 
 A piece is a range of bytes and holds the lines that start in it. Pieces are cut by a fixed
 size, not by how many tasks there are, so a line has the same piece and place whoever reads
-it. Line numbers come from the counts of lines of a file's earlier pieces, which are taken
+it; they share tasks, whose number follows the bytes and the cores, not the pieces. Line numbers come from the counts of lines of a file's earlier pieces, which are taken
 only where a file has more than one. Paths are those that driver and executors both open;
 other file systems are reached through pyarrow.
 """
@@ -10,9 +10,12 @@ other file systems are reached through pyarrow.
 from __future__ import annotations
 
 import os
+import stat
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from itertools import groupby
+from operator import itemgetter
 from pathlib import Path
 
 import pyarrow as pa
@@ -23,6 +26,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 #: Bytes of a piece, and of a read; small files share a partition up to the former.
 PIECE_BYTES, READ_BYTES = 64 << 20, 4 << 20
 
+#: Bytes that a read beyond a piece takes at least, those of a task at least, and those that a piece counts for beside its own.
+TAIL_BYTES, TASK_BYTES, OPEN_BYTES = 1 << 16, 1 << 20, 1 << 10
+
 #: Rows of an Arrow batch.
 ROWS = 4096
 
@@ -43,9 +49,16 @@ def _system(root: str):
 
 def safe_files(root: str, *patterns: str) -> list[str]:
     """Sorted regular files under root that match a pattern; symbolic links, and files reached through one, are left out."""
-    top = Path(root).resolve()
+    top, plain = Path(root).resolve(), {}
     found = {p for pattern in patterns for p in Path(root).glob(pattern)}
-    return sorted(str(p) for p in found if p.is_file() and not p.is_symlink() and p.resolve() == top / p.relative_to(root))
+
+    def own(folder: Path) -> bool:
+        """Whether no link leads to folder, which is looked at once."""
+        if folder not in plain:
+            plain[folder] = folder.resolve() == top / folder.relative_to(root)
+        return plain[folder]
+
+    return sorted(str(p) for p in found if stat.S_ISREG(p.lstat().st_mode) and own(p.parent))
 
 
 def listed(root: str, pattern: str, after: float | None = None) -> list[tuple[str, int]]:
@@ -69,7 +82,7 @@ class Pieces(InputPartition):
 
 
 class LogLines(DataSource):
-    """Options: root, pattern (relative, * and ** as in globs), modifiedAfter (ISO, UTC), pieceBytes, pieces.
+    """Options: root, pattern (relative, * and ** as in globs), modifiedAfter (ISO, UTC), pieceBytes, pieces, tasks (over which pieces are dealt; without it a task has pieceBytes).
 
     pieces: `all`; `first` or `later` pieces of files only; `counts`, of files with several
     pieces each piece's number of lines, in `at`.
@@ -90,11 +103,27 @@ class _LineReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root, self.pattern = options["root"], options.get("pattern", "*/*.jsonl")
         self.bytes, self.pieces = int(options.get("piecebytes", PIECE_BYTES)), options.get("pieces", "all")
+        self.tasks = int(options.get("tasks", 0))
         since = options.get("modifiedafter")
         self.after = datetime.fromisoformat(since).replace(tzinfo=timezone.utc).timestamp() if since else None
 
     def partitions(self) -> list[Pieces]:
+        every = list(self._cut())
+        share = self.bytes
+        if self.tasks:
+            whole = sum(end - start + OPEN_BYTES for *_, start, end in every)
+            share = min(PIECE_BYTES, max(TASK_BYTES, -(-whole // self.tasks)))
         out, together, held = [], [], 0
+        for path, piece, start, end in every:
+            more = end - start + (OPEN_BYTES if self.tasks else 0)
+            if together and held + more > share:
+                out.append(Pieces(together))
+                together, held = [], 0
+            together.append((path, piece, start, end))
+            held += more
+        return [*out, Pieces(together)]
+
+    def _cut(self) -> Iterator[tuple[str, int, int, int]]:
         for path, size in listed(self.root, self.pattern, self.after):
             if self.pieces == "counts" and size <= self.bytes:
                 continue
@@ -103,27 +132,22 @@ class _LineReader(DataSourceReader):
                     break
                 if not piece and self.pieces == "later":
                     continue
-                end = min(size, start + self.bytes)
-                if together and held + end - start > self.bytes:
-                    out.append(Pieces(together))
-                    together, held = [], 0
-                together.append((path, piece, start, end))
-                held += end - start
-        return [*out, Pieces(together)]
+                yield path, piece, start, min(size, start + self.bytes)
 
     def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         system, _ = _system(self.root)
         ready: list[tuple] = []
-        for path, piece, start, end in partition.pieces:
+        for path, own in groupby(partition.pieces, key=itemgetter(0)):
             with open(path, "rb") if system is None else system.open_input_file(path) as f:
-                if self.pieces == "counts":
-                    ready.append((path, piece, starts_in(f, start, end), None))
-                    continue
-                for at, line in enumerate(lines_from(f, start, end)):
-                    ready.append((path, piece, at, line.decode("utf-8", "replace")))
-                    if len(ready) == ROWS:
-                        yield _batch(ready)
-                        ready = []
+                for _, piece, start, end in own:
+                    if self.pieces == "counts":
+                        ready.append((path, piece, starts_in(f, start, end), None))
+                        continue
+                    for at, line in enumerate(lines_from(f, start, end)):
+                        ready.append((path, piece, at, line.decode("utf-8", "replace")))
+                        if len(ready) == ROWS:
+                            yield _batch(ready)
+                            ready = []
         if ready:
             yield _batch(ready)
 
@@ -152,7 +176,7 @@ def lines_from(f, start: int, end: int) -> Iterator[bytes]:
     f.seek(at)
     skipping, parts = start > 0, []
     while True:
-        block = f.read(READ_BYTES)
+        block = f.read(min(READ_BYTES, max(end - at, TAIL_BYTES)))
         if not block:
             break
         begin = 0
@@ -174,7 +198,7 @@ def lines_from(f, start: int, end: int) -> Iterator[bytes]:
 def lines(spark: SparkSession, root: str, pattern: str = "*/*.jsonl", modified_after: str | None = None, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """(path, line_no, value): every line of the files, numbered from 1."""
     spark.dataSource.register(LogLines)
-    options = {"root": root, "pattern": pattern, "pieceBytes": str(piece_bytes)} | ({"modifiedAfter": modified_after} if modified_after else {})
+    options = {"root": root, "pattern": pattern, "pieceBytes": str(piece_bytes), "tasks": str(4 * spark.sparkContext.defaultParallelism)} | ({"modifiedAfter": modified_after} if modified_after else {})
     read = lambda pieces: spark.read.format("log_lines").options(**options, pieces=pieces).load()
     upto = F.sum("at").over(Window.partitionBy("path").orderBy("piece")) - F.col("at")  # a row for each piece of a large file
     before = read("counts").select("path", "piece", upto.alias("_before")).filter("piece > 0")

@@ -4,6 +4,7 @@ import json
 import os
 import pickle
 
+from colloquy.sources import log_lines
 from colloquy.sources.jsonl_tail import PendingReader, TailReader
 from colloquy.streaming.pushback import ProposalSink
 
@@ -18,6 +19,16 @@ def many(tmp_path, n=300):
     return sorted(paths), str(tmp_path / "projects/*/*.jsonl")
 
 
+def test_pieces_share_tasks(tmp_path):
+    paths, _ = many(tmp_path)
+    options = {"root": str(tmp_path / "projects"), "piecebytes": "40"}
+    every = log_lines._LineReader(options | {"tasks": "4"})
+    parts = every.partitions()
+    assert 1 <= len(parts) <= 4 and sum(len(p.pieces) for p in parts) > 2 * len(paths)
+    got = [(p, v) for part in parts for b in every.read(part) for p, v in zip(b.column("path").to_pylist(), b.column("value").to_pylist(), strict=True)]
+    assert got == [(p, line) for p in paths for line in open(p).read().splitlines()]
+
+
 def test_files_share_tasks(tmp_path):
     paths, pattern = many(tmp_path)
     reader = TailReader({"path": pattern, "tasks": "8"})
