@@ -17,9 +17,6 @@ from .common import SPACE, likely, scratch, settle
 #: Buckets of the multinomials, and the pseudo-count of each.
 BUCKETS, SMOOTHING = 1 << 14, 1.0
 
-#: Labelled documents of which half set the threshold, at most: those whose ids hash lowest.
-SAMPLE = 20_000
-
 #: Width of the score bins in which the threshold is sought.
 BIN = 0.001
 
@@ -85,30 +82,31 @@ def _llr(weights: tuple[float, ...]) -> Column:
     return F.when(n > 0, total / n).otherwise(F.lit(0.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int | None = None) -> Model:
     """Weights from all of docs against all trusted labelled ones, and the threshold.
 
-    The threshold is set on half of a bounded sample of the labelled documents, with a target that
-    has not seen their n-grams; they are added to it afterwards. It is the middle of the score bins that tell good from bad labelled documents
-    best (share of good ones kept plus share of bad ones dropped). Without both kinds it lies
+    The threshold is set on half of all labelled documents, or with `sample` of so many whose ids
+    hash lowest, with a target that has not seen their n-grams; they are added to it afterwards.
+    It is the middle of the score bins that tell good from bad labelled documents best (share of good ones kept plus share of bad ones dropped). Without both kinds it lies
     below every score. Null labels and labels without a document are left aside; a label that is
     given twice counts once.
     """
     usable = labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null").distinct()
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)  # bounded, so it may be broadcast
-    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).alias("fold")
+    chosen = usable if sample is None else usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    key = F.xxhash64("doc_id").alias("_key")
     with scratch():
-        labelled, _ = settle(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", fold), "quality-sample")
-        aside = F.broadcast(chosen.select("doc_id", fold).filter("fold = 1").select("doc_id").distinct())
-        trusted, _ = settle(usable.filter("quality = 1").join(aside, "doc_id", "left_anti").select("doc_id"), "quality-trusted")
+        held, _ = settle(chosen.filter(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)) == 1), "quality-held")
+        near = likely(docs.select("doc_id", "text", key), "_key", held.select(key)).filter("_likely")
+        labelled, _ = settle(near.join(held, "doc_id").select("text", "quality"), "quality-labelled")
+        trusted, _ = settle(usable.filter("quality = 1").join(held.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id"), "quality-trusted")
         raw, target = _raw_and_trusted(docs, trusted, buckets)
-        later = _counts(labelled.filter("quality = 1 and fold = 1"), buckets)
+        later = _counts(labelled.filter("quality = 1"), buckets)
         whole = {b: target.get(b, 0) + later.get(b, 0) for b in target.keys() | later.keys()}
         if not target:
             return Model(_weights(raw, whole, buckets) if whole else (0.0,) * buckets, -math.inf)
         weights = _weights(raw, target, buckets)
-        held = labelled.filter("fold = 1").withColumn("doc_id", F.lit(None).cast("bigint"))
-        scored = assess(held, Model(weights, -math.inf), "quality").filter("not base_failed")
+        unseen = labelled.withColumn("doc_id", F.lit(None).cast("bigint"))
+        scored = assess(unseen, Model(weights, -math.inf), "quality").filter("not base_failed")
         bins = scored.groupBy(F.floor(F.col("llr") / BIN).alias("bin")).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad"))
         return Model(_weights(raw, whole, buckets), _threshold(sorted(tuple(r) for r in bins.collect())))
 
