@@ -38,14 +38,6 @@ def first_word(text: Column) -> Column:
     return F.when(word != "", word)
 
 
-def bigrams(words: Column) -> Column:
-    """Neighbouring pairs joined by a space."""
-    n = F.size(words)
-    return F.when(n > 1, F.zip_with(F.slice(words, 1, n - 1), F.slice(words, 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(
-        F.array().cast("array<string>")
-    )
-
-
 def without(words: Column, stop: Iterable[str]) -> Column:
     """words without the stop words, repeats kept."""
     listed = sorted(set(stop))

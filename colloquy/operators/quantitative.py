@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..functions.lexicon import LANGUAGE_MARKERS, SLASH_COMMANDS, STOPWORDS, Lexicon
+from ..storage import settle
+
+#: Buckets by which pairs of words are counted first, and how many of the largest are tried for each pair that is asked for.
+BUCKETS, TRIED = 1 << 18, 4
 
 ALL_STOPWORDS = tuple(dict.fromkeys(w for words in STOPWORDS.values() for w in words))
 
@@ -33,8 +37,12 @@ def group_share(df: DataFrame, key: str, k: int = 20) -> DataFrame:
 
 
 def top_k(df: DataFrame, items: Column, name: str, k: int) -> DataFrame:
-    """The k most frequent elements of an array column; ties by element."""
-    return df.select(F.explode(items).alias(name)).groupBy(name).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(k)
+    """The k most frequent elements of an array column, nulls left out; ties by element.
+
+    The outer form makes each array once; for the other one Spark makes it a second time, to see whether it is empty.
+    """
+    counted = df.select(F.explode_outer(items).alias(name)).groupBy(name).agg(F.count("*").alias("n"))
+    return counted.filter(F.col(name).isNotNull()).orderBy(F.desc("n"), name).limit(k)
 
 
 def top_k_first_seen(df: DataFrame, items: Column, name: str, k: int, *order: str) -> DataFrame:
@@ -52,10 +60,49 @@ def top_unigrams(df: DataFrame, k: int = 50, stop: Sequence[str] = ALL_STOPWORDS
     return top_k(df, content_words(stop=stop), "word", k)
 
 
-def top_bigrams(df: DataFrame, k: int = 50, stop: Sequence[str] = ALL_STOPWORDS) -> DataFrame:
-    """Pairs that are neighbours once stop words are gone, within one text."""
+def _neighbours(df: DataFrame, stop: Sequence[str]) -> DataFrame:
+    """(word, before, bucket): each content word, the one before it in its text, and the bucket of the two; a row of nulls for a text without any."""
     words = df.select(content_words(stop=stop).alias("_w"))
-    return top_k(words, text.bigrams(F.col("_w")), "bigram", k)
+    each = words.select("_w", F.posexplode_outer("_w").alias("_at", "word")).select("word", F.get("_w", F.col("_at") - 1).alias("before"))
+    return each.withColumn("bucket", F.when(F.col("before").isNotNull(), F.pmod(F.xxhash64("before", "word"), F.lit(BUCKETS))))
+
+
+def word_counts(df: DataFrame, stop: Sequence[str] = ALL_STOPWORDS) -> DataFrame:
+    """(word, bucket, n), written once: how often each content word occurs, and each bucket of neighbours, the other one null. Texts are cut once for both."""
+    counted = _neighbours(df, stop).groupingSets([["word"], ["bucket"]], "word", "bucket").agg(F.count("*").alias("n"))
+    return settle(counted.filter("word is not null or bucket is not null"), "words")
+
+
+def top_counted_words(counted: DataFrame, k: int = 50) -> DataFrame:
+    """top_unigrams from word_counts."""
+    return counted.filter("word is not null").select("word", "n").orderBy(F.desc("n"), "word").limit(k)
+
+
+def top_bigrams(df: DataFrame, k: int = 50, stop: Sequence[str] = ALL_STOPWORDS, counted: DataFrame | None = None) -> DataFrame:
+    """The k most frequent pairs that are neighbours once stop words are gone, within one text; ties by pair.
+
+    Most pairs occur once or twice, so they are not shuffled one by one: a pair occurs at most as
+    often as its bucket, and pairs are counted in the largest buckets only. If the k-th of them does
+    not exceed each bucket left out, they are counted again in all buckets that reach it, be it all.
+    `counted` is word_counts of the same texts and stop words, where it is there already.
+    """
+    each = _neighbours(df, stop)
+    if counted is None:
+        counted = settle(each.groupBy("bucket").agg(F.count("*").alias("n")), "buckets")
+    buckets = counted.filter("bucket is not null").select("bucket", "n")
+
+    def top(above: int) -> list:
+        """The k most frequent pairs of the buckets with more than `above` rows."""
+        pairs = each.join(F.broadcast(buckets.filter(F.col("n") > above).select("bucket")), "bucket")
+        return pairs.groupBy(F.concat("before", F.lit(" "), "word").alias("bigram")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bigram").limit(k).collect()
+
+    edge = buckets.orderBy(F.desc("n")).offset(TRIED * k).limit(1).first()
+    above = edge["n"] if edge else 0
+    found = top(above)
+    least = found[-1]["n"] if 0 < k <= len(found) else 1
+    if least <= above:
+        found = top(least - 1)
+    return df.sparkSession.createDataFrame(found, "bigram string, n bigint")
 
 
 def top_first_words(df: DataFrame, k: int = 30) -> DataFrame:
@@ -81,7 +128,7 @@ def dominant_language(counts: DataFrame, least: float = 0.05, lead: float = 2.0)
 
 def slash_usage(df: DataFrame, column: str = "text", before: str = r"[\s`]", known: Sequence[str] | None = SLASH_COMMANDS, k: int = 20) -> DataFrame:
     """The k most used commands, with the share of texts that hold any accepted command; known=None accepts all."""
-    found = text.slash_commands(F.col(column), before)
+    found = F.when(F.contains(column, F.lit("/")), text.slash_commands(F.col(column), before))
     accepted = found if known is None else F.filter(found, lambda c: text.is_slash_command(c, known))
     cut = df.select(accepted.alias("_c"))
     whole = cut.agg(F.count_if(F.size("_c") > 0).alias("with_command"), F.count("*").alias("total"))

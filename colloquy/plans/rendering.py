@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import temporal
 from ..render import charts, documents, markup, reports
 from ..render.frames import rendered
-from ..session import table
+from ..session import spread, table
 from ..sources import sessions
 from ..validate import migration
 from .catalogue import query
@@ -76,7 +76,7 @@ def stat_documents(spark, d):
     """The statistics document as it is written, read back."""
     home = folder(spark, "numbers")
     os.makedirs(home)
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("text", "source"))
     reports.write_json(reports.numbers(docs, "source", k=1_000), f"{home}/numbers.json")
     read = sessions.json_document(spark, f"{home}/numbers.json", "n bigint, max_chars bigint, median_chars double, per_project array<array<string>>")
     return read.select("n", "max_chars", F.round("median_chars", 6).alias("median_chars"), F.size("per_project").cast("bigint").alias("n_sources"))

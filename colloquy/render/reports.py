@@ -25,13 +25,14 @@ def pairs(df: DataFrame, name: str, n: str = "n") -> list[tuple]:
 
 def numbers(prompts: DataFrame, project: str = "project", k: int = 20) -> dict:
     """Statistics of prompts(text, project): lengths, shares, vocabulary, languages, commands."""
-    kept = prompts.persist()
+    kept = prompts.select("text", project).persist()
     try:
-        counts = quantitative.language_counts(kept)
+        words, languages = quantitative.word_counts(kept), quantitative.language_counts(kept)
+        counts = kept.sparkSession.createDataFrame(languages.collect(), languages.schema)  # a row a language
         return {
             **one_row(quantitative.length_stats(kept)),
             "per_project": pairs(quantitative.group_share(kept, project, k), project),
-            "top_unigrams": pairs(quantitative.top_unigrams(kept, k), "word"), "top_bigrams": pairs(quantitative.top_bigrams(kept, k), "bigram"),
+            "top_unigrams": pairs(quantitative.top_counted_words(words, k), "word"), "top_bigrams": pairs(quantitative.top_bigrams(kept, k, counted=words), "bigram"),
             "top_first_words": pairs(quantitative.top_first_words(kept, k), "word"), "top_slash_commands": pairs(quantitative.slash_usage(kept), "command"),
             "language_marker_counts": pairs(counts, "language"), "dominant_second_language": one_row(quantitative.dominant_language(counts)),
         }
